@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, packing, quality, rules, secrets, tokens, warc
+from . import decontam, langid, neardup, packing, pii, quality, rules, secrets, tokens, warc
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.learn(docs))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -50,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_language_id, op5_token_counts, op6_near_duplicates, op7_quality_rules, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_language_id, op5_token_counts, op6_near_duplicates, op7_quality_rules, op8_personal_data, op9_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
