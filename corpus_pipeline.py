@@ -1,23 +1,47 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``: language, near duplicates, benchmark passages, secrets, packing."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docverify.llm import packing
+from docverify.llm import decontam, langid, neardup, packing, secrets
 from docverify.llm.common import settled, table
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that language ID rejects: null texts and texts without a letter (``und``)."""
+    names = langid.predict(docs.where(F.col("text").isNotNull()), langid.learn(docs), keep=docs.columns)
+    return names.where(F.col("lang_pred") != "und").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near duplicates (five words, 0.8)."""
+    doubles = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(doubles, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item (five words, 0.8 of its shingles)."""
+    leaks = decontam.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks live secrets in the texts; every document stays, and n_chars is that of its new text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left: a row for each piece, as the packing operator gives it."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_documents)]
+STAGES = [("language ID", known_language), ("MinHash near-dedup", one_of_each_group), ("benchmark decontamination", without_benchmark), ("secret scans", without_secrets), ("packing", packed)]
 
-#: Language prediction and tokenizers are beyond SQL; tests hold each stage against brute force.
+#: Language prediction and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import held_out
 
@@ -172,8 +173,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return build(languages, [(g["code"].to_numpy(), g["n"].to_numpy()) for _, g in by.groupby("lang")]) if languages else None
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, lang_pred, score.
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per row: id, held_out, lang_pred, score; or the columns of ``keep``, lang_pred and score.
 
     Null texts and texts without a letter: ``und`` with score 0, and so is everything where nothing could be learned.  Ties go to the
     language first in order.  Repeated rows and null ids give a row each; other columns are left out; an empty
@@ -197,7 +198,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     else:
                         names.append("und")
                         scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "t"), *found], [*(n for n in batch.schema.names if n != "t"), "lang_pred", "score"])
 
+    if keep is not None:
+        carried = StructType([f for f in docs.schema.fields if f.name in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+        return docs.select(*carried.fieldNames()[:-2], F.col(text_col).alias("t")).mapInArrow(predicted, carried)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(predicted, "id long, lang_pred string, score double")
     return own.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
