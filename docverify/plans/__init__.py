@@ -1,0 +1,12 @@
+"""Registered queries of the reference's operators and their SQL."""
+
+from . import texts
+from .fixtures import ORACLES, QUERIES
+from .texts import vf2
+
+
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+__all__ = ["QUERIES", "oracles", "texts", "vf2"]
