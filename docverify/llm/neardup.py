@@ -8,17 +8,20 @@ several levels are walked in one pass.  Then nodes are counted:
 * nodes of one document are done;
 * in every other node each document is compared with the node's least one, and what is linked is contracted;
 * nodes whose documents are all linked are done, however large;
-* small nodes that are left are compared exhaustively, pairs already linked left out;
+* in small nodes that are left each document is held against the most alike of another class, and after that
+  documents that still have a likely partner in another class are compared exhaustively, with their full sets, inside the node;
 * large ones branch further.
 
 Pairs are held against their signatures first, then against the full shingle sets, and only the latter makes a link.
-Trees are independent; with 16 of them a pair of similarity 0.8 is missed once in some ten million times (a document's signature
-may add to that), more similar ones less.
+No step emits the pairs of a node: rows and links grow with the documents, however large a group is.
+Trees are independent; with 16 of them a pair of similarity 0.8 misses all common nodes once in some ten million times, and its
+signatures fall short once in some thirty thousand; more similar ones are missed less.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,12 @@ from .common import settled
 from .components import components
 from .shingles import U, minhash, minhash_factors, mixed, shingle_sets
 
-#: Signature positions, trees, levels walked in one pass, and documents up to which a node is compared exhaustively.
-POSITIONS, TREES, LEVELS, SMALL = 64, 16, 3, 24
+#: Signature positions that trees branch by, and those that similarity is estimated by (of these a byte each is kept), trees, levels walked in one pass, and documents up to which a node is compared exhaustively.
+POSITIONS, MARKS, TREES, LEVELS, SMALL = 64, 256, 16, 3, 4096
 #: A node takes a second position this often; four standard errors of the signature below the least similarity.
-SECOND, SLACK = 0.25, 0.2
-#: Passes after which a node is compared exhaustively whatever its size; ids up to which the scan for full sets gets them by broadcast (8 MB).
-PASSES, FEW = 8, 500_000
+SECOND, SLACK = 0.25, 0.1
+#: Passes after which a node is compared exhaustively whatever its size; ids up to which the scan for full sets gets them by broadcast (8 MB), and bytes of full sets up to which pairs do.
+PASSES, FEW, FEW_BYTES = 8, 500_000, 16 << 20
 
 
 def walk(nodes: np.ndarray, rows: np.ndarray, signatures: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +52,13 @@ def walk(nodes: np.ndarray, rows: np.ndarray, signatures: np.ndarray, levels: in
     return nodes, rows
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def signatures(docs: DataFrame, width: int, positions: int = POSITIONS) -> DataFrame:
-    """id, n (shingles), k1, k2 (a key of the set) and sig of rows (id, text)."""
-    factors = minhash_factors(positions)
+def signatures(docs: DataFrame, width: int, positions: int = POSITIONS, marks: int = MARKS) -> DataFrame:
+    """id, n (shingles), k1, k2 (a key of the set), sig (the first positions in full) and marks (a byte of every position) of rows (id, text)."""
+    factors = minhash_factors(marks)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,11 +66,12 @@ def signatures(docs: DataFrame, width: int, positions: int = POSITIONS) -> DataF
                 part = batch.slice(at, 256)
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 keys = np.array([[int(s.sum(dtype=U)), int(mixed(s ^ U(0x5555)).sum(dtype=U))] for s in sets], U).view(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([minhash(s, factors).astype("<u4").tobytes() for s in sets], pa.binary())], ["id", "n", "k1", "k2", "sig"]
-                )
+                least = [minhash(s, factors) for s in sets]
+                cells = [[len(s) for s in sets], keys[:, 0], keys[:, 1], [x[:positions].astype("<u4").tobytes() for x in least], [x.astype(np.uint8).tobytes() for x in least]]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], ["id", "n", "k1", "k2", "sig", "marks"])
 
-    return docs.mapInArrow(sign, "id long, n long, k1 long, k2 long, sig binary")
+    return docs.mapInArrow(sign, "id long, n long, k1 long, k2 long, sig binary, marks binary")
 
 
 def _branch(rows: DataFrame, levels: int, trees: int | None = None) -> DataFrame:
@@ -95,16 +99,43 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).mean(axis=1) >= least
+                near = (_matrix(batch.column("sa"), "u1") == _matrix(batch.column("sb"), "u1")).mean(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in "ab"], ["a", "b"])
 
-    side = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"))
+    side = lambda x: sigs.select(F.col("id").alias(x), F.col("marks").alias(f"s{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(agree, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of settled pairs (a, b) those with 100 * intersection >= percent * union of their full sets."""
-    wanted = settled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dup-wanted")
+def _across(rows: DataFrame, least: float) -> DataFrame:
+    """For each document its node, id and most alike one (other) of another label in that node, if their signatures agree often enough;
+    rows: node, id, label, marks, of nodes of bounded size.
+
+    A node's documents are held against each other where they are: a row leaves the task for each, not for each pair."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node in _nodes(batches, ["node", "id", "label"], "marks"):
+            name, ids, label, data = node
+            marks = np.frombuffer(b"".join(data), np.uint8).reshape(len(ids), -1)
+            for i in range(0, len(ids), 64):
+                part = slice(i, i + 64)
+                if len(ids) <= 64:
+                    same = (marks[part, None, :] == marks[None, :, :]).sum(axis=2, dtype=np.int16)
+                else:
+                    same = np.zeros((len(ids[part]), len(ids)), np.int16)
+                    for k in range(marks.shape[1]):
+                        same += marks[part, k, None] == marks[None, :, k]
+                same[label[part, None] == label[None, :]] = -1
+                other = same.argmax(axis=1)
+                near = np.flatnonzero(same[np.arange(len(other)), other] >= least * marks.shape[1])
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name[part][near], ids[part][near], ids[other[near]])], ["node", "id", "other"])
+
+    return rows.select("node", "id", "label", "marks").repartition("node").sortWithinPartitions("node").mapInArrow(hold, "node long, id long, other long")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id and own (the full set, sorted) of the wanted ids; settled."""
+    wanted = settled(wanted.distinct(), "dup-wanted")
     few = wanted.count() <= FEW
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,52 +144,114 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), width)], pa.binary())], ["id", "own"])
 
+    return settled(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(whole, "id long, own binary"), "dup-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of settled pairs (a, b) those with 100 * intersection >= percent * union of their full sets."""
+
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
+            for a, b in zip(batch.column("oa"), batch.column("ob"), strict=True):
+                p, q = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both) > 0)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], ["a", "b"])
 
-    sets = settled(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(whole, "id long, own binary"), "dup-sets")
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), width)
     side = lambda x: sets.select(F.col("id").alias(x), F.col("own").alias(f"o{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(hold, "a long, b long").distinct()
 
 
+def _exact(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of different labels in one node, by the full sets; rows: node, id, label, own, of nodes of bounded size.
+    What a node has linked already is one label from then on, so a node gives fewer links than it has documents.
+
+    Each document's set is marked in the node's vocabulary and counted in all others at once."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node in _nodes(batches, ["id", "label"], "own"):
+            ids, label, own = node
+            label = label.copy()
+            sets = [np.frombuffer(x, U) for x in own]
+            sizes = np.array([len(x) for x in sets])
+            words, at = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            found = []
+            for i in range(len(sets) - 1):
+                if (label[i + 1 :] == label[i]).all():
+                    continue
+                mark = np.zeros(len(words), np.int32)
+                mark[at[starts[i] : starts[i] + sizes[i]]] = 1
+                both = np.add.reduceat(mark[at[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+                for j in np.flatnonzero((100 * both >= percent * (sizes[i] + sizes[i + 1 :] - both)) & (label[i + 1 :] != label[i])) + i + 1:
+                    if label[j] != label[i]:
+                        found.append((ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return rows.select("node", "id", "label", "own").repartition("node").sortWithinPartitions("node").mapInArrow(hold, "a long, b long").distinct()
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], numbers: list[str], data: str) -> Iterator[list]:
+    """Node by node the columns of number and the one of bytes, from batches that are sorted by node."""
+    rest: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            parts = [batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for part in parts if batch is not None else [None]:
+            if rest and (part is None or part.column("node")[0] != rest[0].column("node")[0]):
+                if sum(r.num_rows for r in rest) > 1:
+                    yield [np.concatenate([r.column(c).to_numpy() for r in rest]) for c in numbers] + [[x for r in rest for x in r.column(data).to_pylist()]]
+                rest = []
+            if part is not None:
+                rest.append(part)
+
+
 def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, trees: int = TREES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
-    """id and label of those of the rows (id, sig) that a link joins to another; docs: (id, text)."""
-    spark = docs.sparkSession
+    """id and label of those of the rows (id, sig, marks) that a link joins to another; docs: (id, text)."""
     least = percent / 100 - SLACK
-    tested = spark.createDataFrame([], "a long, b long")
-    links, labels = tested, spark.createDataFrame([], "id long, label long")
+    labels = docs.sparkSession.createDataFrame([], "id long, label long")
     frontier = _branch(sigs.select("id", "sig"), levels, trees)
-
-    def tried(pairs: DataFrame) -> None:
-        nonlocal tested, links, labels
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = settled(_likely(pairs.join(tested, ["a", "b"], "left_anti"), sigs, least), "dup-likely")
-        if likely.isEmpty():
-            return
-        found = settled(confirmed(likely, docs, width, percent), "dup-links")
-        tested = tested.unionByName(likely)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = settled(components(links), "dup-labels")
-
+    marks = sigs.select("id", "marks")
+
+    def taken(found: DataFrame) -> None:
+        """Links join what is linked already: each class is one node of the new graph."""
+        nonlocal labels
+        found = settled(found, "dup-links")
+        root = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+        new = settled(found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct(), "dup-new")
+        if not new.isEmpty():
+            joined = components(new).select(F.col("id").alias("label"), F.col("label").alias("to"))
+            known = labels.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+            fresh = joined.select(F.col("label").alias("id"), F.col("to").alias("label")).join(labels.select("id"), "id", "left_anti")
+            labels = settled(known.unionByName(fresh), "dup-labels")
+
+    def mixed_of(rows: DataFrame) -> DataFrame:
+        """The rows of nodes that hold several classes, with their labels."""
+        named = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        several = named.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("node")
+        return settled(named.join(several, "node").select("node", "id", "label", "size"), "dup-mixed")
+
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     for turn in range(PASSES + 1):
+        most = F.lit(small) if turn < PASSES else F.col("size")
         sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
         members = settled(frontier.join(sizes, "node"), "dup-members")
-        tried(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
-        named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed_nodes = named.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("node")
-        rest = settled(named.join(mixed_nodes, "node").select("node", "id", "label", "size"), "dup-mixed")
-        least_size = F.lit(small) if turn < PASSES else F.col("size")
-        few = rest.where(F.col("size") <= least_size)
-        other = few.select("node", F.col("id").alias("b"), F.col("label").alias("other"))
-        tried(few.select("node", F.col("id").alias("a"), "label").join(other, "node").where("a < b and label <> other").select("a", "b"))
-        frontier = rest.where(F.col("size") > least_size).select("node", "id")
+        taken(confirmed(settled(_likely(members.where("id <> first").select(*pair("id", "first")).distinct(), sigs, least), "dup-likely"), docs, width, percent))
+        rest = mixed_of(members.select("node", "id", "size"))
+        near = settled(_across(rest.where(F.col("size") <= most).join(marks, "id"), least), "dup-near")
+        taken(confirmed(settled(near.select(*pair("id", "other")).distinct(), "dup-likely"), docs, width, percent))
+        rest = mixed_of(rest.select("node", "id", "size"))
+        alike = settled(_across(rest.where(F.col("size") <= most).join(marks, "id"), least).select("node", "id").join(rest.select("node", "id", "label"), ["node", "id"]), "dup-near")
+        taken(_exact(alike.join(full_sets(docs, alike.select("id"), width), "id"), percent))
+        frontier = rest.where(F.col("size") > most).select("node", "id")
         if frontier.isEmpty():
             return labels
         frontier = _branch(frontier.join(sigs.select("id", "sig"), "id"), levels)
@@ -176,9 +269,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = settled(signatures(own, width), "dup-signatures")
     full = rows.where("n > 0 and id is not null")
-    classes = settled(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "dup-classes")
+    classes = settled(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("marks").alias("marks")), "dup-classes")
     own = own.where("id is not null")
-    labels = linked_classes(own, classes.select(F.col("rep").alias("id"), "sig"), width, percent, trees)
-    named = classes.drop("sig").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
-    placed = rows.drop("sig").join(named, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("label"))
+    labels = linked_classes(own, classes.select(F.col("rep").alias("id"), "sig", "marks"), width, percent, trees)
+    named = classes.drop("sig", "marks").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
+    placed = rows.drop("sig", "marks").join(named, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("label"))
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("label"))).alias("kept"))
