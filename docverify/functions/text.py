@@ -26,14 +26,13 @@ def blank(col: Column) -> Column:
     return col.isNull() | (normalize_ws(col) == "")
 
 
-@F.pandas_udf("string")
-def _nfc(values: pd.Series) -> pd.Series:
+def _composed(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
 
 
 def nfc(col: Column) -> Column:
     """Composed form; only values beyond ASCII go to Python."""
-    return F.coalesce(_nfc(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+    return F.coalesce(F.pandas_udf(_composed, "string")(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
 
 
 def slot_key(col: Column) -> Column:

@@ -30,8 +30,8 @@ def decision_violations(decisions: DataFrame) -> DataFrame:
 
 
 def _references(decisions: DataFrame) -> DataFrame:
-    said = decisions.select(*KEY, "id", F.explode(F.array(F.struct(F.lit("supersedes").alias("field"), F.col("supersedes").alias("ref")), F.struct(F.lit("superseded_by").alias("field"), F.col("superseded_by").alias("ref")))).alias("r"))
-    return said.select(*KEY, "id", "r.*").where(F.col("ref").isNotNull() & F.col("id").isNotNull())
+    said = decisions.select(*KEY, "id", F.explode(F.array(F.struct(F.lit("supersedes").alias("field"), F.col("supersedes").alias("ref")), F.struct(F.lit("superseded_by").alias("field"), F.col("superseded_by").alias("ref")))).alias("_ref"))
+    return said.select(*KEY, "id", "_ref.field", "_ref.ref").where(F.col("ref").isNotNull() & F.col("id").isNotNull())
 
 
 def supersede_edges(decisions: DataFrame) -> DataFrame:

@@ -245,4 +245,4 @@ def ledger_summary(rows: DataFrame, found: DataFrame, runs: DataFrame | None = N
     if runs is not None:
         every = every.join(runs, KEY, "left")
         ok &= ~or_false((F.col("state") == "closed") & (F.col("n_open") > 0))
-    return every.withColumn("passes", ok)
+    return every.withColumn("passes", ok).drop("state", "n_open")

@@ -1,6 +1,6 @@
 """Registered queries of the reference's operators and their SQL."""
 
-from . import texts
+from . import people, relational, texts
 from .fixtures import ORACLES, QUERIES
 from .texts import vf2
 
@@ -9,4 +9,4 @@ def oracles() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["QUERIES", "oracles", "texts", "vf2"]
+__all__ = ["QUERIES", "oracles", "people", "relational", "texts", "vf2"]

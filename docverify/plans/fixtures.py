@@ -82,8 +82,7 @@ def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """The same for DuckDB."""
-    text = expanded(sql).replace("octet_length(encode(", "octet_length(encode(")
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{(" + "|".join(TABLES) + r")\}", r"\1", expanded(sql))
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
