@@ -262,7 +262,7 @@ def _(s, d):
 
 @query("st2_trace_order_stream", f"SELECT * FROM {ORDER} o")
 def _(s, d):
-    return st.run_to_end(st.trace_order_stream, rows(s, d, "trace"))
+    return st.run_to_end(lambda x: st.trace_order_stream(x, None), rows(s, d, "trace"))
 
 
 @query("st3_scan_stream", f"""SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, 'term' AS kind, variant AS hit FROM {HITS} h UNION ALL SELECT doc_id, CAST(line_no AS INTEGER), pattern, unnest(regexp_extract_all(line, rx)) FROM {LINES} l, (VALUES ('email', '(?i)[A-Za-z0-9_.]+@[A-Za-z0-9_.]+'), ('token', '(?i)token = "[0-9a-f]{{40}}"'), ('license', '(?i)(?:licen[sc]e|copyright)')) t(pattern, rx) UNION ALL SELECT doc_id, 0, 'sha16', substr(sha256(text), 1, 16) FROM documents""")

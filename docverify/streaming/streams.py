@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import fingerprint
@@ -50,50 +50,34 @@ def _judge(event: str, seen: set[str]) -> str | None:
     return next((name for test, name in tests if test), None)
 
 
-class OrderProcessor(StatefulProcessor):
-    """A run's state: what was seen up to the next number that is awaited, events that came too soon, and whether the run was reported."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.done = handle.getValueState("done", StructType([StructField("next", LongType()), StructField("seen", StringType()), StructField("reported", LongType())]))
-        self.early = handle.getMapState("early", StructType([StructField("seq", LongType())]), StructType([StructField("event", StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.done.get() if self.done.exists() else (1, "", 0)
-        awaited, seen, reported = int(state[0]), set(filter(None, state[1].split(","))), int(state[2])
-        for frame in rows:
-            for seq, event in zip(frame["seq"], frame["event"], strict=True):
-                if seq >= awaited and not reported:  # what was taken already came again
-                    self.early.updateValue((int(seq),), (event,))
-        while not reported and self.early.containsKey((awaited,)):
-            event = self.early.getValue((awaited,))[0]
-            self.early.removeKey((awaited,))
-            if found := _judge(event, seen):
-                reported = awaited
-                yield pd.DataFrame({"run_id": [key[0]], "violation": [found], "seq": [awaited]})
-            seen.add(event)
-            awaited += 1
-        if reported:
-            self.early.clear()
-        self.done.update((awaited, ",".join(sorted(seen)), reported))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.done.clear()
-        self.early.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def trace_order_stream(events: DataFrame) -> DataFrame:
+def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    """One run: its state is the number awaited, what was seen before it, whether the run was reported, and events that came too soon."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    awaited, seen, reported, early = state.get if state.exists else (1, [], False, [])
+    seen, waiting = set(seen), {int(n): e for n, e in (x.split(":", 1) for x in early)}
+    for frame in frames:
+        if not reported:  # what was taken already may come again
+            waiting.update((int(n), e) for n, e in zip(frame["seq"], frame["event"], strict=True) if n >= awaited)
+    found = None
+    while not reported and awaited in waiting:
+        event = waiting.pop(awaited)
+        if found := _judge(event, seen):
+            reported = True
+            yield pd.DataFrame({"run_id": [key[0]], "violation": [found], "seq": [awaited]})
+        seen.add(event)
+        awaited += 1
+    state.update((awaited, sorted(seen), reported, [] if reported else [f"{n}:{e}" for n, e in sorted(waiting.items())]))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+
+
+def trace_order_stream(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """st2: the rows of st1 as they come up.  Events count in the order of seq, from 1 without gaps, whatever order they arrive in; repeated ones are passed over; a run that
-    has been idle for an hour is forgotten."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.groupBy(*RUN).transformWithStateInPandas(OrderProcessor(), FOUND, "append", "processingtime")
+    has been idle for ``idle_ms`` is forgotten.  None for a stream that ends (availableNow): a timer would keep it going."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy(*RUN).applyInPandasWithState(lambda k, f, s: follow(k, f, s, idle_ms), FOUND, "awaited long, seen array<string>, reported boolean, early array<string>", "append", timeout)
 
 
 def scan_stream(docs: DataFrame, terms: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
