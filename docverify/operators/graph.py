@@ -33,11 +33,13 @@ def on_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 def followed(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, a, root: where each node ends up along its one edge, by pointer jumping; nodes on a cycle have no root."""
     now = kept(edges.groupBy(*keys, F.col(a).alias("a")).agg(F.min(b).alias("r")).withColumn("end", F.lit(False)))
-    steps = 0
-    while not now.where("not end").isEmpty() and steps < 40:
+    left = now.where("not end").count()
+    while left:
         other = now.select(*keys, F.col("a").alias("r"), F.col("r").alias("_r"), F.col("end").alias("_e"))
         now = kept(now.join(other, [*keys, "r"], "left").select(*keys, "a", F.coalesce("_r", "r").alias("r"), F.coalesce("_e", F.lit(True)).alias("end")))
-        steps += 1
+        before, left = left, now.where("not end").count()
+        if left == before:  # each step ends some node of a chain; what is left runs into a cycle
+            break
     return now.where("end").select(*keys, "a", F.col("r").alias("root"))
 
 

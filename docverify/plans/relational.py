@@ -280,7 +280,8 @@ def runs(s, d, **cols: Column) -> DataFrame:
     return rows(s, d, f"SELECT * FROM {RUNS} r").withColumns(cols) if cols else rows(s, d, f"SELECT * FROM {RUNS} r")
 
 
-K = F.col("run_id")
+def K() -> Column:  # noqa: N802
+    return F.col("run_id")
 
 
 @query("rc1_receipt_vs_ledger", f"SELECT run_id, record_id, CASE WHEN n % 17 = 0 THEN 'omitted' WHEN n % 19 = 0 AND category <> 'drift' THEN 'category' ELSE 'digest' END AS state FROM {RECORDS} r WHERE n % 17 = 0 OR n % 19 = 0 AND category <> 'drift' OR n % 23 = 0 UNION ALL SELECT run_id, concat('X', record_id), 'extra' FROM {RECORDS} r WHERE n % 29 = 0 AND n % 17 <> 0")
@@ -301,7 +302,7 @@ def _(s, d):
 
 @query("rc3_verifier_quorum", found_sql("run_id", ("deferred_with_verifiers", "run_id", "3", f"{RUNS} r WHERE run_id % 6 = 0"), ("wrong_number", "run_id", "2", f"{RUNS} r WHERE run_id % 6 = 1"), ("verifier_repeated", "run_id", "NULL", f"{RUNS} r WHERE run_id % 6 = 2"), ("not_passed", "run_id", "NULL", f"{RUNS} r WHERE run_id % 6 = 3"), ("other_snapshot", "run_id", "NULL", f"{RUNS} r WHERE run_id % 6 = 4"), ("evidence_blank", "run_id", "NULL", f"{RUNS} r WHERE run_id % 6 = 4")))
 def _(s, d):
-    m = K % 6
+    m = K() % 6
     v = lambda i, r="pass", snap="s", ev="e": F.struct(F.lit(i).alias("verifier_id"), F.lit(r).alias("result"), F.lit(snap).alias("snapshot_id"), F.lit(ev).alias("evidence"))
     verifiers = F.when(m == 1, F.array(v("a"), v("b"))).when(m == 2, F.array(v("a"), v("b"), v("a"))).when(m == 3, F.array(v("a"), v("b"), v("c", "fail"))).when(m == 4, F.array(v("a"), v("b"), v("c", snap="old", ev=" "))).otherwise(F.array(v("a"), v("b"), v("c")))
     return rc.verifier_quorum(runs(s, d, snapshot_id=F.lit("s"), verifiers=verifiers), runs(s, d).where("run_id % 6 = 0"))
@@ -309,15 +310,15 @@ def _(s, d):
 
 @query("rc4_binding_mismatch", f"SELECT run_id, 'snapshot_id' AS field, 'ledger' AS other FROM {RUNS} r WHERE run_id % 7 = 0 UNION ALL SELECT run_id, 'packet_digest', 'packet' FROM {RUNS} r WHERE run_id % 9 = 0 OR run_id % 11 = 0 UNION ALL SELECT run_id, 'target', 'packet' FROM {RUNS} r WHERE run_id % 11 = 0")
 def _(s, d):
-    receipt = runs(s, d, snapshot_id=F.when(K % 7 == 0, "old").otherwise("s"), packet_digest=F.when(K % 9 == 0, "x").otherwise("p"), target=F.lit("t"), profile_id=F.lit(None).cast("string"))
+    receipt = runs(s, d, snapshot_id=F.when(K() % 7 == 0, "old").otherwise("s"), packet_digest=F.when(K() % 9 == 0, "x").otherwise("p"), target=F.lit("t"), profile_id=F.lit(None).cast("string"))
     packets = runs(s, d, packet_digest=F.lit("p"), target=F.lit("t")).where("run_id % 11 <> 0")
     return rc.binding_mismatch(receipt, runs(s, d, snapshot_id=F.lit("s"), profile_id=F.lit(None).cast("string")), packets)
 
 
 @query("rc5_trace_binding", f"SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'no_gate_event' ELSE 'several_gate_events' END AS problem, CAST(NULL AS VARCHAR) AS field FROM {RUNS} r WHERE run_id % 5 < 2 UNION ALL SELECT run_id, 'rewritten', 'editing_state' FROM {RUNS} r WHERE run_id % 5 > 1 AND run_id % 3 = 0 UNION ALL SELECT run_id, 'rewritten', 'prior_round_no' FROM {RUNS} r WHERE run_id % 5 > 1 AND run_id % 4 = 0")
 def _(s, d):
-    receipt = runs(s, d, editing_state=F.lit("frozen"), prior_round_no=F.when(K % 4 != 0, 1))
-    gate = runs(s, d, event=F.lit("input_gate"), editing_state=F.when(K % 3 == 0, "editing").otherwise("frozen"), prior_round_no=F.lit(1))
+    receipt = runs(s, d, editing_state=F.lit("frozen"), prior_round_no=F.when(K() % 4 != 0, 1))
+    gate = runs(s, d, event=F.lit("input_gate"), editing_state=F.when(K() % 3 == 0, "editing").otherwise("frozen"), prior_round_no=F.lit(1))
     return rc.trace_binding(receipt, gate.where("run_id % 5 <> 0").unionByName(gate.where("run_id % 5 = 1")))
 
 
@@ -325,32 +326,32 @@ def _(s, d):
 def _(s, d):
     n = F.col("n")
     sup = records(s, d).where("category = 'nonissue'").select("run_id", "record_id", F.lit("suppressed").alias("category"), F.when(n % 2 == 0, "open.md").otherwise("other.md").alias("authority_path"), F.when(n % 3 == 0, "h").otherwise("g").alias("authority_sha256"))
-    found = F.array(F.struct(F.lit("F1").alias("record_id"), F.when(K % 4 == 0, "rejected").otherwise("accepted").alias("status")))
-    return rc.open_item_misuse(runs(s, d, open_items_path=F.lit("open.md"), open_items_sha256=F.lit("h"), classified_ids=F.when(K % 3 == 0, F.array(F.lit("F1"), F.lit("Z"))).otherwise(F.array(F.lit("F1"))), findings=found), sup)
+    found = F.array(F.struct(F.lit("F1").alias("record_id"), F.when(K() % 4 == 0, "rejected").otherwise("accepted").alias("status")))
+    return rc.open_item_misuse(runs(s, d, open_items_path=F.lit("open.md"), open_items_sha256=F.lit("h"), classified_ids=F.when(K() % 3 == 0, F.array(F.lit("F1"), F.lit("Z"))).otherwise(F.array(F.lit("F1"))), findings=found), sup)
 
 
 @query("rc7_scale_totals", found_sql("run_id", ("total_differs", "run_id", "4", f"{RUNS} r WHERE run_id % 5 = 0"), ("upper_below_total", "run_id", "2", f"{RUNS} r WHERE run_id % 7 = 0"), ("upper_differs", "run_id", "2", f"{RUNS} r WHERE run_id % 7 = 0"), ("rounds_differ", "run_id", "2", f"{RUNS} r WHERE run_id % 3 = 0"), ("name_repeated", "run_id", "NULL", f"{RUNS} r WHERE run_id % 4 = 0"), ("volume_lines", "run_id", "0", f"{RUNS} r WHERE run_id % 11 = 0")))
 def _(s, d):
     item = lambda n, c: F.struct(n.alias("name"), F.lit(c).alias("count"))
-    config = F.array(item(F.lit("a"), 1), item(F.when(K % 4 == 0, "a").otherwise("b"), 2))
-    return rc.scale_totals(runs(s, d, snapshot_id=F.lit("s"), volume_snapshot_id=F.lit("s"), volume_lines=F.when(K % 11 == 0, 0).otherwise(5), configuration=config, derived_total=F.when(K % 5 == 0, 4).otherwise(3).cast("long"), upper_configuration=F.array(item(F.lit("a"), 6)), upper_bound=F.when(K % 7 == 0, 2).otherwise(6).cast("long"), planned_rounds=F.lit(1), executed_rounds=F.when(K % 3 == 0, 2).otherwise(1)))
+    config = F.array(item(F.lit("a"), 1), item(F.when(K() % 4 == 0, "a").otherwise("b"), 2))
+    return rc.scale_totals(runs(s, d, snapshot_id=F.lit("s"), volume_snapshot_id=F.lit("s"), volume_lines=F.when(K() % 11 == 0, 0).otherwise(5), configuration=config, derived_total=F.when(K() % 5 == 0, 4).otherwise(3).cast("long"), upper_configuration=F.array(item(F.lit("a"), 6)), upper_bound=F.when(K() % 7 == 0, 2).otherwise(6).cast("long"), planned_rounds=F.lit(1), executed_rounds=F.when(K() % 3 == 0, 2).otherwise(1)))
 
 
 @query("rc8_round_context", found_sql("run_id", ("label_format", "run_id", "'x'", f"{RUNS} r WHERE run_id % 5 = 0"), ("label_not_next", "run_id", "'r1'", f"{RUNS} r WHERE run_id % 5 <> 0 AND run_id % 2 = 0"), ("comparison_missing", "run_id", "NULL", f"{RUNS} r WHERE run_id % 2 = 0 AND run_id % 3 = 0"), ("comparison_unasked", "run_id", "NULL", f"{RUNS} r WHERE run_id % 2 = 1 AND run_id % 3 <> 0"), ("few_snapshots", "run_id", "NULL", f"{RUNS} r WHERE run_id % 7 = 0"), ("lost_id_unknown", "run_id", "NULL", f"{RUNS} r WHERE run_id % 11 = 0"), ("axis_without_reason", "run_id", "NULL", f"{RUNS} r WHERE run_id % 13 = 0"), ("axis_not_undetermined", "run_id", "'judged'", f"{RUNS} r WHERE run_id % 13 <> 0 AND run_id % 17 = 0")))
 def _(s, d):
-    return rc.round_context_violations(runs(s, d, round_label=F.when(K % 5 == 0, "x").otherwise("r1"), prior_exists=K % 2 == 0, prior_round_no=F.when(K % 2 == 0, 1), comparison_ref=F.when(K % 3 != 0, "c"), observed_snapshots=F.when(K % 7 == 0, F.array(F.lit("a"))), lost_ids=F.when(K % 11 == 0, F.array(F.lit("q"))), record_ids=F.array(F.lit("r")), structure_axis=F.when(K % 13 == 0, "undetermined").otherwise("judged"), structure_reason=F.lit(None).cast("string"), profile_not_applicable=K % 17 == 0))
+    return rc.round_context_violations(runs(s, d, round_label=F.when(K() % 5 == 0, "x").otherwise("r1"), prior_exists=K() % 2 == 0, prior_round_no=F.when(K() % 2 == 0, 1), comparison_ref=F.when(K() % 3 != 0, "c"), observed_snapshots=F.when(K() % 7 == 0, F.array(F.lit("a"))), lost_ids=F.when(K() % 11 == 0, F.array(F.lit("q"))), record_ids=F.array(F.lit("r")), structure_axis=F.when(K() % 13 == 0, "undetermined").otherwise("judged"), structure_reason=F.lit(None).cast("string"), profile_not_applicable=K() % 17 == 0))
 
 
 @query("rc9_input_gate", found_sql("run_id", ("editing_state", "run_id", "'odd'", f"{RUNS} r WHERE run_id % 5 = 0"), ("open_items_missing", "run_id", "NULL", f"{RUNS} r WHERE run_id % 3 = 0"), ("copy_missing", "run_id", "'copy.md'", f"{RUNS} r WHERE run_id % 7 = 0"), ("copy_changed", "run_id", "'copy.md'", f"{RUNS} r WHERE run_id % 7 <> 0 AND run_id % 11 = 0"), ("copy_not_snapshot", "run_id", "NULL", f"{RUNS} r WHERE run_id % 13 = 0"), ("prior_incomplete", "run_id", "NULL", f"{RUNS} r WHERE run_id % 2 = 0")))
 def _(s, d):
     h, o = F.sha2(F.lit("t"), 256), F.sha2(F.lit("o"), 256)
-    receipt = runs(s, d, snapshot_id=F.concat(F.lit("sha256:"), F.when(K % 13 == 0, o).otherwise(h)), editing_state=F.when(K % 5 == 0, "odd").otherwise("frozen"), target_maturity=F.when(K % 3 == 0, "draft").otherwise("final"), open_items_ref=F.lit(None).cast("string"), source_copy_path=F.lit("copy.md"), source_copy_sha256=h, prior_exists=K % 2 == 0, prior_path=F.lit(None).cast("string"), prior_round_no=F.lit(None).cast("int"))
-    return rc.input_gate_violations(receipt, runs(s, d, path=F.lit("copy.md"), sha256=F.when(K % 11 == 0, o).otherwise(h)).where("run_id % 7 <> 0"))
+    receipt = runs(s, d, snapshot_id=F.concat(F.lit("sha256:"), F.when(K() % 13 == 0, o).otherwise(h)), editing_state=F.when(K() % 5 == 0, "odd").otherwise("frozen"), target_maturity=F.when(K() % 3 == 0, "draft").otherwise("final"), open_items_ref=F.lit(None).cast("string"), source_copy_path=F.lit("copy.md"), source_copy_sha256=h, prior_exists=K() % 2 == 0, prior_path=F.lit(None).cast("string"), prior_round_no=F.lit(None).cast("int"))
+    return rc.input_gate_violations(receipt, runs(s, d, path=F.lit("copy.md"), sha256=F.when(K() % 11 == 0, o).otherwise(h)).where("run_id % 7 <> 0"))
 
 
 @query("rc10_receipt_verdict", f"SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'legacy' WHEN run_id % 3 = 0 THEN 'failed' WHEN run_id % 2 = 0 THEN 'deferred' ELSE 'done' END AS verdict FROM {RUNS} r")
 def _(s, d):
-    receipt = runs(s, d, schema_version=F.when(K % 5 == 0, 1).otherwise(2), editing_state=F.when(K % 2 == 0, "editing").otherwise("frozen"))
+    receipt = runs(s, d, schema_version=F.when(K() % 5 == 0, 1).otherwise(2), editing_state=F.when(K() % 2 == 0, "editing").otherwise("frozen"))
     return rc.receipt_verdict(receipt, runs(s, d).where("run_id % 3 = 0"))
 
 
