@@ -13,8 +13,7 @@ from docverify.llm.common import settled, table
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language ID rejects: null texts and texts without a letter (``und``)."""
-    names = langid.predict(docs.where(F.col("text").isNotNull()), langid.learn(docs), keep=docs.columns)
-    return names.where(F.col("lang_pred") != "und").select(docs.columns)
+    return langid.predict(docs, langid.learn(docs), whole=True).where(F.col("lang_pred") != "und").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,8 +173,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return build(languages, [(g["code"].to_numpy(), g["n"].to_numpy()) for _, g in by.groupby("lang")]) if languages else None
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, held_out, lang_pred, score; or the columns of ``keep``, lang_pred and score.
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Per row: id, held_out, lang_pred, score; with ``whole`` the row itself as a struct (row), lang_pred and score.
 
     Null texts and texts without a letter: ``und`` with score 0, and so is everything where nothing could be learned.  Ties go to the
     language first in order.  Repeated rows and null ids give a row each; other columns are left out; an empty
@@ -184,9 +184,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
+            given = batch.column("row").field(text_col) if whole else batch.column("t")
             names, scores = [], []
             for at in range(0, batch.num_rows, ROWS):
-                texts = batch.column("t").slice(at, ROWS).to_pylist()
+                texts = given.slice(at, ROWS).to_pylist()
                 known = [m is not None and t is not None and _letter(t) for t in texts]
                 bits = iter(lengths(m, [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, known, strict=True) if k]) if m else ())
                 for k in known:
@@ -199,10 +200,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         names.append("und")
                         scores.append(0.0)
             found = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in batch.schema.names if n != "t"), *found], [*(n for n in batch.schema.names if n != "t"), "lang_pred", "score"])
+            first = "row" if whole else "id"
+            yield pa.RecordBatch.from_arrays([batch.column(first), *found], [first, "lang_pred", "score"])
 
-    if keep is not None:
-        carried = StructType([f for f in docs.schema.fields if f.name in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-        return docs.select(*carried.fieldNames()[:-2], F.col(text_col).alias("t")).mapInArrow(predicted, carried)
+    if whole:
+        row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        return row.mapInArrow(predicted, StructType([row.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(predicted, "id long, lang_pred string, score double")
     return own.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")

@@ -120,7 +120,7 @@ def graph(texts: list[str], bases: list[list[Span]], most: int | None = None) ->
                     skip.append((seen[key], n))
                 seen[key] = n
     pairs = lambda e: np.array(e, np.int64).reshape(-1, 2)
-    return Graph(np.array(owner, np.int64), spans, np.array(x, np.float64).reshape(len(spans), -1), np.array(y, np.int64), pairs(chain), pairs(skip))
+    return Graph(np.array(owner, np.int64), spans, np.array(x, np.float64).reshape(len(spans), len(_features("0", ""))), np.array(y, np.int64), pairs(chain), pairs(skip))
 
 
 @dataclass

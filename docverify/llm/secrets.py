@@ -104,16 +104,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[SECRET]", wide: int = WIDE, varied: int = VARIED) -> DataFrame:
     """The rows with each live secret's span replaced by ``mask``; copied examples stay.  Columns and row count stay as they are."""
-    columns = docs.columns
-    found = settled(candidates(docs, text_col), "secrets-text")
+    row = F.col("row").getField(text_col)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"))
+    found = settled(candidates(own).drop("text"), "secrets-text")
     some = F.size("base") + F.size("own") > 0
-    live = judged(found, owner_col, repo_col, wide, varied).where("size(live) > 0").select("row_key", "live")
+    live = judged(found, "owner", "repo", wide, varied).where("size(live) > 0").select("row_key", "live")
     marked = found.where(some).join(live, "row_key", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:  # spans by start; what lies in an earlier one is masked with it
-        kept = F.substring(F.col(text_col), state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
+        kept = F.substring(row, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["stop"] <= state["at"], state["out"]).otherwise(F.concat(state["out"], kept, F.lit(mask))).alias("out"))
 
-    masked = F.aggregate("live", start, step, lambda s: F.concat(s["out"], F.substr(F.col(text_col), s["at"] + 1)))
-    return marked.withColumn(text_col, F.when(F.col("live").isNull(), F.col(text_col)).otherwise(masked)).select(columns).unionByName(found.where(~some).select(columns))
+    masked = F.aggregate("live", start, step, lambda s: F.concat(s["out"], F.substr(row, s["at"] + 1)))
+    changed = marked.withColumn("row", F.col("row").withField(text_col, F.when(F.col("live").isNull(), row).otherwise(masked)))
+    return changed.select("row.*").unionByName(found.where(~some).select("row.*"))

@@ -42,6 +42,9 @@ def _buffers(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]
     size = 0
     for i, text in enumerate(texts):
         at = 0
+        if len(text) > BUFFER and parts:  # hashes come text after text
+            yield b" ".join(parts), numbers, np.cumsum([len(p) + 1 for p in parts]).tolist()
+            parts, numbers, size = [], [], 0
         while len(text) - at > BUFFER:
             cut = max(text.rfind(c, at, at + BUFFER) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
             if cut <= at:
