@@ -52,7 +52,16 @@ def title_key(col: Column) -> Column:
 
 
 def occurrences(text: Column, part: Column) -> Column:
-    """0-based starts of all occurrences, overlapping ones too; none of an empty part."""
-    n = F.length(text) - F.length(part) + 1
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(text, p, F.length(part)) == part)
-    return F.when((F.length(part) == 0) | (n < 1), F.array().cast("array<int>")).otherwise(F.transform(starts, lambda p: p - 1))
+    """0-based starts of all occurrences, overlapping ones too; none of an empty part.
+
+    The text is cut before each occurrence, and the pieces' lengths are added up: one pass over it."""
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.split(text, literal, -1)
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), F.when(F.startswith(text, part), F.array(F.lit(0))).otherwise(none).alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        at = state["at"] + F.length(piece)
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
+
+    return F.when(F.coalesce(F.length(part) > 0, F.lit(False)), F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda s: s["out"])).otherwise(none)
