@@ -26,6 +26,8 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = QUERIES[name](spark, SF)
     cols = sorted(found.columns)
-    want = con.execute(oracles()[name]).fetch_arrow_table().to_pylist()
+    answer = con.execute(oracles()[name])
+    names = [c[0] for c in answer.description]
+    want = [dict(zip(names, row, strict=True)) for row in answer.fetchall()]
     text = lambda r: "|".join(str(r[c]) for c in cols)
     assert sorted(text(r) for r in found.toArrow().to_pylist()) == sorted(text(r) for r in want)
