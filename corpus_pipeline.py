@@ -12,18 +12,22 @@ from docverify.llm.common import settled, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: null texts and texts without a letter (``und``)."""
+    """Drops documents that language ID rejects: null texts and texts without a letter (``und``).  Null ids and repeated rows are judged each by its text."""
     return langid.predict(docs, langid.learn(docs), whole=True).where(F.col("lang_pred") != "und").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates (five words, 0.8)."""
+    """Keeps the document with the least id of each group of near duplicates (five words, 0.8).
+
+    Texts without a word and null ids stay; rows that repeat an id stay or go together."""
     doubles = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
     return docs.join(doubles, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item (five words, 0.8 of its shingles)."""
+    """Drops documents that hold a benchmark item (five words, 0.8 of its shingles).
+
+    Null and empty texts and null ids stay; rows that repeat an id go together."""
     leaks = decontam.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 

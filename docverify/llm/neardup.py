@@ -262,8 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: id, n_shingles, component_id (least id reachable over links), kept.
 
     Null and empty texts have an empty set and are linked with nothing; a null id takes no part in links, its component is
-    null and it is kept; rows that repeat an id count as one document with the texts of both; other columns are left out;
-    an empty table gives no rows.
+    null and it is kept; rows that repeat an id are each placed by their own text's class, and classes with the same least
+    id are one; other columns are left out; an empty table gives no rows.
 
     A group of equal texts is summed before its shuffle and joined as one row, so it may hold a third of all rows."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
