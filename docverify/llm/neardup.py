@@ -10,18 +10,22 @@ several levels are walked in one pass.  Then nodes are counted:
 * nodes whose documents are all linked are done, however large;
 * in small nodes that are left each document is held against the most alike of another class, and after that
   documents that still have a likely partner in another class are compared exhaustively, with their full sets, inside the node;
-* large ones branch further.
+* large ones branch further, and their documents start as many further trees, on positions that no tree has used, as that depth asks for;
+* after the last pass large ones are cut into blocks, and every two blocks are a node of their own.
 
 Pairs are held against their signatures first, then against the full shingle sets, and only the latter makes a link.
 No step emits the pairs of a node: rows and links grow with the documents, however large a group is.
-Trees are independent; with 16 of them a pair of similarity 0.8 misses all common nodes once in some ten million times, and its
-signatures fall short once in some thirty thousand; more similar ones are missed less.
+All of the first 16 trees pick from the same 64 positions.  By calculation (``missed``) a pair of similarity 0.8 shares no node of theirs after
+three levels in about six of a million cases; where nodes branch on, further trees hold that below MISS at each depth.  Its signatures
+fall short once in some thirty thousand times; more similar pairs are missed less.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,9 @@ from .shingles import U, minhash, minhash_factors, mixed, shingle_sets
 POSITIONS, MARKS, TREES, LEVELS, SMALL = 64, 256, 16, 3, 4096
 #: A node takes a second position this often; four standard errors of the signature below the least similarity.
 SECOND, SLACK = 0.25, 0.1
-#: Passes after which a node is compared exhaustively whatever its size; ids up to which the scan for full sets gets them by broadcast (8 MB), and bytes of full sets up to which pairs do.
+#: Chance at most that a pair of the least similarity shares no node at a depth that nodes branch to.
+MISS = 1e-5
+#: Passes after which a node is compared exhaustively, block by block, whatever its size; ids up to which the scan for full sets gets them by broadcast (8 MB), and bytes of full sets up to which pairs do.
 PASSES, FEW, FEW_BYTES = 8, 500_000, 16 << 20
 
 
@@ -52,6 +58,33 @@ def walk(nodes: np.ndarray, rows: np.ndarray, signatures: np.ndarray, levels: in
     return nodes, rows
 
 
+def missed(similarity: float, depth: int, trees: int, positions: int) -> float:
+    """Chance that a pair shares no node of some trees at a depth, which all pick from the same positions.
+
+    Given the share of positions at which the pair agrees, trees are independent, and a node's children die out alike."""
+    agree = np.arange(positions + 1)
+    share = agree / positions
+    gone = np.zeros(positions + 1)
+    for _ in range(depth):
+        one = 1 - share + share * gone
+        gone = (1 - SECOND) * one + SECOND * one * one
+    chance = np.array([float(comb(positions, k)) for k in agree]) * similarity**agree * (1 - similarity) ** (positions - agree)
+    return float((chance * gone**trees).sum())
+
+
+@cache
+def further(similarity: float, depth: int, trees: int) -> int:
+    """Trees on fresh positions that hold the chance of a miss at a depth to MISS, beside the first ones."""
+    low, high = -1, 1
+    left = MISS / missed(similarity, depth, trees, POSITIONS)
+    while missed(similarity, depth, high, MARKS - POSITIONS) > left:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if missed(similarity, depth, middle, MARKS - POSITIONS) <= left else (middle, high)
+    return high
+
+
 def _matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -74,25 +107,38 @@ def signatures(docs: DataFrame, width: int, positions: int = POSITIONS, marks: i
     return docs.mapInArrow(sign, "id long, n long, k1 long, k2 long, sig binary, marks binary")
 
 
-def _branch(rows: DataFrame, levels: int, trees: int | None = None) -> DataFrame:
-    """node and id of rows (id, sig), from the roots of all trees, or (id, sig, node) from where they are."""
+def _branch(rows: DataFrame, levels: int, trees: range | None = None, fresh: bool = False) -> DataFrame:
+    """node and id of rows (id, sig), from the roots of the trees, or (id, sig, node) from where they are.
+
+    Nodes of fresh trees are odd, those of the first trees even; fresh positions are a byte each."""
+    many = (len(trees) if trees else 1) * (1 + SECOND) ** levels
+    size = max(1, min(2048, int(65536 / many)))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                sigs = _matrix(part.column("sig"))
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                sigs = _matrix(part.column("sig"), "u1" if fresh else "<u4")
                 own = np.arange(len(sigs))
                 if trees is None:
                     start = np.array(part.column("node").to_pylist(), np.int64).view(U)
                 else:
-                    start, own = np.repeat(mixed(np.arange(1, trees + 1, dtype=U)), len(sigs)), np.tile(own, trees)
+                    start, own = np.repeat(mixed(np.arange(trees.start + 1, trees.stop + 1, dtype=U)), len(sigs)), np.tile(own, len(trees))
                 nodes, at_row = walk(start, own, sigs, levels)
+                nodes = nodes | U(1) if fresh else nodes & ~U(1)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), part.column("id").take(pa.array(at_row))], ["node", "id"])
 
     return rows.mapInArrow(step, "node long, id long")
 
 
+def _blocks(rows: DataFrame, small: int) -> DataFrame:
+    """Rows (node, id, size) with nodes over ``small`` cut into blocks of half that many documents: every two blocks are a node."""
+    large = F.col("size") > small
+    count = F.ceil(F.col("size") * 2 / small)
+    cut = rows.where(large).withColumns({"count": count, "own": F.pmod(F.xxhash64("id"), count)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).where("own <> other")
+    return rows.where(~large).unionByName(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", F.lit(small).cast("long").alias("size")))
+
+
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough."""
 
@@ -214,12 +260,14 @@ def _nodes(batches: Iterator[pa.RecordBatch], numbers: list[str], data: str) ->
                 rest.append(part)
 
 
-def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, trees: int = TREES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
+def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, passes: int = PASSES) -> DataFrame:
     """id and label of those of the rows (id, sig, marks) that a link joins to another; docs: (id, text)."""
     least = percent / 100 - SLACK
     labels = docs.sparkSession.createDataFrame([], "id long, label long")
-    frontier = _branch(sigs.select("id", "sig"), levels, trees)
+    frontier = _branch(sigs.select("id", "sig"), levels, range(trees))
     marks = sigs.select("id", "marks")
+    unused = marks.select("id", F.substring("marks", POSITIONS + 1, MARKS).alias("sig"))
+    grown = trees
 
     def taken(found: DataFrame) -> None:
         """Links join what is linked already: each class is one node of the new graph."""
@@ -240,21 +288,26 @@ def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, t
         return settled(named.join(several, "node").select("node", "id", "label", "size"), "dup-mixed")
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    for turn in range(PASSES + 1):
-        most = F.lit(small) if turn < PASSES else F.col("size")
+    for turn in range(passes + 1):
         sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
         members = settled(frontier.join(sizes, "node"), "dup-members")
         taken(confirmed(settled(_likely(members.where("id <> first").select(*pair("id", "first")).distinct(), sigs, least), "dup-likely"), docs, width, percent))
-        rest = mixed_of(members.select("node", "id", "size"))
-        near = settled(_across(rest.where(F.col("size") <= most).join(marks, "id"), least), "dup-near")
+        rest = members.select("node", "id", "size")
+        rest = mixed_of(rest if turn < passes else _blocks(rest, small))
+        near = settled(_across(rest.where(F.col("size") <= small).join(marks, "id"), least), "dup-near")
         taken(confirmed(settled(near.select(*pair("id", "other")).distinct(), "dup-likely"), docs, width, percent))
         rest = mixed_of(rest.select("node", "id", "size"))
-        alike = settled(_across(rest.where(F.col("size") <= most).join(marks, "id"), least).select("node", "id").join(rest.select("node", "id", "label"), ["node", "id"]), "dup-near")
+        alike = settled(_across(rest.where(F.col("size") <= small).join(marks, "id"), least).select("node", "id").join(rest.select("node", "id", "label"), ["node", "id"]), "dup-near")
         taken(_exact(alike.join(full_sets(docs, alike.select("id"), width), "id"), percent))
-        frontier = rest.where(F.col("size") > most).select("node", "id")
-        if frontier.isEmpty():
+        frontier = rest.where(F.col("size") > small).select("node", "id")
+        if turn == passes or frontier.isEmpty():
             return labels
-        frontier = _branch(frontier.join(sigs.select("id", "sig"), "id"), levels)
+        depth, odd = levels * (turn + 2), F.col("node").bitwiseAND(F.lit(1).cast("long")) == 1
+        start = range(grown, max(grown, trees + further(percent / 100, depth, trees)))
+        grown, ids = start.stop, frontier.select("id").distinct()
+        frontier = _branch(frontier.where(~odd).join(sigs.select("id", "sig"), "id"), levels).unionByName(_branch(frontier.where(odd).join(unused, "id"), levels, fresh=True))
+        if start:
+            frontier = frontier.unionByName(_branch(ids.join(unused, "id"), depth, start, fresh=True))
     return labels
 
 

@@ -235,6 +235,42 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert {i: (r.component_id, r.n_shingles, r.kept) for i, r in found.items()} == {i: (root(i), len(sets[i]), root(i) == i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("passes", [2, 0])
+def test_links_of_large_mixed_nodes_equal_brute_force(spark, passes):
+    """Thirty pairs of similarity 0.8 in texts that are all alike: no node is small at first."""
+    common = [f"c{i}" for i in range(88)]
+    texts = [" ".join([*common, *(f"f{i // 2}x{k}" for k in range(2)), *(f"d{i}x{k}" for k in range(11))]) for i in range(60)]
+    own = docs(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    sigs = neardup.settled(neardup.signatures(own, 1), "test")
+    found = {r.id: r.label for r in neardup.linked_classes(own, sigs.select("id", "sig", "marks"), 1, 80, trees=4 if passes else 16, small=8, passes=passes).collect()}
+    assert found == {i: i // 2 * 2 for i in range(60)}
+
+
+def test_trees_hold_recall_at_every_depth():
+    """A walk of pairs that agree at 0.8 of all positions, and the calculation that trees are counted by."""
+    rng = np.random.default_rng(3)
+    n, depth = 2000, 9
+    least = rng.integers(0, 1 << 32, (n, 64), np.uint32)
+    other = np.where(rng.random((n, 64)) < 0.8, least, rng.integers(0, 1 << 32, (n, 64), np.uint32))
+    met = np.zeros(n, bool)
+    for tree in range(1, 9):
+        root = np.full(n, neardup.mixed(np.array([tree], shingles.U))[0])
+        (a, i), (b, j) = (neardup.walk(root, np.arange(n), x, depth) for x in (least, other))
+        met[[r for r, _ in set(zip(i.tolist(), a.tolist(), strict=True)) & set(zip(j.tolist(), b.tolist(), strict=True))]] = True
+    assert (~met).mean() <= 1.3 * neardup.missed(0.8, depth, 8, 64)
+    for deep in range(3, 28, 3):
+        assert neardup.missed(0.8, deep, 16, 64) * neardup.missed(0.8, deep, neardup.further(0.8, deep, 16), 192) <= neardup.MISS
+
+
+def test_blocks_of_a_node_hold_every_pair(spark):
+    rows = spark.range(200).select(F.lit(7).cast("long").alias("node"), "id", F.lit(200).cast("long").alias("size"))
+    sets = {}
+    for r in neardup._blocks(rows, 32).collect():
+        sets.setdefault(r.node, set()).add(r.id)
+    assert max(map(len, sets.values())) < 64
+    assert len({(a, b) for s in sets.values() for a in s for b in s if a < b}) == 200 * 199 // 2
+
+
 def test_near_duplicates_of_null_ids_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (3, "a b c")], "doc_id long, text string")
     assert by_id(neardup.near_duplicates(df))[None].component_id is None and by_id(neardup.near_duplicates(df))[5].component_id == 3
