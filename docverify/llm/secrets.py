@@ -2,8 +2,8 @@
 
 Every text gives candidates: the three base kinds, and long tokens of mixed letters and digits
 (kind ``owned``).  Candidate hashes are counted over the corpus by distinct owners and
-repositories.  What many owners hold is a copied example; what one or a few hold and looks
-random is taken as live.  The method adds the live ``owned`` spans; base spans stay whatever their verdict.
+repositories.  What many owners hold is a copied example; what one or a few hold is
+taken as live, of kind ``owned`` only if it looks random: a base kind is judged by ownership alone.  The method adds the live ``owned`` spans; base spans stay whatever their verdict.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-#: Owners from which on a value is a copied example, and distinct characters from which on it looks random.
+#: Owners from which on a value is a copied example, and distinct characters from which on one of kind ``owned`` looks random.
 WIDE, VARIED = 3, 8
 #: The base kinds in their order, then the method's own; the group that holds the value; its least length.
 KINDS = [
@@ -69,7 +69,7 @@ def ownership(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE,
     Counted in three steps, each summed before its shuffle, so that a value copied to a third of all rows arrives as a row for
     each task.  A null owner counts as one owner."""
     spans = found.where("size(base) + size(own) > 0").select("row_key", F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.explode(F.concat("base", "own")).alias("s"))
-    spans = spans.select("row_key", "owner", "repo", "s.start", "s.stop", "s.kind_no", F.sha2("s.value", 256).alias("hash"), (F.size(F.array_distinct(F.split("s.value", ""))) >= varied).alias("random"))
+    spans = spans.select("row_key", "owner", "repo", "s.start", "s.stop", "s.kind_no", F.sha2("s.value", 256).alias("hash"), ((F.col("s.kind_no") < 3) | (F.size(F.array_distinct(F.split("s.value", ""))) >= varied)).alias("random"))
     pairs = spans.groupBy("hash", "owner", "repo").agg(F.max("random").alias("random"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("random").alias("random"))
     counts = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("random").alias("random"))

@@ -120,6 +120,13 @@ def test_ownership_parts_examples_from_live_ones(spark):
     assert secrets.redact(df).columns == df.columns and secrets.scan(df.limit(0)).count() == 0
 
 
+def test_short_secrets_of_one_owner_are_live(spark):
+    df = docs(spark, ["password=hunter2 x", "secret: letmein1", "AKIA" + "Q7" * 10, "token=example1", "token=example1", "token=example1"])
+    found, masked = by_id(secrets.scan(df)), by_id(secrets.redact(df))
+    assert [(found[i].n_live, found[i].n_example) for i in range(6)] == [(1, 0)] * 3 + [(0, 1)] * 3
+    assert [masked[i].text for i in (0, 1, 2, 3)] == ["[SECRET] x", "[SECRET]", "[SECRET]", "token=example1"]
+
+
 # --- 4
 
 
