@@ -2,7 +2,7 @@
 
 Every text gives candidates: the three base kinds, and long tokens of mixed letters and digits
 (kind ``owned``).  Candidate hashes are counted over the corpus by distinct owners and
-repositories.  What many owners hold is a copied example; what one or a few hold is
+repositories.  What many owners or many repositories hold is a copied example; what a few of both hold is
 taken as live, of kind ``owned`` only if it looks random: a base kind is judged by ownership alone.  The method adds the live ``owned`` spans; base spans stay whatever their verdict.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-#: Owners from which on a value is a copied example, and distinct characters from which on one of kind ``owned`` looks random.
-WIDE, VARIED = 3, 8
+#: Owners from which on a value is a copied example, repositories (summed over owners) from which on it is one too, and distinct characters from which on one of kind ``owned`` looks random.
+WIDE, MANY, VARIED = 3, 10, 8
 #: The base kinds in their order, then the method's own; the group that holds the value; its least length.
 KINDS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -63,8 +63,8 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return with_base.withColumn("own", free)
 
 
-def ownership(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED) -> tuple[DataFrame, DataFrame]:
-    """Spans with their candidate's hash, and per hash: owners, repos, live.
+def ownership(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED, many: int = MANY) -> tuple[DataFrame, DataFrame]:
+    """Spans with their candidate's hash, and per hash: owners, repos (of each owner), example, live.
 
     Counted in three steps, each summed before its shuffle, so that a value copied to a third of all rows arrives as a row for
     each task.  A null owner counts as one owner."""
@@ -73,42 +73,44 @@ def ownership(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE,
     pairs = spans.groupBy("hash", "owner", "repo").agg(F.max("random").alias("random"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("random").alias("random"))
     counts = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("random").alias("random"))
-    return spans, counts.select("hash", "owners", "repos", (F.col("random") & (F.col("owners") < wide)).alias("live"))
+    example = (F.col("owners") >= wide) | (F.col("repos") >= many)
+    return spans, counts.select("hash", "owners", "repos", example.alias("example"), (F.col("random") & ~example).alias("live"))
 
 
-def judged(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED) -> DataFrame:
-    """For each row_key with candidates: live (spans of live candidates) and n_example (spans of copied ones)."""
-    spans, verdicts = ownership(found, owner_col, repo_col, wide, varied)
+def judged(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED, many: int = MANY) -> DataFrame:
+    """For each row_key with candidates: live (spans of live candidates), n_example (spans of copied ones) and counts (owners and repositories of all)."""
+    spans, verdicts = ownership(found, owner_col, repo_col, wide, varied, many)
     span = F.struct("start", "kind_no", "stop")
     joined = spans.join(verdicts, "hash")
-    return joined.groupBy("row_key").agg(F.array_sort(F.collect_list(F.when(F.col("live"), span))).alias("live"), F.count_if(F.col("owners") >= wide).alias("n_example"))
+    return joined.groupBy("row_key").agg(F.array_sort(F.collect_list(F.when(F.col("live"), span))).alias("live"), F.count_if("example").alias("n_example"), F.array_sort(F.collect_list(F.struct("start", "kind_no", "owners", "repos"))).alias("counts"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", wide: int = WIDE, varied: int = VARIED) -> DataFrame:
-    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", wide: int = WIDE, varied: int = VARIED, many: int = MANY) -> DataFrame:
+    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, ownership (kind:start:owners:repositories of every candidate).
 
     Null and empty texts have no spans; repeated rows and ids give a row each; a null owner is one owner of its own; other
     columns are left out; an empty table gives no rows."""
     own = docs.select(F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), F.col(text_col).alias("text"))
     found = settled(candidates(own).drop("text"), "secrets")
-    verdicts = judged(found, "owner", "repo", wide, varied)
+    verdicts = judged(found, "owner", "repo", wide, varied, many)
     every = found.join(verdicts, "row_key", "left")
     added = F.filter(F.coalesce("live", F.array().cast("array<struct<start:int,kind_no:int,stop:int>>")), lambda s: s["kind_no"] == 3)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long")
-    base = _plain(F.col("base"))
+    base, kinds = _plain(F.col("base")), F.array(*(F.lit(k[0]) for k in KINDS))
     return every.select(
         F.col("id").alias(id_col), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_named(base), 256).alias("base_sha256"), _named(F.concat(base, added)).alias("spans"),
         F.coalesce(F.size("live"), F.lit(0)).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce(F.array_join(F.transform("counts", lambda s: F.concat_ws(":", F.get(kinds, s["kind_no"]), s["start"], s["owners"], s["repos"])), ","), F.lit("")).alias("ownership"),
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[SECRET]", wide: int = WIDE, varied: int = VARIED) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[SECRET]", wide: int = WIDE, varied: int = VARIED, many: int = MANY) -> DataFrame:
     """The rows with each live secret's span replaced by ``mask``; copied examples stay.  Columns and row count stay as they are."""
     row = F.col("row").getField(text_col)
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"))
     found = settled(candidates(own).drop("text"), "secrets-text")
     some = F.size("base") + F.size("own") > 0
-    live = judged(found, "owner", "repo", wide, varied).where("size(live) > 0").select("row_key", "live")
+    live = judged(found, "owner", "repo", wide, varied, many).where("size(live) > 0").select("row_key", "live")
     marked = found.where(some).join(live, "row_key", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -127,6 +127,15 @@ def test_short_secrets_of_one_owner_are_live(spark):
     assert [masked[i].text for i in (0, 1, 2, 3)] == ["[SECRET] x", "[SECRET]", "[SECRET]", "token=example1"]
 
 
+def test_value_copied_widely_within_one_source_is_an_example(spark):
+    shared, few = "Zx9Qw8Er7Ty6Ui5Op4As3", "Mn1Bv2Cx3Zl4Kj5Hg6Fd7"
+    df = docs(spark, [f"key {shared}"] * 12 + [f"key {few}"] * 2).withColumn("source", F.lit("hot"))
+    found, masked = by_id(secrets.scan(df)), by_id(secrets.redact(df))
+    assert {(found[i].spans, found[i].n_live, found[i].n_example, found[i].ownership) for i in range(12)} == {("", 0, 1, "owned:4:1:12")}
+    assert {(found[i].spans, found[i].n_live, found[i].n_example, found[i].ownership) for i in (12, 13)} == {("owned:4:25", 1, 0, "owned:4:1:2")}
+    assert masked[0].text == f"key {shared}" and masked[13].text == "key [SECRET]"
+
+
 # --- 4
 
 
