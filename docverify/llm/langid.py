@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import held_out
 
-#: Texts of each language that are learned from at most (expected; they are picked by a hash), and languages.
-SAMPLE, LANGUAGES = 1000, 256
+#: Texts of each language that are learned from at most (expected; they are picked by a hash); of all languages together, as long as each keeps so many.
+SAMPLE, TOTAL, FEWEST = 1000, 16_000, 20
+#: Languages of a model: with more there are several, so that a model's columns stay close to full.  Languages up to which their counts are broadcast (4 MB).
+BLOCK, FEW = 8, 100_000
+#: Codes that a counting task holds at once.
+HELD = 1 << 22
 #: Bytes that are scored at once, and texts of a batch.
 BUFFER, ROWS = 1 << 19, 128
 LEAD = b"   "
@@ -30,7 +35,7 @@ LEAD = b"   "
 
 @dataclass
 class Model:
-    """Costs in bits, a column a language; ``gram`` and ``triple`` are sorted codes of four and three bytes, ``context`` of three with the escape from it."""
+    """Costs in bits of some languages, a column each; ``gram`` and ``triple`` are sorted codes of four and three bytes, ``context`` of three with the escape from it."""
 
     languages: list[str]
     gram: np.ndarray
@@ -148,53 +153,72 @@ def _letter(text: str) -> bool:
     return any(x[0].isalpha() for x in re.finditer(r"[^\W\d_]", text))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """The trees of all languages, each from at most about ``sample`` of its texts that are not held out; None without any.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, total: int = TOTAL) -> list[Model]:
+    """The trees of every language in ``lang``, in order and in blocks; an empty list without any.
 
-    Tasks count; the driver gets one row for each language and distinct code of that bounded sample."""
+    Each is learned from at most about ``sample`` of its texts that are not held out; with more languages than ``total / sample`` from
+    their share of ``total``, but FEWEST at least.  Tasks count, and hold a bounded number of codes; the driver gets one row for each
+    language and distinct code of that sample."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("id")))
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    # a table of LANGUAGES rows at most
-    picked = own.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) * F.col("count") < 1_000_000 * sample).select("lang", "t")
+    sizes = own.groupBy("lang").count()
+    n = sizes.count()
+    each = max(FEWEST, min(sample, total // max(n, 1)))
+    picked = own.join(F.broadcast(sizes) if n <= FEW else sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) * F.col("count") < 1_000_000 * each).select("lang", "t")
+
+    def counted(found: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in found.items():
+            codes, times = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(times.astype(np.int64))], ["lang", "code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if text:
-                    found.setdefault(lang, []).append(codes_of(LEAD + text.encode("utf-8", "surrogatepass")))
-        for lang, parts in found.items():
-            codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
-
-    counted = picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    by = counted.to_pandas().sort_values(["lang", "code"])
-    languages = sorted(by["lang"].unique())
-    return build(languages, [(g["code"].to_numpy(), g["n"].to_numpy()) for _, g in by.groupby("lang")]) if languages else None
-
-
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+                data = LEAD + (text or "").encode("utf-8", "surrogatepass")
+                for at in range(0, len(data) - 3, BUFFER):
+                    codes = codes_of(data[at : at + BUFFER + 3])
+                    found.setdefault(lang, []).append(codes)
+                    held += len(codes)
+                    if held >= HELD:
+                        yield from counted(found)
+                        found, held = {}, 0
+        yield from counted(found)
+
+    rows = picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("code", "ascending")])
+    lang = rows.column("lang").combine_chunks().dictionary_encode()
+    langs, number = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
+    codes, times = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+    ends = np.searchsorted(number, np.arange(len(langs) + 1)).tolist()
+    spans = list(zip(langs, pairwise(ends), strict=True))
+    blocks = [spans[i : i + BLOCK] for i in range(0, len(spans), BLOCK)]
+    return [build([x for x, _ in block], [(codes[a:b], times[a:b]) for _, (a, b) in block]) for block in blocks]
+
+
+def predict(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Per row: id, held_out, lang_pred, score; with ``whole`` the row itself as a struct (row), lang_pred and score.
 
     Null texts and texts without a letter: ``und`` with score 0, and so is everything where nothing could be learned.  Ties go to the
     language first in order.  Repeated rows and null ids give a row each; other columns are left out; an empty
-    table gives no rows.  The model, bounded by its sample, is broadcast; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    table gives no rows.  The models, bounded by their sample, are broadcast; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        blocks = sent.value
+        languages = [x for m in blocks for x in m.languages]
         for batch in batches:
             given = batch.column("row").field(text_col) if whole else batch.column("t")
             names, scores = [], []
             for at in range(0, batch.num_rows, ROWS):
                 texts = given.slice(at, ROWS).to_pylist()
-                known = [m is not None and t is not None and _letter(t) for t in texts]
-                bits = iter(lengths(m, [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, known, strict=True) if k]) if m else ())
+                known = [bool(languages) and t is not None and _letter(t) for t in texts]
+                data = [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, known, strict=True) if k]
+                bits = iter(np.concatenate([lengths(m, data) for m in blocks], axis=1) if blocks else ())
                 for k in known:
                     if k:
                         own = next(bits)
                         best = int(own.argmin())
-                        names.append(m.languages[best])
+                        names.append(languages[best])
                         scores.append(float(1 / np.exp2(own[best] - own).sum()))
                     else:
                         names.append("und")

@@ -159,6 +159,38 @@ def test_language_held_out_and_brute_force(spark):
     assert empty.first().lang_pred == "und"
 
 
+def test_three_hundred_languages(spark):
+    """Every given language can be predicted, the rarest too; each has letters and endings of its own."""
+    rng = random.Random(7)
+    made = []
+    for k in range(300):
+        own = rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèçñåø", 9)
+        made.append(["".join(rng.choice(own) for _ in range(rng.randint(3, 7))) for _ in range(12)])
+    langs = [k for k in range(300) for _ in range(6 if k % 3 else 12)]
+    df = docs(spark, [" ".join(rng.choices(made[k], k=30)) for k in langs], [f"l{k:03}" for k in langs])
+    models = langid.learn(df)
+    assert [x for m in models for x in m.languages] == [f"l{k:03}" for k in range(300)] and max(len(m.languages) for m in models) <= langid.BLOCK
+    found = by_id(langid.predict(df, models))
+    out = [(r.lang_pred, f"l{langs[i]:03}") for i, r in found.items() if r.held_out]
+    assert len(out) > 300 and np.mean([a == b for a, b in out]) > 0.97
+    assert {r.lang_pred for r in found.values()} == {f"l{k:03}" for k in range(300)}
+
+
+def test_language_ties_repeats_and_long_texts(spark, monkeypatch):
+    learned = [i for i in range(30) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    df = docs(spark, ["same words here"] * 30, ["b" if i in learned[::2] else "a" for i in range(30)]).where(F.col("doc_id").isin(learned))
+    assert {r.lang_pred for r in langid.predict(df, langid.learn(df)).collect()} == {"a"}
+    twice = df.unionByName(df)
+    assert langid.predict(twice, langid.learn(twice)).count() == 16 and langid.predict(df.limit(0), langid.learn(df)).count() == 0
+    nulls = df.withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.when(F.col("own") == 1, F.lit(None).cast("string")))
+    assert langid.learn(nulls) == []
+    whole = langid.learn(df)
+    monkeypatch.setattr(langid, "BUFFER", 8)
+    monkeypatch.setattr(langid, "HELD", 16)
+    parts = langid.learn(df)
+    assert (whole[0].gram == parts[0].gram).all() and np.allclose(whole[0].cost3, parts[0].cost3)
+
+
 def test_code_length_is_that_of_the_trees():
     train, text = b"   abracadabra abba", "   abbazeéab".encode()
     codes, n = np.unique(langid.codes_of(train), return_counts=True)
