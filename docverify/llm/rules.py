@@ -2,8 +2,8 @@
 
 Sequential covering: from counts of labelled documents in cells of binned statistics (Spark makes both), a rule grows
 threshold by threshold while it gains, is pruned on the third of the sample that it didn't grow on, and is kept if it is
-right there often enough; then what it covers is taken out and the next one grows.  The list becomes one Spark
-conditional expression.
+right there often enough; then what it covers is taken out and the next one grows.  A rule that fails there gives way to one that
+begins elsewhere.  The list becomes one Spark conditional expression.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from .common import WORD, held_out
 
 #: Labelled rows that a list is learned from at most (expected; they are picked by a hash), and quantiles of a statistic.
 SAMPLE, BINS = 4000, 24
-#: Most rules and thresholds in a rule; how often a rule must be right on the rows it is pruned on, and how many of those it must cover.
-RULES, CONDITIONS, RIGHT, COVER = 8, 3, 0.95, 5
+#: Most rules and thresholds in a rule; how often a rule must be right on the rows it is pruned on; the share of the bad ones left there that it must cover, or this many; beginnings tried for a rule.
+RULES, CONDITIONS, RIGHT, SHARE, COVER, TRIES = 8, 3, 0.95, 0.1, 5, 24
 STATISTICS = ["n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "line_words"]
 
 
@@ -70,6 +70,11 @@ def _statistics() -> dict[str, Column]:
     return dict(zip(STATISTICS, values, strict=True))
 
 
+def _failed() -> Column:
+    """The base rules."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 @dataclass(frozen=True)
 class Condition:
     statistic: str
@@ -93,46 +98,60 @@ def _sums(cells: list[Cell], rule: list[tuple[int, bool, int]], k: int) -> tuple
     return sum(c[k] for c in own), sum(c[k + 1] for c in own)
 
 
-def cover(cells: list[Cell], bins: list[int], rules: int = RULES, conditions: int = CONDITIONS, right: float = RIGHT, least: float = COVER) -> list[list[tuple[int, bool, int]]]:
+def _grown(cells: list[Cell], bins: list[int], conditions: int, barred: set[tuple[int, bool, int]]) -> list[tuple[int, bool, int]]:
+    """Thresholds added by most information gain while there is any; the first is none of the barred ones."""
+    rule, own = [], cells
+    while len(rule) < conditions:
+        bad, good = sum(c[1] for c in own), sum(c[2] for c in own)
+        if not bad or not good:
+            break
+        best, gain = None, 1e-9
+        for f, n in enumerate(bins):
+            per = [[0.0, 0.0] for _ in range(n + 1)]
+            for c in own:
+                per[c[0][f]][0] += c[1]
+                per[c[0][f]][1] += c[2]
+            low = [0.0, 0.0]
+            for b in range(n):
+                low = [low[0] + per[b][0], low[1] + per[b][1]]
+                for above in (False, True):
+                    p, q = (bad - low[0], good - low[1]) if above else low
+                    g = p * (math.log2((p + 1e-9) / (p + q + 1e-9)) - math.log2(bad / (bad + good))) if p else 0
+                    if g > gain and (rule or (f, above, b) not in barred):
+                        best, gain = (f, above, b), g
+        if best is None:
+            break
+        rule.append(best)
+        own = [c for c in own if _held(c, [best])]
+    return rule
+
+
+def cover(cells: list[Cell], bins: list[int], rules: int = RULES, conditions: int = CONDITIONS, right: float = RIGHT, least: float = COVER, share: float = SHARE, tries: int = TRIES) -> list[list[tuple[int, bool, int]]]:
     """Sequential covering of bad documents: rules of (statistic's number, above, bin)."""
-    found = []
-    while len(found) < rules:
-        rule, own = [], cells
-        while len(rule) < conditions:
-            bad, good = sum(c[1] for c in own), sum(c[2] for c in own)
-            if not bad or not good:
-                break
-            best, gain = None, 1e-9
-            for f, n in enumerate(bins):
-                per = [[0.0, 0.0] for _ in range(n + 1)]
-                for c in own:
-                    per[c[0][f]][0] += c[1]
-                    per[c[0][f]][1] += c[2]
-                low = [0.0, 0.0]
-                for b in range(n):
-                    low = [low[0] + per[b][0], low[1] + per[b][1]]
-                    for above in (False, True):
-                        p, q = (bad - low[0], good - low[1]) if above else low
-                        g = p * (math.log2((p + 1e-9) / (p + q + 1e-9)) - math.log2(bad / (bad + good))) if p else 0
-                        if g > gain:
-                            best, gain = (f, above, b), g
-            if best is None:
-                break
-            rule.append(best)
-            own = [c for c in own if _held(c, [best])]
+    found: list[list[tuple[int, bool, int]]] = []
+    barred: set[tuple[int, bool, int]] = set()
+    while len(found) < rules and len(barred) < tries:
+        rule = _grown(cells, bins, conditions, barred)
+        if not rule:
+            break
+        first = rule[0]
         worth = lambda r: (lambda p, q: (p - q) / (p + q) if p + q else -1)(*_sums(cells, r, 3))
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
-        bad, good = _sums(cells, rule, 3)
-        if not rule or bad < least or bad < right * (bad + good) or _sums(cells, rule, 1)[0] < right * sum(_sums(cells, rule, 1)):
-            break
+        (bad, good), (grown_bad, grown_good) = _sums(cells, rule, 3), _sums(cells, rule, 1)
+        enough = min(least, max(1.0, share * sum(c[3] for c in cells)))
+        if bad < enough or bad < right * (bad + good) or grown_bad < right * (grown_bad + grown_good):
+            barred.add(first)
+            continue
         found.append(rule)
+        barred = set()
         cells = [c for c in cells if not _held(c, rule)]
     return found
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bins: int = BINS) -> list[list[Condition]]:
-    """The ordered list for bad documents (label 0), from at most about ``sample`` labelled rows that are not held out.
+    """The ordered list for bad documents (label 0), from at most about ``sample`` labelled rows that are not held out;
+    what fails the base rules is no concern of the list and left out.
 
     No usable label, or one class alone: an empty list, which keeps everything."""
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), (F.col(label_col) == 0).alias("bad"))
@@ -140,9 +159,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000))
     picked = own.where(place < 1_000_000 * min(1.0, sample / max(n, 1))).withColumn("prune", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 0)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = measured(texts.join(F.broadcast(picked), "id")).select("bad", "prune", *(c.alias(k) for k, c in _statistics().items())).cache()
-    cuts = rows.agg(*(F.percentile_approx(s, [i / bins for i in range(1, bins)], 10_000).alias(s) for s in STATISTICS)).first()
-    edges = [sorted(set(cuts[s] or [])) for s in STATISTICS]
+    rows = measured(texts.join(F.broadcast(picked), "id")).where(~_failed()).select("bad", "prune", *(c.alias(k) for k, c in _statistics().items())).cache()
+    at = [i / bins for i in range(1, bins)]
+    cuts = rows.agg(*(F.percentile_approx(c, at, 10_000).alias(n) for s in STATISTICS for c, n in ((F.col(s), s), (F.when(F.col("bad"), F.col(s)), f"{s}_bad")))).first()
+    edges = [sorted({*(cuts[s] or []), *(cuts[f"{s}_bad"] or [])}) for s in STATISTICS]
     code = lambda s, e: sum(((F.col(s) > x).cast("int") for x in e), F.lit(0))
     counts = rows.groupBy(F.array(*(code(s, e) for s, e in zip(STATISTICS, edges, strict=True))).alias("cell")).agg(
         F.count_if(F.col("bad") & ~F.col("prune")), F.count_if(~F.col("bad") & ~F.col("prune")), F.count_if(F.col("bad") & F.col("prune")), F.count_if(~F.col("bad") & F.col("prune"))
@@ -170,6 +190,5 @@ def apply(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id",
     Null and empty texts have no word, so the base fails; repeated rows and null ids give a row each; other columns are left
     out; an empty table gives no rows.  No shuffle."""
     own = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).drop("text")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = own.withColumns({"base_failed": failed, "rule": verdict(rules)})
+    judged = own.withColumns({"base_failed": _failed(), "rule": verdict(rules)})
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")

@@ -369,6 +369,24 @@ def test_rules_find_the_threshold(spark):
     assert rules.learn(docs(spark, texts), labels.limit(0)) == []
 
 
+def test_few_labels_still_give_rules_beyond_the_base():
+    """Twenty bad of two hundred, by a cell each; a beginning that fails on the pruning rows gives way to another."""
+    cell = lambda bins, bad, prune, n=1: (bins, *(n if (k == 0) == bad and p == prune else 0 for p in (False, True) for k in (0, 1)))
+    few = [cell((1, 0), True, False, 4), cell((1, 0), True, True, 2), cell((0, 0), False, False, 60), cell((0, 0), False, True, 30)]
+    assert rules.cover(few, [1, 1]) == [[(0, True, 0)]]
+    fails = [cell((1, 0), True, False, 4), cell((1, 0), False, True, 9), cell((0, 1), True, False, 3), cell((0, 1), True, True, 2), cell((0, 0), False, False, 60), cell((0, 0), False, True, 30)]
+    assert rules.cover(fails, [1, 1]) == [[(1, True, 0)]]
+    assert rules.cover([], [1, 1]) == [] and rules.cover([cell((0, 0), False, False, 5)], [1, 1]) == []
+
+
+def test_rules_of_odd_tables(spark):
+    df = docs(spark, ["a b c d e f g h i j", None, "", "x" * 400_000, "w " * 60_000])
+    labels = spark.createDataFrame([(0, 1, "s"), (0, 1, "s"), (1, 0, "s"), (None, 0, "s"), (3, None, "s")], "doc_id long, quality int, text string")
+    found = by_id(rules.apply(df, rules.learn(df, labels)))
+    assert [found[i].base_failed for i in range(5)] == [False, True, True, True, True] and found[4].n_repeat_words == 60_000
+    assert rules.apply(df.unionByName(df), []).count() == 10 and rules.apply(df.limit(0), []).count() == 0 and rules.learn(df.limit(0), labels) == []
+
+
 # --- 8
 
 
