@@ -1,20 +1,20 @@
 """Token ids and token counts of whole texts, by a public byte-level BPE vocabulary.
 
-Two ways to the same ids:
-
-* ``Encoder.ids``: ordinary texts, whole.  Where the vocabulary has a file of ranks
-  beside it, tiktoken encodes them (the same vocabulary, four times as fast); a text that
+* ``Encoder.ids``: the ids of a text.  Where the vocabulary has a file of ranks
+  beside it, tiktoken encodes (the same vocabulary, four times as fast); what
   may hold a special token's string goes to tokenizers, which knows these.
-* ``resync_count``: huge texts.  Overlapping chunks are encoded with offsets and
+* ``resync_count``: tokens of a text of any length.  Overlapping chunks are encoded with offsets and
   spliced at a place where both encodings have a token boundary and which is a
   proven stable one (no white space | white space); if an overlap has none, it
-  is widened until it has, or the text ends.
+  is widened, and if a whole chunk has none, the chunk at least doubles and reaches the next one.
+  A text of one chunk needs no splice.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk and of the first overlap; texts up to HUGE are encoded in one go.
-HUGE, CHUNK, OVERLAP = 65_536, 32_768, 512
+#: Characters of a chunk and of the first overlap.
+CHUNK, OVERLAP = 8192, 256
+#: Places where a token boundary can't depend on what stands before it.
+STABLE = re.compile(r"(?<=\S)[^\S\x1c-\x1f]")
 
 _loaded: dict[str, Encoder] = {}
 
@@ -46,7 +48,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # array's, on little-endian machines
-        self.ranked = None
+        self.ranked, self._sizes = None, None
         if os.path.exists(ranks := vocabulary(name).replace(".json", ".tiktoken")):
             import public_tokenizers
             import tiktoken
@@ -68,51 +70,51 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return self.whole(text) if self.ranked is None or "<|" in text else array(self.code, self.ranked(text)).tobytes()
 
+    def ends(self, text: str) -> np.ndarray:
+        """Where each token of a text ends, in UTF-8 bytes."""
+        if self._sizes is None:  # a byte-level token's string has a character for each byte; that of an added one is itself
+            self._sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self._sizes[i] = len(token)
+            for i, token in self.tokenizer.get_added_tokens_decoder().items():
+                self._sizes[i] = _size(token.content)
+        return np.cumsum(self._sizes[np.frombuffer(self.ids(text), self.dtype)])
+
 
-def stable(text: str, at: int) -> bool:
-    """Whether a boundary at this place can't depend on what stands before it."""
-    return 0 < at < len(text) and text[at].isspace() and not text[at - 1].isspace() and text[at - 1] not in "\x1c\x1d\x1e\x1f" and text[at] not in "\x1c\x1d\x1e\x1f"
+def _size(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass"))
 
 
-def resync_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a huge text, from overlapping chunks.
+def resync_count(encoder: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of a text, from overlapping chunks.
 
     Each chunk starts inside the one before it.  The splice is the last stable place in
-    the overlap that both encodings have as a token boundary; tokens before it are taken
-    from the left chunk, those after it from the right one."""
-    total, begin, n = 0, 0, len(text)  # begin: a place up to which tokens are counted, a true boundary
-    left_at, left = 0, None
-    while True:
-        end = min(n, left_at + chunk)
-        while True:
-            if left is None:
-                left = tokenizer.encode(text[left_at:end], add_special_tokens=False).offsets
-            if end == n:
-                return total + sum(left_at + b > begin for _, b in left)
-            width, splice = overlap, None
-            while splice is None and width < end - begin:
-                right_at = end - width
-                right = tokenizer.encode(text[right_at : min(n, right_at + chunk)], add_special_tokens=False).offsets
-                splice = _common(text, begin, left_at, left, right_at, right, end)
-                width *= 2
-            if splice is not None:
-                break
-            end, left = min(n, end + chunk), None  # nothing to splice at in the whole chunk: it grows
-        total += sum(begin < left_at + b <= splice for _, b in left)
-        begin, left_at, left = splice, right_at, right
-        if right_at + chunk < n and begin <= right_at:
-            raise AssertionError("a splice lies in the overlap")
-
-
-def _common(text: str, begin: int, left_at: int, left: list, right_at: int, right: list, end: int) -> int | None:
-    inside = lambda spans, at: {p for a, b in spans for p in range(at + a + 1, at + b)}
-    low = max(begin, right_at) + 1
-    cut_left = inside([s for s in left if left_at + s[1] > low], left_at)
-    cut_right = inside([s for s in right if right_at + s[0] < end], right_at)
-    return next((p for p in range(end - 1, low - 1, -1) if stable(text, p) and p not in cut_left and p not in cut_right), None)
-
-
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    the overlap, if both encodings have a token boundary there; tokens before it are taken
+    from the left chunk, those after it from the right one.  ``begin``: a place up to which tokens are counted."""
+    n, total, begin, left_at, end = len(text), 0, 0, 0, min(len(text), chunk)
+    left = encoder.ends(text[:end])
+    while end < n:
+        width, splice = overlap, None
+        while splice is None and width < 2 * (end - begin):
+            right_at = max(begin, end - width)
+            place = max((m.start() for m in STABLE.finditer(text, right_at + 1, end)), default=None)
+            if place is not None:
+                right_end = min(n, max(right_at, end - overlap) + chunk)
+                right = encoder.ends(text[right_at:right_end])
+                if _size(text[left_at:place]) in left and _size(text[right_at:place]) in right:
+                    splice = place
+            width *= 2
+        if splice is None:  # nothing to splice at in the whole chunk: it grows
+            ahead = STABLE.search(text, end)
+            end = min(n, max(2 * end - left_at, ahead.start() + 1)) if ahead else n
+            left = encoder.ends(text[left_at:end])
+            continue
+        total += int(((left > _size(text[left_at:begin])) & (left <= _size(text[left_at:splice]))).sum())
+        begin, left_at, left, end = splice, right_at, right, right_end
+    return total + int((left > _size(text[left_at:begin])).sum())
+
+
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
 
     Null and empty texts: 0 bytes, 0 tokens.  Repeated ids give a row each, a null id stays
@@ -124,8 +126,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column("t").to_pylist()]
-            n = [resync_count(encoder.tokenizer, t, chunk, overlap) if len(t) > huge else len(encoder.ids(t)) // encoder.dtype.itemsize for t in texts]
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            n = [resync_count(encoder, t, chunk, overlap) for t in texts]
+            sizes = [_size(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["i", "b", "n"])
 
     own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))

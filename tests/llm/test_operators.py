@@ -223,13 +223,38 @@ def token_texts():
 def test_counts_equal_the_library(spark):
     texts = token_texts()
     library = tokens.Encoder.of("byte_bpe_50k.json").tokenizer
-    found = by_id(tokens.count_tokens(docs(spark, texts), huge=200, chunk=150, overlap=8))
+    found = by_id(tokens.count_tokens(docs(spark, texts), chunk=150, overlap=8))
     for i, t in enumerate(texts):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (found[i].n_tokens, found[i].n_bytes, found[i].over_limit) == (n, len((t or "").encode()), n > 1024), repr(t)[:60]
     assert tokens.count_tokens(docs(spark, texts).limit(0)).count() == 0
 
 
+class Counting:
+    """Counts the characters that are encoded."""
+
+    def __init__(self, encoder):
+        self.encoder, self.seen, self.calls = encoder, 0, 0
+
+    def ends(self, text):
+        self.seen, self.calls = self.seen + len(text), self.calls + 1
+        return self.encoder.ends(text)
+
+
+def test_long_texts_are_spliced_and_encoded_few_times():
+    encoder, rng = tokens.Encoder.of("byte_bpe_50k.json"), random.Random(18)
+    lots = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    texts = {
+        "no blanks": "x" * 400_000, "letters": lots("abcdeé中", 400_000), "digits": lots("0123456789", 100_000), "blanks": " " * 50_000 + "a" + "\n" * 30_000, "rare blanks": (lots("abc", 20_000) + " ") * 8, "one early blank": "a b" + "c" * 200_000,
+        "prose": lots(["the ", "über ", "it's ", "\n\n", "  ", "42, ", "\x1c ", "\u3000", "\x85", "naïve. "], 60_000), "special": lots(["word ", "<|endoftext|>", "<|", " \n"], 20_000), "surrounded": (" " * 9000 + "y" * 9000) * 6,
+    }
+    for name, text in texts.items():
+        counted = Counting(encoder)
+        assert tokens.resync_count(counted, text) == len(encoder.tokenizer.encode(text, add_special_tokens=False).ids), name
+        assert counted.seen <= 4 * len(text), (name, counted.seen / len(text))
+        assert counted.calls > 1
+
+
 def test_packing_is_an_exact_round_trip(spark):
     texts = token_texts()
     library = tokens.Encoder.of("byte_bpe_50k.json").tokenizer
