@@ -8,13 +8,20 @@ taken as live, of kind ``owned`` only if it looks random: a base kind is judged
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
+from .rules import let
 
-#: Owners from which on a value is a copied example, repositories (summed over owners) from which on it is one too, and distinct characters from which on one of kind ``owned`` looks random.
+#: Owners from which on a value is a copied example, distinct repositories from which on it is one too, and distinct characters from which on one of kind ``owned`` looks random.
 WIDE, MANY, VARIED = 3, 10, 8
+#: Spans from which on a value is hot.  There is at most one such value for so many spans, so their verdicts are broadcast: 20 MB for ten billion spans.
+HOT = 100_000
+#: Elements of an array that are gone through at once, and characters of a text's piece.
+BLOCK, PIECE = 64, 4096
 #: The base kinds in their order, then the method's own; the group that holds the value; its least length.
 KINDS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -25,6 +32,20 @@ KINDS = [
 SPAN = "array<struct<start:int,stop:int,kind_no:int,value:string>>"
 
 
+def _before(values: Column, joined: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """For each element what all those before it (integers from 0) come to, by blocks of blocks: no array is gone through for each element of it."""
+    start = F.lit(0)
+    over = lambda a, begin, n: F.aggregate(F.slice(a, begin + 1, n), start, joined)
+    if levels == 1:
+        return let(values, lambda a: F.transform(a, lambda _, i: over(a, start, i)))
+
+    def of(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda k: over(a, k * BLOCK, F.lit(BLOCK)))
+        return let(_before(blocks, joined, levels - 1), lambda o: F.transform(a, lambda _, i: joined(F.get(o, F.floor(i / BLOCK).cast("int")), over(a, i - i % BLOCK, i % BLOCK))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, of))
+
+
 def _spans(text: Column, no: int) -> Column:
     """Leftmost matches of a kind with their places, from the lengths of the matches and of what lies between them."""
     _, pattern, group, least = KINDS[no]
@@ -32,16 +53,18 @@ def _spans(text: Column, no: int) -> Column:
     found, between = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, rx, F.lit(group)) if group else found
     both = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"), values.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["b"])
-        stop = begin + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.concat(F.coalesce(state["out"], F.array().cast(SPAN)), F.array(F.struct(begin.alias("start"), stop.alias("stop"), F.lit(no).alias("kind_no"), x["v"].alias("value")))).alias("out"))
+    def placed(every: Column) -> Column:
+        before = _before(F.transform(every, lambda x: F.length(x["m"]) + F.length(x["b"])), lambda a, b: a + b)
 
-    spans = F.aggregate(both, start, step, lambda s: s["out"])
-    fits = F.filter(spans, lambda s: F.length(s["value"]) >= least)
-    return F.when(F.regexp_like(text, rx), fits).otherwise(F.array().cast(SPAN))
+        def span(x: Column, at: Column) -> Column:
+            begin = at + F.length(x["b"])
+            return F.struct(begin.alias("start"), (begin + F.length(x["m"])).alias("stop"), F.lit(no).alias("kind_no"), x["v"].alias("value"))
+
+        return let(before, lambda p: F.transform(every, lambda x, i: span(x, F.get(p, i))))
+
+    fits = F.filter(let(both, placed), lambda s: F.length(s["value"]) >= least)
+    return F.when(F.regexp_like(text, rx), fits.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _named(spans: Column) -> Column:
@@ -64,24 +87,26 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ownership(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED, many: int = MANY) -> tuple[DataFrame, DataFrame]:
-    """Spans with their candidate's hash, and per hash: owners, repos (of each owner), example, live.
+    """Spans with their candidate's hash, and per hash: n (spans), owners, repos (distinct ones, whoever owns them), example, live; settled.
 
-    Counted in three steps, each summed before its shuffle, so that a value copied to a third of all rows arrives as a row for
-    each task.  A null owner counts as one owner."""
+    Each step is summed before its shuffle, so that a value copied to a third of all rows arrives as a row for
+    each task.  A null owner counts as one owner, and so does a null repository."""
     spans = found.where("size(base) + size(own) > 0").select("row_key", F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.explode(F.concat("base", "own")).alias("s"))
     spans = spans.select("row_key", "owner", "repo", "s.start", "s.stop", "s.kind_no", F.sha2("s.value", 256).alias("hash"), ((F.col("s.kind_no") < 3) | (F.size(F.array_distinct(F.split("s.value", ""))) >= varied)).alias("random"))
-    pairs = spans.groupBy("hash", "owner", "repo").agg(F.max("random").alias("random"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("random").alias("random"))
-    counts = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("random").alias("random"))
+    pairs = spans.groupBy("hash", "owner", "repo").agg(F.max("random").alias("random"), F.count("*").alias("n"))
+    counts = pairs.groupBy("hash").agg(F.sum("n").alias("n"), F.count_distinct(F.struct("owner")).alias("owners"), F.count_distinct(F.struct("repo")).alias("repos"), F.max("random").alias("random"))
     example = (F.col("owners") >= wide) | (F.col("repos") >= many)
-    return spans, counts.select("hash", "owners", "repos", example.alias("example"), (F.col("random") & ~example).alias("live"))
+    return spans, settled(counts.select("hash", "n", "owners", "repos", example.alias("example"), (F.col("random") & ~example).alias("live")), "secrets-verdicts")
 
 
-def judged(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED, many: int = MANY) -> DataFrame:
-    """For each row_key with candidates: live (spans of live candidates), n_example (spans of copied ones) and counts (owners and repositories of all)."""
+def judged(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED, many: int = MANY, hot: int = HOT) -> DataFrame:
+    """For each row_key with candidates: live (spans of live candidates), n_example (spans of copied ones) and counts (owners and repositories of all).
+
+    Verdicts of values with ``hot`` spans or more are broadcast, so no value's spans meet in one task."""
     spans, verdicts = ownership(found, owner_col, repo_col, wide, varied, many)
     span = F.struct("start", "kind_no", "stop")
-    joined = spans.join(verdicts, "hash")
+    heads = F.broadcast(verdicts.where(F.col("n") >= hot))
+    joined = spans.join(heads, "hash").unionByName(spans.join(heads.select("hash"), "hash", "left_anti").join(verdicts.where(F.col("n") < hot), "hash"))
     return joined.groupBy("row_key").agg(F.array_sort(F.collect_list(F.when(F.col("live"), span))).alias("live"), F.count_if("example").alias("n_example"), F.array_sort(F.collect_list(F.struct("start", "kind_no", "owners", "repos"))).alias("counts"))
 
 
@@ -112,12 +137,18 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", r
     some = F.size("base") + F.size("own") > 0
     live = judged(found, "owner", "repo", wide, varied, many).where("size(live) > 0").select("row_key", "live")
     marked = found.where(some).join(live, "row_key", "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    stops = F.transform("live", lambda s: s["stop"])
+
+    def masked(pieces: Column, before: Column) -> Column:  # spans by start; what lies in an earlier one is masked with it
+        def between(begin: Column, stop: Column) -> Column:
+            first = F.floor(begin / PIECE).cast("int")
+            own = F.slice(pieces, first + 1, F.greatest(F.lit(0), F.floor((stop - 1) / PIECE).cast("int") - first + 1))
+            return F.array_join(F.transform(own, lambda x, k: F.substring(x, F.greatest(F.lit(0), begin - (first + k) * PIECE) + 1, F.least(F.lit(PIECE), stop - (first + k) * PIECE) - F.greatest(F.lit(0), begin - (first + k) * PIECE))), "")
 
-    def step(state: Column, s: Column) -> Column:  # spans by start; what lies in an earlier one is masked with it
-        kept = F.substring(row, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["stop"] <= state["at"], state["out"]).otherwise(F.concat(state["out"], kept, F.lit(mask))).alias("out"))
+        parts = F.transform("live", lambda s, i: F.when(s["stop"] <= F.get(before, i), F.lit("")).otherwise(F.concat(between(F.get(before, i), F.greatest(F.get(before, i), s["start"])), F.lit(mask))))
+        return F.concat(F.array_join(parts, ""), between(F.array_max(stops), F.length(row)))
 
-    masked = F.aggregate("live", start, step, lambda s: F.concat(s["out"], F.substr(row, s["at"] + 1)))
-    changed = marked.withColumn("row", F.col("row").withField(text_col, F.when(F.col("live").isNull(), row).otherwise(masked)))
+    # the text in pieces, so that no cut starts at its beginning
+    masked_text = let(F.regexp_extract_all(row, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)), lambda p: let(_before(stops, lambda a, b: F.greatest(a, b)), lambda b: masked(p, b)))
+    changed = marked.withColumn("row", F.col("row").withField(text_col, F.when(F.col("live").isNull(), row).otherwise(masked_text)))
     return changed.select("row.*").unionByName(found.where(~some).select("row.*"))

@@ -137,6 +137,38 @@ def test_value_copied_widely_within_one_source_is_an_example(spark):
     assert masked[0].text == f"key {shared}" and masked[13].text == "key [SECRET]"
 
 
+def test_a_repository_of_two_owners_counts_once(spark):
+    value = "key Zx9Qw8Er7Ty6Ui5Op4As3"
+    df = spark.createDataFrame([(i, value, "en", f"s{i % 2}", 0, f"r{i // 2 % 6}", 1) for i in range(12)], DOCS)
+    assert {r.ownership for r in secrets.scan(df, repo_col="t").collect()} == {"owned:4:2:6"}
+    nulls = df.withColumns({"source": F.lit(None).cast("string"), "t": F.lit(None).cast("string")})
+    assert {r.ownership for r in secrets.scan(nulls, repo_col="t").collect()} == {"owned:4:1:1"}
+
+
+def test_hot_values_are_judged_like_others(spark):
+    df = docs(spark, secret_texts()).withColumn("row_key", F.col("doc_id")).drop("own")
+    found = secrets.settled(secrets.candidates(df.drop("row_key")).drop("text"), "test")
+    plain, hot = ({r.row_key: r.asDict() for r in secrets.judged(found, "source", "doc_id", hot=n).collect()} for n in (10**9, 2))
+    assert plain == hot and len(plain) > 20
+
+
+def test_many_secrets_in_one_text(spark):
+    """Twenty thousand matches: places and masks as by brute force, in time that doesn't grow with their square."""
+    rng = random.Random(19)
+    text = " ".join(f"é token=v{rng.randint(0, 10**9)}x{i}" if i % 3 else f"secret: token=q{i:06} \U0001f600" for i in range(20_000))
+    df = docs(spark, [text, "no secret", None]).withColumn("source", F.lit("one"))
+    began = time.time()
+    found, masked = by_id(secrets.scan(df)), by_id(secrets.redact(df))
+    assert time.time() - began < 60
+    base = base_secrets(text)
+    assert found[0].base_sha256 == hashlib.sha256(",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in base).encode()).hexdigest() and found[0].n_live >= 20_000
+    out, at = [], 0
+    for a, _, b in base:
+        out += [text[at:a], "[SECRET]"]
+        at = b
+    assert masked[0].text == "".join([*out, text[at:]]) and masked[2].text is None
+
+
 # --- 4
 
 
