@@ -1,10 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, with DataFrame functions alone.
 
 A document can share only shingles that some item has, so each document is first cut down to those; its containment of an
-item stays what it is, and long documents become small sets.  Equal sets are searched once.  Sets are partitioned
+item stays what it is, and long documents become small sets.  Equal sets are searched once.  A set that is still large (a document
+that holds many items) is split: items are dealt into buckets of bounded size, and the set's part for a bucket is what the
+bucket's items have of it, so each item's containment in its own bucket's part is that in the whole set.  Sets are partitioned
 by size (powers of two), items likewise; for a pair of classes the containment asked for bounds the Jaccard similarity
-from below, and that sets how many minwise values find a pair with all but certainty.  Pairs that meet in a value are
-verified by exact intersection.
+from below, and that sets how many minwise values find a pair with all but certainty; as sets are bounded, so is that number, and a
+document's work grows with the items that it holds, not with their square.  Pairs that meet in a value are verified by exact intersection.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .rules import let
 
 #: Chance that a pair of the least similarity its classes allow is missed; item shingles up to which they are broadcast (16 MB).
 MISS, FEW = 1e-6, 1_000_000
+#: Shingles from which on a set is split, and item shingles of a bucket (expected; an item of more has its bucket to itself but for others dealt there).
+LARGE, BUCKET = 128, 64
 
 
 def _words(text: Column) -> Column:
@@ -63,7 +67,7 @@ def _minwise(own: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.array_min(F.transform(own, lambda h: F.xxhash64(h, i))).alias("v")))
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, percent: int = 80, large: int = LARGE, bucket: int = BUCKET) -> DataFrame:
     """A row for each document and item of which it holds at least ``percent`` of the shingles: id, item id, n_item_shingles, n_shared, containment.
 
     Items of fewer words than ``width`` are one shingle of all their words; null and empty items and texts give no
@@ -81,6 +85,12 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     cut = each.join(vocabulary, ["w", "h"], "left_semi").groupBy("doc", "text_key", "w").agg(F.array_sort(F.collect_set("h")).alias("own"))
     cut = settled(cut.withColumns({"set_key": F.xxhash64("w", "own"), "s": F.size("own")}), "decontam-sets")
     sets = settled(cut.select("set_key", "w", "own", "s").distinct(), "decontam-classes")
+    buckets = max(1, (own.agg(F.sum("q")).first()[0] or 0) // bucket)
+    dealt = own.select("w", F.pmod(F.xxhash64("own"), F.lit(buckets)).alias("bucket"), F.explode("own").alias("h")).distinct()
+    parts = sets.where(F.col("s") >= large).select("set_key", "w", F.explode("own").alias("h")).join(dealt, ["w", "h"]).groupBy("set_key", "w", "bucket").agg(F.array_sort(F.collect_set("h")).alias("own"))
+    parts = parts.select("set_key", "w", F.xxhash64("w", "own").alias("part_key"), "own", F.size("own").alias("s"))
+    parts = settled(sets.where(F.col("s") < large).select("set_key", "w", F.col("set_key").alias("part_key"), "own", "s").unionByName(parts), "decontam-parts")
+    sets = settled(parts.select("part_key", "w", "own", "s").distinct(), "decontam-searched")
 
     size_classes = sorted(r[0] for r in sets.select(_class(F.col("s"))).distinct().collect())
     item_classes = sorted(r[0] for r in own.select(_class(F.col("q"))).distinct().collect())
@@ -90,13 +100,13 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     depth = F.lit(0)
     for p, n in most.items():
         depth = F.when(F.col("p") == p, F.lit(n)).otherwise(depth)
-    of_sets = sets.withColumn("p", _class(F.col("s"))).withColumn("k", depth).where("k > 0").select("set_key", "w", "p", F.explode(_minwise(F.col("own"), F.col("k"))).alias("x"))
+    of_sets = sets.withColumn("p", _class(F.col("s"))).withColumn("k", depth).where("k > 0").select("part_key", "w", "p", F.explode(_minwise(F.col("own"), F.col("k"))).alias("x"))
     of_items = own.withColumn("j", _class(F.col("q"))).join(F.broadcast(plan), "j").select("item", "w", "p", "q", "own", F.explode(_minwise(F.col("own"), F.col("k"))).alias("x"))
-    met = of_sets.select("set_key", "w", "p", "x.i", "x.v").join(of_items.select("item", "q", F.xxhash64("own").alias("item_key"), "w", "p", "x.i", "x.v"), ["w", "p", "i", "v"])
-    pairs = met.select("set_key", "w", "item", "item_key").distinct()
-    held = pairs.join(sets.select("set_key", "w", F.col("own").alias("a")), ["set_key", "w"]).join(own.select("item", "w", "q", F.xxhash64("own").alias("item_key"), F.col("own").alias("b")).withColumnRenamed("item", "item_"), ["item_key", "w"])
-    held = held.where(F.col("item").eqNullSafe(F.col("item_"))).withColumn("n", F.size(F.array_intersect("a", "b"))).where(F.col("n") * 100 >= F.col("q") * percent).select("set_key", "w", "item", "q", "n")
-    found = cut.select("doc", "set_key", "w").join(held, ["set_key", "w"])
+    met = of_sets.select("part_key", "w", "p", "x.i", "x.v").join(of_items.select("item", F.xxhash64("own").alias("item_key"), "w", "p", "x.i", "x.v"), ["w", "p", "i", "v"])
+    pairs = met.select("part_key", "w", "item", "item_key").distinct()
+    held = pairs.join(sets.select("part_key", "w", F.col("own").alias("a")), ["part_key", "w"]).join(own.select("item", "w", "q", F.xxhash64("own").alias("item_key"), F.col("own").alias("b")).withColumnRenamed("item", "item_"), ["item_key", "w"])
+    held = held.where(F.col("item").eqNullSafe(F.col("item_"))).withColumn("n", F.size(F.array_intersect("a", "b"))).where(F.col("n") * 100 >= F.col("q") * percent).select("part_key", "w", "item", "q", "n")
+    found = cut.select("doc", "set_key", "w").join(parts.select("set_key", "w", "part_key").join(held, ["part_key", "w"]), ["set_key", "w"])
     best = found.groupBy("doc", "item").agg(F.max(F.struct((F.col("n") / F.col("q")).alias("c"), F.col("q"), F.col("n"))).alias("x"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("x.q").cast("long").alias("n_item_shingles"), F.col("x.n").cast("long").alias("n_shared"), F.col("x.c").alias("containment"))
 

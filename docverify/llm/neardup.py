@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import joined, settled
 from .components import components
 from .shingles import U, minhash, minhash_factors, mixed, shingle_sets
 
@@ -42,8 +42,8 @@ POSITIONS, MARKS, TREES, LEVELS, SMALL = 64, 256, 16, 3, 4096
 SECOND, SLACK = 0.25, 0.1
 #: Chance at most that a pair of the least similarity shares no node at a depth that nodes branch to.
 MISS = 1e-5
-#: Passes after which a node is compared exhaustively, block by block, whatever its size; ids up to which the scan for full sets gets them by broadcast (8 MB), and bytes of full sets up to which pairs do.
-PASSES, FEW, FEW_BYTES = 8, 500_000, 16 << 20
+#: Passes after which a node is compared exhaustively, block by block, whatever its size; ids up to which the scan for full sets gets them by broadcast (8 MB).
+PASSES, FEW = 8, 500_000
 
 
 def walk(nodes: np.ndarray, rows: np.ndarray, signatures: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,13 +318,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and it is kept; rows that repeat an id are each placed by their own text's class, and classes with the same least
     id are one; other columns are left out; an empty table gives no rows.
 
-    A group of equal texts is summed before its shuffle and joined as one row, so it may hold a third of all rows."""
+    A group of equal texts is summed before its shuffle and its rows are dealt over tasks, so it may hold a third of all rows."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = settled(signatures(own, width), "dup-signatures")
     full = rows.where("n > 0 and id is not null")
-    classes = settled(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("marks").alias("marks")), "dup-classes")
+    classes = settled(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("marks").alias("marks")), "dup-classes")
     own = own.where("id is not null")
     labels = linked_classes(own, classes.select(F.col("rep").alias("id"), "sig", "marks"), width, percent, trees)
-    named = classes.drop("sig", "marks").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
-    placed = rows.drop("sig", "marks").join(named, ["k1", "k2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("label"))
+    named = settled(classes.drop("sig", "marks").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", "copies", F.coalesce("label", "rep").alias("label")), "dup-named")
+    placed = joined(full.drop("sig", "marks"), named, ["k1", "k2", "n"], "copies", "id").select("id", "n", "label").unionByName(rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("label")))
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("label"))).alias("kept"))

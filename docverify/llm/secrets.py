@@ -13,13 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import FEW, HOT, joined, settled
 from .rules import let
 
 #: Owners from which on a value is a copied example, distinct repositories from which on it is one too, and distinct characters from which on one of kind ``owned`` looks random.
 WIDE, MANY, VARIED = 3, 10, 8
-#: Spans from which on a value is hot.  There is at most one such value for so many spans, so their verdicts are broadcast: 20 MB for ten billion spans.
-HOT = 100_000
 #: Elements of an array that are gone through at once, and characters of a text's piece.
 BLOCK, PIECE = 64, 4096
 #: The base kinds in their order, then the method's own; the group that holds the value; its least length.
@@ -99,15 +97,13 @@ def ownership(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE,
     return spans, settled(counts.select("hash", "n", "owners", "repos", example.alias("example"), (F.col("random") & ~example).alias("live")), "secrets-verdicts")
 
 
-def judged(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED, many: int = MANY, hot: int = HOT) -> DataFrame:
+def judged(found: DataFrame, owner_col: str, repo_col: str, wide: int = WIDE, varied: int = VARIED, many: int = MANY, few: int = FEW, hot: int = HOT) -> DataFrame:
     """For each row_key with candidates: live (spans of live candidates), n_example (spans of copied ones) and counts (owners and repositories of all).
 
-    Verdicts of values with ``hot`` spans or more are broadcast, so no value's spans meet in one task."""
+    No value's spans meet in one task, however many there are."""
     spans, verdicts = ownership(found, owner_col, repo_col, wide, varied, many)
     span = F.struct("start", "kind_no", "stop")
-    heads = F.broadcast(verdicts.where(F.col("n") >= hot))
-    joined = spans.join(heads, "hash").unionByName(spans.join(heads.select("hash"), "hash", "left_anti").join(verdicts.where(F.col("n") < hot), "hash"))
-    return joined.groupBy("row_key").agg(F.array_sort(F.collect_list(F.when(F.col("live"), span))).alias("live"), F.count_if("example").alias("n_example"), F.array_sort(F.collect_list(F.struct("start", "kind_no", "owners", "repos"))).alias("counts"))
+    return joined(spans, verdicts, ["hash"], "n", "row_key", "inner", few, hot).groupBy("row_key").agg(F.array_sort(F.collect_list(F.when(F.col("live"), span))).alias("live"), F.count_if("example").alias("n_example"), F.array_sort(F.collect_list(F.struct("start", "kind_no", "owners", "repos"))).alias("counts"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", wide: int = WIDE, varied: int = VARIED, many: int = MANY) -> DataFrame:
