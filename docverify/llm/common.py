@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table is broadcast (of 150 bytes at most: 15 MB), rows from which on a key is hot, and parts that its rows are dealt over.
-FEW, HOT, PARTS = 100_000, 50_000, 256
+#: Rows up to which a table is broadcast (of 150 bytes at most: 15 MB); rows from which on a key is hot, or this share of all rows if that is more.
+FEW, HOT, SHARE = 100_000, 1000, 1e-4
 #: Words of the contracts: runs of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,14 +38,16 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def joined(rows: DataFrame, small: DataFrame, keys: list[str], count: str, spread: str, how: str = "left", few: int = FEW, hot: int = HOT) -> DataFrame:
     """``rows`` joined with a settled table of one small row for each key, which holds the number of the key's rows in ``count``.
 
-    Few keys are broadcast.  Of more, those with ``hot`` rows or more (one at most for so many rows) are dealt over PARTS tasks by the
-    column ``spread``, so no key's rows meet in one task."""
-    if small.count() <= few:
+    Few keys are broadcast.  Of more, those with over ``hot`` rows and over SHARE of all rows (10,000 keys at most) are dealt over as many
+    tasks as they hold that many rows, by the column ``spread``, so no key's rows meet in one task."""
+    n, total = small.agg(F.count("*"), F.sum(count)).first()
+    if n <= few:
         return rows.join(F.broadcast(small.drop(count)), keys, how)
-    heads = F.broadcast(small.where(F.col(count) >= hot).select(*keys, F.lit(True).alias("is_hot")))
-    part = F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")
-    dealt = rows.join(heads, keys, "left").withColumn("part_no", F.when(F.col("is_hot"), part).otherwise(0)).drop("is_hot")
-    copied = small.withColumn("part_no", F.explode(F.when(F.col(count) >= hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop(count)
+    each = max(hot, int((total or 0) * SHARE))
+    sized = small.withColumn("part_count", F.ceil(F.col(count) / each)).drop(count)
+    heads = F.broadcast(sized.where("part_count > 1").select(*keys, "part_count"))
+    dealt = rows.join(heads, keys, "left").withColumn("part_no", F.coalesce(F.pmod(F.xxhash64(spread), F.col("part_count")), F.lit(0))).drop("part_count")
+    copied = sized.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part_count") - 1))).drop("part_count")
     return dealt.join(copied, [*keys, "part_no"], how).drop("part_no")
 
 

@@ -11,7 +11,8 @@ several levels are walked in one pass.  Then nodes are counted:
 * in small nodes that are left each document is held against the most alike of another class, and after that
   documents that still have a likely partner in another class are compared exhaustively, with their full sets, inside the node;
 * large ones branch further, and their documents start as many further trees, on positions that no tree has used, as that depth asks for;
-* after the last pass large ones are cut into blocks, and every two blocks are a node of their own.
+* what is compared exhaustively is first cut into blocks where it is over 1,024 documents, and every two blocks are a node of their own,
+  so no task's work grows with a node; after the last pass that is all that is left, whatever its size.
 
 Pairs are held against their signatures first, then against the full shingle sets, and only the latter makes a link.
 No step emits the pairs of a node: rows and links grow with the documents, however large a group is.
@@ -36,8 +37,8 @@ from .common import joined, settled
 from .components import components
 from .shingles import U, minhash, minhash_factors, mixed, shingle_sets
 
-#: Signature positions that trees branch by, and those that similarity is estimated by (of these a byte each is kept), trees, levels walked in one pass, and documents up to which a node is compared exhaustively.
-POSITIONS, MARKS, TREES, LEVELS, SMALL = 64, 256, 16, 3, 4096
+#: Signature positions that trees branch by, and those that similarity is estimated by (of these a byte each is kept), trees, levels walked in one pass, documents up to which a node is compared exhaustively, and up to which a task takes it whole.
+POSITIONS, MARKS, TREES, LEVELS, SMALL, WHOLE = 64, 256, 16, 3, 4096, 1024
 #: A node takes a second position this often; four standard errors of the signature below the least similarity.
 SECOND, SLACK = 0.25, 0.1
 #: Chance at most that a pair of the least similarity shares no node at a depth that nodes branch to.
@@ -132,11 +133,11 @@ def _branch(rows: DataFrame, levels: int, trees: range | None = None, fresh: boo
 
 
 def _blocks(rows: DataFrame, small: int) -> DataFrame:
-    """Rows (node, id, size) with nodes over ``small`` cut into blocks of half that many documents: every two blocks are a node."""
+    """node, id and label of rows (node, id, label, size), with nodes over ``small`` cut into blocks of half that many documents: every two blocks are a node."""
     large = F.col("size") > small
     count = F.ceil(F.col("size") * 2 / small)
     cut = rows.where(large).withColumns({"count": count, "own": F.pmod(F.xxhash64("id"), count)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).where("own <> other")
-    return rows.where(~large).unionByName(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", F.lit(small).cast("long").alias("size")))
+    return rows.where(~large).select("node", "id", "label").unionByName(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "label"))
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -260,7 +261,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], numbers: list[str], data: str) ->
                 rest.append(part)
 
 
-def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, passes: int = PASSES) -> DataFrame:
+def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, passes: int = PASSES, whole: int = WHOLE) -> DataFrame:
     """id and label of those of the rows (id, sig, marks) that a link joins to another; docs: (id, text)."""
     least = percent / 100 - SLACK
     labels = docs.sparkSession.createDataFrame([], "id long, label long")
@@ -284,20 +285,21 @@ def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, t
     def mixed_of(rows: DataFrame) -> DataFrame:
         """The rows of nodes that hold several classes, with their labels."""
         named = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        several = named.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("node")
-        return settled(named.join(several, "node").select("node", "id", "label", "size"), "dup-mixed")
+        several = settled(named.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("rows")).where("l < h").select("node", "rows"), "dup-several")
+        return settled(joined(named, several, ["node"], "rows", "id", "inner").select("node", "id", "label", "size"), "dup-mixed")
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     for turn in range(passes + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
-        members = settled(frontier.join(sizes, "node"), "dup-members")
+        sizes = settled(frontier.groupBy("node").agg(F.count("*").alias("size"), F.count("*").alias("rows"), F.min("id").alias("first")).where("size > 1"), "dup-sizes")
+        members = settled(joined(frontier, sizes, ["node"], "rows", "id", "inner"), "dup-members")
         taken(confirmed(settled(_likely(members.where("id <> first").select(*pair("id", "first")).distinct(), sigs, least), "dup-likely"), docs, width, percent))
-        rest = members.select("node", "id", "size")
-        rest = mixed_of(rest if turn < passes else _blocks(rest, small))
-        near = settled(_across(rest.where(F.col("size") <= small).join(marks, "id"), least), "dup-near")
+        rest = mixed_of(members.select("node", "id", "size"))
+        done = F.lit(True) if turn == passes else F.col("size") <= small
+        near = settled(_across(_blocks(rest.where(done), whole).join(marks, "id"), least), "dup-near")
         taken(confirmed(settled(near.select(*pair("id", "other")).distinct(), "dup-likely"), docs, width, percent))
         rest = mixed_of(rest.select("node", "id", "size"))
-        alike = settled(_across(rest.where(F.col("size") <= small).join(marks, "id"), least).select("node", "id").join(rest.select("node", "id", "label"), ["node", "id"]), "dup-near")
+        pieces = settled(_blocks(rest.where(done), whole), "dup-pieces")
+        alike = settled(_across(pieces.join(marks, "id"), least).select("node", "id").join(pieces.select("node", "id", "label"), ["node", "id"]), "dup-near")
         taken(_exact(alike.join(full_sets(docs, alike.select("id"), width), "id"), percent))
         frontier = rest.where(F.col("size") > small).select("node", "id")
         if turn == passes or frontier.isEmpty():

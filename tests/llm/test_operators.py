@@ -412,7 +412,7 @@ def test_links_of_large_mixed_nodes_equal_brute_force(spark, passes):
     texts = [" ".join([*common, *(f"f{i // 2}x{k}" for k in range(2)), *(f"d{i}x{k}" for k in range(11))]) for i in range(60)]
     own = docs(spark, texts).select(F.col("doc_id").alias("id"), "text")
     sigs = neardup.settled(neardup.signatures(own, 1), "test")
-    found = {r.id: r.label for r in neardup.linked_classes(own, sigs.select("id", "sig", "marks"), 1, 80, trees=4 if passes else 16, small=8, passes=passes).collect()}
+    found = {r.id: r.label for r in neardup.linked_classes(own, sigs.select("id", "sig", "marks"), 1, 80, trees=4 if passes else 16, small=8, passes=passes, whole=6).collect()}
     assert found == {i: i // 2 * 2 for i in range(60)}
 
 
@@ -433,7 +433,7 @@ def test_trees_hold_recall_at_every_depth():
 
 
 def test_blocks_of_a_node_hold_every_pair(spark):
-    rows = spark.range(200).select(F.lit(7).cast("long").alias("node"), "id", F.lit(200).cast("long").alias("size"))
+    rows = spark.range(200).select(F.lit(7).cast("long").alias("node"), "id", F.lit(200).cast("long").alias("size"), F.col("id").alias("label"))
     sets = {}
     for r in neardup._blocks(rows, 32).collect():
         sets.setdefault(r.node, set()).add(r.id)
