@@ -8,10 +8,11 @@ several levels are walked in one pass.  Then nodes are counted:
 * nodes of one document are done;
 * in every other node each document is compared with the node's least one, and what is linked is contracted;
 * nodes whose documents are all linked are done, however large;
-* in small nodes that are left each document is held against the most alike of another class, and after that
-  documents that still have a likely partner in another class are compared exhaustively, with their full sets, inside the node;
+* in small nodes that are left each document is held against the most alike of another class (in nodes over 1,024 documents, of its
+  own block of the node: this only saves work), and after that documents that still have a likely partner in another class are
+  compared exhaustively, with their full sets, inside the node;
 * large ones branch further, and their documents start as many further trees, on positions that no tree has used, as that depth asks for;
-* what is compared exhaustively is first cut into blocks where it is over 1,024 documents, and every two blocks are a node of their own,
+* what is compared exhaustively is first cut into blocks where it is over 2,048 documents, and every two blocks are a node of their own,
   so no task's work grows with a node; after the last pass that is all that is left, whatever its size.
 
 Pairs are held against their signatures first, then against the full shingle sets, and only the latter makes a link.
@@ -38,7 +39,7 @@ from .components import components
 from .shingles import U, minhash, minhash_factors, mixed, shingle_sets
 
 #: Signature positions that trees branch by, and those that similarity is estimated by (of these a byte each is kept), trees, levels walked in one pass, documents up to which a node is compared exhaustively, and up to which a task takes it whole.
-POSITIONS, MARKS, TREES, LEVELS, SMALL, WHOLE = 64, 256, 16, 3, 4096, 1024
+POSITIONS, MARKS, TREES, LEVELS, SMALL, WHOLE = 64, 256, 16, 3, 4096, 2048
 #: A node takes a second position this often; four standard errors of the signature below the least similarity.
 SECOND, SLACK = 0.25, 0.1
 #: Chance at most that a pair of the least similarity shares no node at a depth that nodes branch to.
@@ -295,7 +296,9 @@ def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, t
         taken(confirmed(settled(_likely(members.where("id <> first").select(*pair("id", "first")).distinct(), sigs, least), "dup-likely"), docs, width, percent))
         rest = mixed_of(members.select("node", "id", "size"))
         done = F.lit(True) if turn == passes else F.col("size") <= small
-        near = settled(_across(_blocks(rest.where(done), whole).join(marks, "id"), least), "dup-near")
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") * 2 / whole))
+        blocks = rest.where(done).select(F.when(F.col("size") * 2 > whole, F.xxhash64("node", part)).otherwise(F.col("node")).alias("node"), "id", "label")
+        near = settled(_across(blocks.join(marks, "id"), least), "dup-near")
         taken(confirmed(settled(near.select(*pair("id", "other")).distinct(), "dup-likely"), docs, width, percent))
         rest = mixed_of(rest.select("node", "id", "size"))
         pieces = settled(_blocks(rest.where(done), whole), "dup-pieces")
