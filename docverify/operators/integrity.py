@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 
 
 def aggregate_digest(inventory: DataFrame, keys: list[str]) -> DataFrame:
-    """in1: keys, digest, n_files: one sha256 per run over its files' path, bytes and hash, in the order of the paths' bytes."""
+    """in1: keys, digest, n_files: one sha256 per run over its files' path, bytes and hash, in the order of the paths' bytes.
+
+    A run's inventory meets in one task; ``tree_digest`` is for runs of any size."""
     line = lambda x: F.concat(x["path"], F.lit("\0"), x["bytes"].cast("string"), F.lit("\0"), x["sha256"], F.lit("\n"))
     rows = F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256")))
     return inventory.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(rows, line), ""), 256).alias("digest"), F.count("*").alias("n_files"))
 
 
+def tree_digest(inventory: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, digest, n_files of runs of any size, as a tree: files are parted by the first four hex digits of the sha256 of their path, and a part's
+    digest is that of in1; parts are joined by their first two digits, and these to the run's digest, each time one sha256
+    over the parts' name, count and digest in the order of names.  A task holds a 65,536th of a run's files."""
+    node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n_files", "digest"))), lambda x: F.concat(x["part"], F.lit("\0"), x["n_files"].cast("string"), F.lit("\0"), x["digest"], F.lit("\n"))), ""), 256)
+    rows = aggregate_digest(inventory.withColumn("part", F.substring(F.sha2("path", 256), 1, 4)), [*keys, "part"])
+    rows = rows.withColumn("up", F.substring("part", 1, 2)).groupBy(*keys, "up").agg(node.alias("digest"), F.sum("n_files").alias("n_files")).withColumnRenamed("up", "part")
+    return rows.groupBy(*keys).agg(node.alias("digest"), F.sum("n_files").alias("n_files"))
+
+
 def inventory_diff(recorded: DataFrame, current: DataFrame, keys: list[str], mutable: str | None = None) -> DataFrame:
     """in2: keys, path, change: missing, extra or changed; paths under ``mutable`` are left out."""
     side = lambda d, n: d.select(*keys, "path", F.struct("bytes", "sha256").alias(n))

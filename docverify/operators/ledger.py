@@ -31,6 +31,8 @@ ENUMS = {
     ("finding", "status"): ("discovered", "accepted", "rejected", "planned", "applied", "verified"), ("finding", "verdict"): ("none", "partial", "full"),
     ("question", "status"): ("open", "resolved"), ("question", "verification_result"): ("pass", "kill", "unresolved"), ("counter_evidence", "resolution"): ("partial", "full"),
 }
+#: What findings have by the schema's version.
+VERSIONED = "verdict"
 #: What counts for a record's digest, by category; the fields' order is that of their names.
 DIGESTED = {
     "finding": ("anchors", "atom_refs", "finding_id", "narrowing", "provenance", "record_id", "severity", "snapshot_id", "source_refs", "verdict"),
@@ -55,21 +57,29 @@ def _ids(rows: DataFrame, col: str, name: str) -> DataFrame:
 
 
 def shape_violations(records: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
-    """lg1: missing and unknown fields by category, values outside their enumeration, lists that are empty or repeat themselves, foreign snapshots (run_id, snapshot_id)."""
-    is_it, rules = lambda c: F.col("category") == c, []
+    """lg1: missing and unknown fields by category, values outside their enumeration, lists that are empty or repeat themselves, foreign snapshots (run_id, snapshot_id).
+
+    With a column schema_version, findings of version 2 must have a verdict, those of version 1 must not, and there are no other versions."""
+    is_it, rules, versioned = lambda c: F.col("category") == c, [], "schema_version" in records.columns
     fields = sorted({f for c in REQUIRED for f in REQUIRED[c] + OPTIONAL[c]})
     for f in (*COMMON, *fields):
         needs = [c for c in REQUIRED if f in COMMON or f in REQUIRED[c]]
         takes = needs + [c for c in OPTIONAL if f in OPTIONAL[c]]
-        rules.append((f"missing:{f}", F.col("category").isin(*needs) & ~_has(records, f), F.col("category")))
+        lacks, strange = F.col("category").isin(*needs), ~F.col("category").isin(*takes)
+        if f == VERSIONED and versioned:
+            lacks, strange = lacks | is_it("finding") & (F.col("schema_version") == 2), strange | is_it("finding") & (F.col("schema_version") == 1)
+        rules.append((f"missing:{f}", lacks & ~_has(records, f), F.col("category")))
         if set(takes) != set(REQUIRED):
-            rules.append((f"unknown:{f}", ~F.col("category").isin(*takes) & _has(records, f), F.col("category")))
+            rules.append((f"unknown:{f}", strange & _has(records, f), F.col("category")))
     for (c, f), values in ENUMS.items():
         if f in records.columns:
-            rules.append((f"enum:{c}.{f}", is_it(c) & F.col(f).isNotNull() & ~F.col(f).isin(*values), F.col(f)))
+            asked = F.col("schema_version") == 2 if f == VERSIONED and versioned else F.lit(True)
+            rules.append((f"enum:{c}.{f}", is_it(c) & asked & F.col(f).isNotNull() & ~F.col(f).isin(*values), F.col(f)))
     for f in ("anchors", "atom_refs", "source_refs"):
         if f in records.columns:
             rules.append((f"list:{f}", F.col(f).isNotNull() & ((F.size(f) == 0) | (F.size(f) != F.size(F.array_distinct(f)))), F.col("category")))
+    if versioned:
+        rules.append(("schema_version", ~or_false(F.col("schema_version").isin(1, 2)), F.col("schema_version")))
     rules.append(("category", ~F.col("category").isin(*REQUIRED), F.col("category")))
     found = violations(records, KEY, rules, "record_id")
     if snapshots is None:

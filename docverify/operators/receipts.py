@@ -85,16 +85,25 @@ def open_item_misuse(receipts: DataFrame, ledger_records: DataFrame) -> DataFram
 
 
 def scale_totals(receipts: DataFrame) -> DataFrame:
-    """rc7: declared totals against the sums of their items (array of name, count); upper bound at least the derived total; rounds planned and run; unique names.
+    """rc7: declared totals against the sums of their items (array of name, count); upper bound at least the derived total; rounds planned and run, with their reason
+    and, of more than one, the runs' ids.  Lists are not empty, their names neither blank nor repeated, their counts 0 or more; only such lists are summed.
 
-    receipts: run_id, snapshot_id, volume_snapshot_id, volume_lines, configuration, derived_total, upper_configuration, upper_bound, planned_rounds, executed_rounds."""
+    receipts: run_id, snapshot_id, volume_snapshot_id, volume_lines, configuration, derived_total, upper_configuration, upper_bound, planned_rounds, executed_rounds, run_ids (array), rounds_reason."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["count"], F.lit(0)))
     names = lambda c: F.transform(c, lambda x: x["name"])
-    twice = lambda c: or_false(F.size(names(c)) != F.size(F.array_distinct(names(c))))
+    lists, given = ("configuration", "upper_configuration"), F.col("upper_configuration").isNotNull()
+    empty = {c: F.coalesce(F.size(c) == 0, F.lit(c == "configuration")) for c in lists}
+    unnamed = {c: or_false(F.exists(c, lambda x: blank(x["name"]))) for c in lists}
+    twice = {c: or_false(F.size(names(c)) != F.size(F.array_distinct(names(c)))) for c in lists}
+    negative = {c: or_false(F.exists(c, lambda x: x["count"].isNull() | (x["count"] < 0))) for c in lists}
+    sound = {c: ~(empty[c] | unnamed[c] | twice[c] | negative[c]) for c in lists}
+    several = or_false(F.col("executed_rounds") > 1)
     return violations(receipts, KEY, [
-        ("total_differs", F.coalesce(total("configuration"), F.lit(0)) != F.col("derived_total"), F.col("derived_total")), ("upper_differs", F.col("upper_configuration").isNotNull() & (total("upper_configuration") != F.col("upper_bound")), F.col("upper_bound")),
-        ("upper_below_total", F.col("upper_bound") < F.col("derived_total"), F.col("upper_bound")), ("rounds_differ", ~F.col("planned_rounds").eqNullSafe(F.col("executed_rounds")), F.col("executed_rounds")), ("name_repeated", twice("configuration") | twice("upper_configuration"), None),
-        ("volume_snapshot", ~F.col("volume_snapshot_id").eqNullSafe(F.col("snapshot_id")), None), ("volume_lines", ~or_false(F.col("volume_lines") >= 1), F.col("volume_lines")), ("negative_count", or_false(F.exists("configuration", lambda x: x["count"] < 0)), None),
+        ("total_differs", sound["configuration"] & (total("configuration") != F.col("derived_total")), F.col("derived_total")), ("upper_differs", given & sound["upper_configuration"] & (total("upper_configuration") != F.col("upper_bound")), F.col("upper_bound")),
+        ("upper_below_total", F.col("upper_bound") < F.col("derived_total"), F.col("upper_bound")), ("rounds_differ", ~F.col("planned_rounds").eqNullSafe(F.col("executed_rounds")), F.col("executed_rounds")),
+        *((f"{rule}:{c}", of[c], None) for rule, of in (("list_empty", empty), ("name_blank", unnamed), ("name_repeated", twice), ("negative_count", negative)) for c in lists),
+        ("rounds_not_positive", ~or_false(F.col("executed_rounds") >= 1), F.col("executed_rounds")), ("rounds_without_runs", several & ~or_false(F.size("run_ids") > 0), F.col("executed_rounds")), ("rounds_without_reason", blank(F.col("rounds_reason")), None),
+        ("volume_snapshot", ~F.col("volume_snapshot_id").eqNullSafe(F.col("snapshot_id")), None), ("volume_lines", ~or_false(F.col("volume_lines") >= 1), F.col("volume_lines")),
     ], "run_id")
 
 

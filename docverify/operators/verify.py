@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.rules import as_violation, repeated, union, violations
 from ..functions.text import blank, normalize_ws, occurrences, strip
 
-#: Rows up to which a dictionary or a word list is broadcast.
-FEW = 100_000
+#: Rows up to which a dictionary or a word list is broadcast, and words up to which lines are sought for any of them by one expression.
+FEW, WORDS = 100_000, 2000
 GRAM = 4
 
 
@@ -75,15 +75,34 @@ def verbatim_summary(matches: DataFrame, sources: DataFrame) -> DataFrame:
 def term_scan(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """vf4: doc_id, line_no, variant, canonical, offset, line of every occurrence of a forbidden variant that lies in no exception's span.
 
-    rows: doc_id, line_no, line; terms: canonical, forbidden, excepted (arrays).  A line meets only variants that it contains."""
+    rows: doc_id, line_no, line; terms: canonical, forbidden, excepted (arrays).  Lines without any variant are passed over first, and a line
+    meets only variants that it contains: of a large dictionary those whose first characters it holds."""
     variants = terms.select("canonical", F.coalesce("excepted", F.array().cast("array<string>")).alias("excepted"), F.explode("forbidden").alias("variant"))
-    met = rows.select("doc_id", "line_no", "line").join(_small(variants), F.contains("line", "variant"))
+    variants = variants.where("variant <> ''")
+    own = rows.select("doc_id", "line_no", "line")
+    words = [r["variant"] for r in variants.select("variant").distinct().limit(WORDS + 1).collect()]
+    if len(words) <= WORDS:
+        any_of = "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in sorted(words))
+        met = own.where(F.col("line").rlike(any_of)).join(F.broadcast(variants), F.contains("line", "variant")) if words else own.join(F.broadcast(variants), F.lit(False))
+    else:
+        met = _by_gram(own, variants)
     spans = F.flatten(F.transform("excepted", lambda e: F.transform(occurrences(F.col("line"), e), lambda a: F.struct(a.alias("a"), (a + F.length(e)).alias("b")))))
     found = met.withColumn("_x", spans).select("*", F.explode(occurrences(F.col("line"), F.col("variant"))).alias("offset"))
     free = found.where(~F.exists("_x", lambda x: (x["a"] <= F.col("offset")) & (F.col("offset") + F.length("variant") <= x["b"])))
     return free.select("doc_id", "line_no", "variant", "canonical", "offset", strip(F.col("line")).alias("line"))
 
 
+def _by_gram(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """Lines with the variants that they contain, by an equal join on the first characters of a variant."""
+    grams = variants.withColumn("gram", F.substring("variant", 1, GRAM))
+    found = None
+    for n in range(1, GRAM + 1):  # variants of fewer characters are their own gram
+        own = grams.where(F.length("gram") == n)
+        runs = rows.select("doc_id", "line_no", F.explode(_grams(F.col("line"), n)).alias("gram")).join(own, "gram").drop("gram")
+        found = runs if found is None else found.unionByName(runs)
+    return rows.join(found, ["doc_id", "line_no"]).where(F.contains("line", "variant"))
+
+
 def term_usage(hits: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
     """vf5: per document and term how often the preferred wording and the avoided ones are used; terms without either use are left out."""
     avoided = hits.groupBy("doc_id", "canonical").agg(F.count("*").alias("n_avoided"))

@@ -54,7 +54,6 @@ INPUTS = {
 
 #: A dictionary of terms, and patterns for leaks.
 TERMS = [("und", ["and"], ["hand", "land"]), ("suffix", ["ent"], ["ment", "enter"]), ("of the", ["th the"], []), ("permission notice", ["License"], ["MIT License"])]
-FAULTY_TERMS = [("a", ["a"], []), ("b1", ["b"], []), ("b2", ["b"], []), ("e", ["ef"], ["ef", "xyz"]), ("abcde", ["qq"], []), ("short", ["cd"], []), ("new\nline", ["zz"], [])]
 PATTERNS = [("email", r"[A-Za-z0-9_.]+@[A-Za-z0-9_.]+"), ("token", r'token = "[0-9a-f]{40}"'), ("license", r"licen[sc]e|copyright")]
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -103,15 +103,15 @@ def _(s, d):
 # --- conventions: a profile per supplier nation, an intake per supplier
 
 
-def profiles(s, d):
-    n = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("profile_id"), F.col("n_nationkey").alias("k"))
+def profiles(s, d, name="nation", key="n_nationkey"):
+    n = table(s, d, name).select(F.col(key).cast("string").alias("profile_id"), F.col(key).alias("k"))
     own = n.select("profile_id", "k", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("pos"))
     q, k = F.col("pos"), F.col("k")
     return own.select("profile_id", "pos", F.concat(F.lit("q"), q.cast("string")).alias("question_id"), F.when((k % 5 == 0) & (q == 1), F.array().cast(NO_TEXTS)).otherwise(F.array(F.lit("t1"), F.lit("t2"))).alias("targets"), F.when((k % 7 == 0) & (q == 2), F.array(F.lit("world"))).otherwise(F.array(F.lit("document"), F.lit("template"))).alias("allowed_scopes"), F.array(F.lit("A"), F.concat(F.lit("B"), q.cast("string"))).alias("required_sections"))
 
 
-def options(s, d):
-    p, k = profiles(s, d), F.col("profile_id").cast("long")
+def options(s, d, *of):
+    p, k = profiles(s, d, *of), F.col("profile_id").cast("long")
     own = p.where(~((k % 6 == 1) & (F.col("pos") == 3))).select("profile_id", "question_id", F.explode(F.array(F.lit("o1"), F.lit("o2"))).alias("option_id"))
     return own.withColumn("targets", F.when((k % 4 == 2) & (F.col("option_id") == "o2"), F.array(F.lit("t1"))).otherwise(F.array(F.lit("t2"), F.lit("t1"))))
 
@@ -119,9 +119,13 @@ def options(s, d):
 PQ = "(SELECT CAST(n_nationkey AS STRING) AS profile_id, n_nationkey AS k, unnest([1, 2, 3, 4]) AS q FROM {nation} n)"
 
 
-@query("cv1_profile_violations", found_sql("profile_id", ("targets_empty", "concat('q', q)", "NULL", f"{PQ} p WHERE k % 5 = 0 AND q = 1"), ("scope_unknown", "concat('q', q)", "NULL", f"{PQ} p WHERE k % 7 = 0 AND q = 2"), ("no_options", "concat('q', q)", "NULL", f"{PQ} p WHERE k % 6 = 1 AND q = 3"), ("option_targets", "concat('q', q)", "o", f"(SELECT *, unnest(['o1', 'o2']) AS o FROM {PQ} p) WHERE NOT (k % 6 = 1 AND q = 3) AND (k % 5 = 0 AND q = 1 OR k % 4 = 2 AND o = 'o2')")))
+#: A profile for each customer.
+PC = "(SELECT CAST(c_custkey AS STRING) AS profile_id, c_custkey AS k, unnest([1, 2, 3, 4]) AS q FROM {customer} n)"
+
+
+@query("cv1_profile_violations", found_sql("profile_id", ("targets_empty", "concat('q', q)", "NULL", f"{PC} p WHERE k % 5 = 0 AND q = 1"), ("scope_unknown", "concat('q', q)", "NULL", f"{PC} p WHERE k % 7 = 0 AND q = 2"), ("no_options", "concat('q', q)", "NULL", f"{PC} p WHERE k % 6 = 1 AND q = 3"), ("option_targets", "concat('q', q)", "o", f"(SELECT *, unnest(['o1', 'o2']) AS o FROM {PC} p) WHERE NOT (k % 6 = 1 AND q = 3) AND (k % 5 = 0 AND q = 1 OR k % 4 = 2 AND o = 'o2')")))
 def _(s, d):
-    return cv.profile_violations(profiles(s, d), options(s, d))
+    return cv.profile_violations(profiles(s, d, "customer", "c_custkey"), options(s, d, "customer", "c_custkey"))
 
 
 def intakes(s, d):

@@ -144,10 +144,13 @@ def records(s, d):
     )
 
 
-@query("lg1_shape_violations", "WITH r AS (SELECT * FROM " + RECORDS + " x) " + found_sql("run_id", ("missing:rationale", "record_id", "category", "r WHERE category IN ('suppressed', 'nonissue') AND n % 5 = 0"), ("unknown:rationale", "record_id", "category", "r WHERE category IN ('finding', 'question', 'drift') AND n % 5 <> 0"), ("enum:finding.status", "record_id", "'odd'", "r WHERE category = 'finding' AND n % 44 = 2"), ("snapshot", "record_id", "'old'", "r WHERE n % 47 = 0")))
+@query("lg1_shape_violations", "WITH r AS (SELECT * FROM " + RECORDS + " x) " + found_sql("run_id", ("missing:rationale", "record_id", "category", "r WHERE category IN ('suppressed', 'nonissue') AND n % 5 = 0"), ("unknown:rationale", "record_id", "category", "r WHERE category IN ('finding', 'question', 'drift') AND n % 5 <> 0"), ("enum:finding.status", "record_id", "'odd'", "r WHERE category = 'finding' AND n % 44 = 2"), ("snapshot", "record_id", "'old'", "r WHERE n % 47 = 0"),
+    ("missing:verdict", "record_id", "'finding'", "r WHERE category = 'finding' AND n % 2 = 1 AND n % 5 = 0"), ("unknown:verdict", "record_id", "'finding'", "r WHERE category = 'finding' AND n % 2 = 0 AND n % 5 <> 0"), ("enum:finding.verdict", "record_id", "'odd'", "r WHERE category = 'finding' AND n % 2 = 1 AND n % 5 = 1"), ("schema_version", "record_id", "3", "r WHERE category = 'nonissue' AND n % 2 = 1 AND n % 3 = 0")))
 def _(s, d):
     own = records(s, d).withColumn("rationale", F.when(F.col("n") % 5 != 0, F.col("rationale")))
     filled = {"digest": F.lit("x"), "severity": F.when(F.col("category") == "finding", "high"), "provenance": F.when(F.col("category") == "finding", "p"), "convention_slot": F.when(F.col("category") == "question", "c"), "detail": F.when(F.col("category") == "drift", "d"), "co_reference_basis": F.when(F.col("category") == "drift", "b"), "variants": F.when(F.col("category") == "drift", F.array(F.lit("v"))), "authority_path": F.when(F.col("category") == "suppressed", "a")}
+    n, finding = F.col("n"), F.col("category") == "finding"  # odd findings are of version 2, even ones of version 1
+    filled |= {"schema_version": F.when((F.col("category") == "nonissue") & (n % 3 == 0) & (n % 2 == 1), 3).otherwise(1 + n % 2).cast("int"), "verdict": F.when(finding & (n % 5 != 0), F.when((n % 5 == 1) & (n % 2 == 1), "odd").otherwise("partial"))}
     return lg.shape_violations(own.withColumns(filled), own.select("run_id").distinct().withColumn("snapshot_id", F.lit("snap")))
 
 
@@ -330,11 +333,20 @@ def _(s, d):
     return rc.open_item_misuse(runs(s, d, open_items_path=F.lit("open.md"), open_items_sha256=F.lit("h"), classified_ids=F.when(K() % 3 == 0, F.array(F.lit("F1"), F.lit("Z"))).otherwise(F.array(F.lit("F1"))), findings=found), sup)
 
 
-@query("rc7_scale_totals", found_sql("run_id", ("total_differs", "run_id", "4", f"{RUNS} r WHERE run_id % 5 = 0"), ("upper_below_total", "run_id", "2", f"{RUNS} r WHERE run_id % 7 = 0"), ("upper_differs", "run_id", "2", f"{RUNS} r WHERE run_id % 7 = 0"), ("rounds_differ", "run_id", "2", f"{RUNS} r WHERE run_id % 3 = 0"), ("name_repeated", "run_id", "NULL", f"{RUNS} r WHERE run_id % 4 = 0"), ("volume_lines", "run_id", "0", f"{RUNS} r WHERE run_id % 11 = 0")))
+#: Which runs' configuration is empty, has a blank name, a repeated one, a negative count.
+C_EMPTY, C_BLANK, C_TWICE, C_LESS = "run_id % 19 = 0", "run_id % 19 <> 0 AND run_id % 17 = 0", "run_id % 19 <> 0 AND run_id % 17 <> 0 AND run_id % 4 = 0", "run_id % 19 <> 0 AND run_id % 23 = 0"
+
+
+@query("rc7_scale_totals", found_sql("run_id", ("total_differs", "run_id", "4", f"{RUNS} r WHERE run_id % 5 = 0 AND NOT ({C_EMPTY} OR {C_BLANK} OR {C_TWICE} OR {C_LESS})"), ("upper_below_total", "run_id", "2", f"{RUNS} r WHERE run_id % 7 = 0"), ("upper_differs", "run_id", "2", f"{RUNS} r WHERE run_id % 7 = 0 AND run_id % 29 <> 0"), ("rounds_differ", "run_id", "2", f"{RUNS} r WHERE run_id % 3 = 0"),
+    ("list_empty:configuration", "run_id", "NULL", f"{RUNS} r WHERE {C_EMPTY}"), ("name_blank:configuration", "run_id", "NULL", f"{RUNS} r WHERE {C_BLANK}"), ("name_repeated:configuration", "run_id", "NULL", f"{RUNS} r WHERE {C_TWICE}"), ("negative_count:configuration", "run_id", "NULL", f"{RUNS} r WHERE {C_LESS}"), ("negative_count:upper_configuration", "run_id", "NULL", f"{RUNS} r WHERE run_id % 29 = 0"),
+    ("rounds_without_runs", "run_id", "2", f"{RUNS} r WHERE run_id % 3 = 0 AND run_id % 2 = 1"), ("rounds_without_reason", "run_id", "NULL", f"{RUNS} r WHERE run_id % 31 = 0"), ("volume_lines", "run_id", "0", f"{RUNS} r WHERE run_id % 11 = 0")))
 def _(s, d):
-    item = lambda n, c: F.struct(n.alias("name"), F.lit(c).alias("count"))
-    config = F.array(item(F.lit("a"), 1), item(F.when(K() % 4 == 0, "a").otherwise("b"), 2))
-    return rc.scale_totals(runs(s, d, snapshot_id=F.lit("s"), volume_snapshot_id=F.lit("s"), volume_lines=F.when(K() % 11 == 0, 0).otherwise(5), configuration=config, derived_total=F.when(K() % 5 == 0, 4).otherwise(3).cast("long"), upper_configuration=F.array(item(F.lit("a"), 6)), upper_bound=F.when(K() % 7 == 0, 2).otherwise(6).cast("long"), planned_rounds=F.lit(1), executed_rounds=F.when(K() % 3 == 0, 2).otherwise(1)))
+    item = lambda n, c: F.struct(n.alias("name"), c.cast("int").alias("count"))
+    config = F.array(item(F.lit("a"), F.when(K() % 23 == 0, -1).otherwise(1)), item(F.when(K() % 17 == 0, " ").when(K() % 4 == 0, "a").otherwise("b"), F.lit(2)))
+    config = F.when(K() % 19 == 0, F.slice(config, 1, 0)).otherwise(config)
+    upper = F.array(item(F.lit("a"), F.when(K() % 29 == 0, -6).otherwise(6)))
+    return rc.scale_totals(runs(s, d, snapshot_id=F.lit("s"), volume_snapshot_id=F.lit("s"), volume_lines=F.when(K() % 11 == 0, 0).otherwise(5), configuration=config, derived_total=F.when(K() % 5 == 0, 4).otherwise(3).cast("long"), upper_configuration=upper, upper_bound=F.when(K() % 7 == 0, 2).otherwise(6).cast("long"),
+        planned_rounds=F.lit(1), executed_rounds=F.when(K() % 3 == 0, 2).otherwise(1), run_ids=F.when(K() % 2 == 0, F.array(F.lit("r1"))), rounds_reason=F.when(K() % 31 == 0, " ").otherwise("why")))
 
 
 @query("rc8_round_context", found_sql("run_id", ("label_format", "run_id", "'x'", f"{RUNS} r WHERE run_id % 5 = 0"), ("label_not_next", "run_id", "'r1'", f"{RUNS} r WHERE run_id % 5 <> 0 AND run_id % 2 = 0"), ("comparison_missing", "run_id", "NULL", f"{RUNS} r WHERE run_id % 2 = 0 AND run_id % 3 = 0"), ("comparison_unasked", "run_id", "NULL", f"{RUNS} r WHERE run_id % 2 = 1 AND run_id % 3 <> 0"), ("few_snapshots", "run_id", "NULL", f"{RUNS} r WHERE run_id % 7 = 0"), ("lost_id_unknown", "run_id", "NULL", f"{RUNS} r WHERE run_id % 11 = 0"), ("axis_without_reason", "run_id", "NULL", f"{RUNS} r WHERE run_id % 13 = 0"), ("axis_not_undetermined", "run_id", "'judged'", f"{RUNS} r WHERE run_id % 13 <> 0 AND run_id % 17 = 0")))

@@ -11,8 +11,9 @@ from ..operators import integrity as it
 from ..operators import publish as pb
 from ..operators import structure as tx
 from ..operators import verify as vf
+from ..operators.graph import new_folder
 from ..sources import corpus as io
-from .fixtures import FAULTY_TERMS, PATTERNS, query, rows, table, terms, values_sql
+from .fixtures import PATTERNS, query, rows, table, terms, values_sql
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,9 +58,16 @@ def _(s, d):
     return io.publish_pages(named, body)
 
 
-@query("io4_snapshot_digest", """SELECT 'run' AS run_id, sha256(string_agg(concat(path, chr(0), bytes, chr(0), sha, chr(10)), '' ORDER BY encode(path))) AS digest, count(*) AS n_files FROM (SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(text)) AS bytes, sha256(text) AS sha FROM documents)""")
+TREE = """WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, octet_length(encode(text)) AS bytes, sha256(text) AS sha FROM documents),
+l4 AS (SELECT substr(sha256(path), 1, 4) AS part, sha256(string_agg(concat(path, chr(0), bytes, chr(0), sha, chr(10)), '' ORDER BY encode(path))) AS digest, count(*) AS n FROM f GROUP BY 1),
+l2 AS (SELECT substr(part, 1, 2) AS part, sha256(string_agg(concat(part, chr(0), n, chr(0), digest, chr(10)), '' ORDER BY part)) AS digest, sum(n)::BIGINT AS n FROM l4 GROUP BY 1)
+SELECT 'run' AS run_id, sha256(string_agg(concat(part, chr(0), n, chr(0), digest, chr(10)), '' ORDER BY part)) AS digest, sum(n)::BIGINT AS n_files FROM l2"""
+
+
+@query("io4_snapshot_digest", TREE)
 def _(s, d):
-    return it.aggregate_digest(io.file_inventory(docs(s, d)).withColumn("run_id", F.lit("run")), ["run_id"])
+    own = docs(s, d)
+    return io.write_snapshot(own, new_folder(s, "snapshot"), "run", io.file_inventory(own))
 
 
 @query("tx1_lines", f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, concat('L', lpad(CAST(line_no AS VARCHAR), CAST(greatest(2, len(CAST(line_no AS VARCHAR))) AS INTEGER), '0')) AS anchor, line, eol FROM {LINES}")
@@ -92,9 +100,9 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", normalize_ws(F.col("text")).alias("norm"))
 
 
-@query("tx6_slot_key", r"SELECT doc_id, translate(trim(regexp_replace(nfc_normalize(substr(text, 1, 80)), '\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS slot FROM documents")
+@query("tx6_slot_key", r"SELECT doc_id, translate(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS slot FROM documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", slot_key(F.substring("text", 1, 80)).alias("slot"))
+    return table(s, d, "documents").select("doc_id", slot_key(F.col("text")).alias("slot"))
 
 
 @query("tx7_unstable_ids", """SELECT k, rule, subject, detail, 'error' AS severity FROM (
@@ -144,9 +152,13 @@ def _(s, d):
     return vf.verbatim_summary(vf2(s, d), sources(s, d))
 
 
-HITS = f"""(WITH t AS (SELECT canonical, excepted, unnest(forbidden) AS variant FROM {values_sql()}), p AS (SELECT l.doc_id, l.line_no, l.line, t.*, unnest(range(0, length(l.line) - length(variant) + 1)) AS o FROM {LINES} l JOIN t ON contains(l.line, t.variant)),
-h AS (SELECT * FROM p WHERE substr(line, o + 1, length(variant)) = variant), e AS (SELECT DISTINCT h.doc_id, h.line_no, h.line, h.variant, h.o FROM h, unnest(h.excepted) AS x(e), unnest(range(0, length(h.line) - length(x.e) + 1)) AS y(a) WHERE substr(h.line, a + 1, length(x.e)) = x.e AND a <= h.o AND h.o + length(variant) <= a + length(x.e))
-SELECT doc_id, line_no, variant, canonical, CAST(o AS INTEGER) AS "offset", trim(line) AS line FROM h WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = h.doc_id AND e.line_no = h.line_no AND e.variant = h.variant AND e.o = h.o))"""
+#: Offsets are worked out in lines that hold a part, from the lengths of what lies between its occurrences; no part here overlaps itself.
+STARTS = "unnest(list_transform(range(1, len(p)), lambda j: CAST(list_sum(list_transform(p[1:j], lambda x: length(x))) AS BIGINT) + (j - 1) * length({0})))"
+HITS = f"""(WITH t AS (SELECT canonical, excepted, unnest(forbidden) AS variant FROM {values_sql()}),
+h AS (SELECT doc_id, line_no, line, canonical, excepted, variant, {STARTS.format("variant")} AS o FROM (SELECT l.doc_id, l.line_no, l.line, t.*, string_split(l.line, t.variant) AS p FROM {LINES} l JOIN t ON contains(l.line, t.variant))),
+x AS (SELECT DISTINCT doc_id, line_no, line, variant, unnest(excepted) AS e FROM h),
+e AS (SELECT doc_id, line_no, variant, length(e) AS n, {STARTS.format("e")} AS a FROM (SELECT *, string_split(line, e) AS p FROM x WHERE contains(line, e)))
+SELECT doc_id, line_no, variant, canonical, CAST(o AS INTEGER) AS "offset", trim(line) AS line FROM h WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = h.doc_id AND e.line_no = h.line_no AND e.variant = h.variant AND e.a <= h.o AND h.o + length(h.variant) <= e.a + e.n))"""
 
 
 @query("vf4_term_scan", f'SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, variant, canonical, "offset", line FROM {HITS} x')
@@ -160,15 +172,19 @@ def _(s, d):
     return vf.term_usage(vf4(s, d), doc_lines(s, d), terms(s))
 
 
-@query("vf6_term_dictionary", f"""WITH n AS (SELECT nationkey AS k FROM (SELECT n_nationkey AS nationkey FROM nation)), t AS (SELECT k, canonical, forbidden, excepted FROM n, {values_sql(FAULTY_TERMS)} x), v AS (SELECT k, canonical, excepted, unnest(forbidden) AS v FROM t)
+#: A dictionary for every four parts: a part's name is preferred to its first word and its brand; every third allows its own name, every fifth the brand, every seventh what no variant is in.
+@query("vf6_term_dictionary", r"""WITH t AS (SELECT p_partkey // 4 AS k, CASE WHEN p_partkey % 11 = 0 THEN concat(p_name, chr(10)) ELSE p_name END AS canonical, [CASE WHEN p_partkey % 13 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END, p_brand] AS forbidden,
+  list_filter([CASE WHEN p_partkey % 3 = 0 THEN p_name END, CASE WHEN p_partkey % 5 = 0 THEN p_brand END, CASE WHEN p_partkey % 7 = 0 THEN 'zzz' END], lambda x: x IS NOT NULL) AS excepted FROM part), v AS (SELECT k, canonical, excepted, unnest(forbidden) AS v FROM t)
 SELECT k, rule, subject, detail, 'error' AS severity FROM (
 SELECT k, 'newline_in_value' AS rule, canonical AS subject, NULL AS detail FROM t WHERE contains(canonical, chr(10)) UNION ALL SELECT k, 'forbidden_is_canonical', canonical, v FROM v WHERE v = canonical
 UNION ALL SELECT k, 'forbidden_repeated', v, CAST(count(*) AS VARCHAR) FROM v GROUP BY k, v HAVING count(*) > 1
 UNION ALL SELECT k, CASE WHEN list_contains(forbidden, e) THEN 'exception_is_forbidden' ELSE 'exception_useless' END, canonical, e FROM (SELECT k, canonical, forbidden, unnest(excepted) AS e FROM t) WHERE list_contains(forbidden, e) OR len(list_filter(forbidden, lambda f: contains(e, f) AND f <> e)) = 0
 UNION ALL SELECT DISTINCT v.k, 'forbidden_inside_canonical', t.canonical, v.v FROM v JOIN t ON v.k = t.k AND contains(t.canonical, v.v) AND v.v <> t.canonical AND NOT list_contains(v.excepted, t.canonical))""")
 def _(s, d):
-    every = table(s, d, "nation").select(F.col("n_nationkey").alias("k")).crossJoin(F.broadcast(terms(s, FAULTY_TERMS)))
-    return vf.term_dictionary_violations(every, ["k"])
+    k, name, every = F.col("p_partkey"), F.col("p_name"), lambda n, c: F.when(F.col("p_partkey") % n == 0, c)
+    excepted = F.array_compact(F.array(every(3, name), every(5, F.col("p_brand")), every(7, F.lit("zzz"))))
+    own = table(s, d, "part").select(F.floor(k / 4).cast("long").alias("k"), F.when(k % 11 == 0, F.concat(name, F.lit("\n"))).otherwise(name).alias("canonical"), F.array(F.coalesce(every(13, name), F.substring_index("p_name", " ", 1)), F.col("p_brand")).alias("forbidden"), excepted.alias("excepted"))
+    return vf.term_dictionary_violations(own, ["k"])
 
 
 @query("vf7_stale_refs", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(CASE WHEN doc_id % 11 = 0 THEN -1 ELSE doc_id END AS VARCHAR) END AS source_ref, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'xyz' WHEN doc_id % 3 = 0 THEN sha256('old') ELSE sha256(text) END AS source_hash FROM documents)
@@ -242,9 +258,10 @@ def inventory(s: SparkSession, d: str, changed: bool = False) -> DataFrame:
     return own.select("run_id", "path", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("in1_aggregate_digest", "SELECT doc_id % 50 AS run_id, sha256(string_agg(concat('docs/', doc_id, '.txt', chr(0), octet_length(encode(text)), chr(0), sha256(text), chr(10)), '' ORDER BY encode(concat('docs/', doc_id, '.txt')))) AS digest, count(*) AS n_files FROM documents GROUP BY 1")
+@query("in1_aggregate_digest", "SELECT doc_id // 100 AS run_id, sha256(string_agg(concat('docs/', doc_id, '.txt', chr(0), octet_length(encode(text)), chr(0), sha256(text), chr(10)), '' ORDER BY encode(concat('docs/', doc_id, '.txt')))) AS digest, count(*) AS n_files FROM documents GROUP BY 1")
 def _(s, d):
-    return it.aggregate_digest(inventory(s, d), ["run_id"])
+    own = inventory(s, d).withColumn("run_id", F.floor(F.regexp_extract("path", r"\d+", 0).cast("long") / 100).cast("long"))  # a hundred files a run, at every scale
+    return it.aggregate_digest(own, ["run_id"])
 
 
 DIFF = """SELECT doc_id % 50 AS run_id, concat('docs/', doc_id, '.txt') AS path, CASE WHEN doc_id % 17 = 0 THEN 'missing' ELSE 'changed' END AS change FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0"""

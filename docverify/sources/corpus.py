@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.integrity import aggregate_digest
+from ..operators.integrity import tree_digest
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "binaryFile", id_col: str | None = None, text_col: str = "text") -> DataFrame:
@@ -57,5 +57,5 @@ def write_snapshot(rows: DataFrame, path: str, run_id: str, inventory: DataFrame
 
     Complete only with Spark's marker and the digest row beside it; the digest is written last."""
     rows.write.mode("errorifexists").parquet(f"{path}/{run_id}/rows")
-    aggregate_digest(inventory.withColumn("run_id", F.lit(run_id)), ["run_id"]).write.mode("errorifexists").parquet(f"{path}/{run_id}/digest")
+    tree_digest(inventory.withColumn("run_id", F.lit(run_id)), ["run_id"]).write.mode("errorifexists").parquet(f"{path}/{run_id}/digest")
     return rows.sparkSession.read.parquet(f"{path}/{run_id}/digest")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import fingerprint
+from ..operators.graph import new_folder
 from ..operators.structure import lines
 from ..operators.verify import pattern_scan, term_scan, verbatim_match
 
@@ -90,10 +89,8 @@ def scan_stream(docs: DataFrame, terms: DataFrame, patterns: list[tuple[str, str
 
 
 def _place(df: DataFrame) -> str:
-    """A new folder below the checkpoint folder that driver and executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return new_folder(df.sparkSession, "stream")
 
 
 def _arriving(rows: DataFrame, place: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docverify.functions.text import normalize_ws, slot_key
-from docverify.operators import anchors, conventions, curation, decisions, integrity, manifest, review, structure, verify
+from docverify.operators import anchors, conventions, curation, decisions, integrity, ledger, manifest, review, structure, verify
 from docverify.operators.graph import classes, followed, on_cycles
 from docverify.sources import corpus
 from docverify.streaming import streams
@@ -186,3 +186,27 @@ def test_event_order_in_batch_and_as_a_stream(spark):
     assert got(streams.trace_order(events.distinct()), "run_id", "violation", "seq") == want
     stream = streams.run_to_end(lambda x: streams.trace_order_stream(x, None), events.repartition(3))
     assert got(stream, "run_id", "violation", "seq") == want
+
+
+def test_terms_of_a_large_dictionary_are_found_like_those_of_a_small_one(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 1, "the hand and the land"), (1, 2, "a\\Eb and a"), (2, 1, "é and日本語"), (2, 2, ""), (3, 1, None)], "doc_id long, line_no int, line string")
+    terms = spark.createDataFrame([("und", ["and", "", "日本"], ["hand", "land"]), ("x", ["a\\Eb", "é", "日本語"], None), ("none", ["zzzz"], [])], "canonical string, forbidden array<string>, excepted array<string>")
+    small = sorted(map(tuple, verify.term_scan(rows, terms).collect()))
+    monkeypatch.setattr(verify, "WORDS", 0)
+    assert small == sorted(map(tuple, verify.term_scan(rows, terms).collect()))
+    assert [(r[0], r[1], r[2], r[4]) for r in small] == [(1, 1, "and", 9), (1, 2, "a\\Eb", 0), (1, 2, "and", 5), (2, 1, "and", 2), (2, 1, "é", 0), (2, 1, "日本", 5), (2, 1, "日本語", 5)]
+
+
+def test_tree_digest_sees_every_change_and_no_order(spark):
+    rows = [(1, f"p{i}", i, f"h{i}") for i in range(300)]
+    of = lambda x: integrity.tree_digest(spark.createDataFrame(x, "run_id long, path string, bytes long, sha256 string"), ["run_id"]).first()
+    whole = of(rows)
+    assert whole == of(rows[::-1]) and whole.n_files == 300
+    assert len({whole.digest, of(rows[:-1]).digest, of([(1, "p0", 1, "h0"), *rows[1:]]).digest, of([(1, "q0", 0, "h0"), *rows[1:]]).digest}) == 4
+
+
+def test_findings_by_schema_version(spark):
+    base = "run_id long, record_id string, category string, schema_version int, verdict string"
+    rows = spark.createDataFrame([(1, "a", "finding", 1, None), (1, "b", "finding", 1, "full"), (1, "c", "finding", 2, None), (1, "d", "finding", 2, "full"), (1, "e", "finding", 2, "odd"), (1, "f", "nonissue", 3, None)], base)
+    found = {(r.subject, r.rule) for r in ledger.shape_violations(rows).collect() if "verdict" in r.rule or r.rule == "schema_version"}
+    assert found == {("b", "unknown:verdict"), ("c", "missing:verdict"), ("e", "enum:finding.verdict"), ("f", "schema_version")}
