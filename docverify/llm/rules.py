@@ -159,7 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000))
     picked = own.where(place < 1_000_000 * min(1.0, sample / max(n, 1))).withColumn("prune", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 0)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = measured(texts.join(F.broadcast(picked), "id")).where(~_failed()).select("bad", "prune", *(c.alias(k) for k, c in _statistics().items())).cache()
+    # judged behind the cache, or the base rules would be worked out for every text before the join
+    known = measured(texts.join(F.broadcast(picked), "id")).select("bad", "prune", _failed().alias("failed"), *(c.alias(k) for k, c in _statistics().items())).cache()
+    rows = known.where("not failed")
     at = [i / bins for i in range(1, bins)]
     cuts = rows.agg(*(F.percentile_approx(c, at, 10_000).alias(n) for s in STATISTICS for c, n in ((F.col(s), s), (F.when(F.col("bad"), F.col(s)), f"{s}_bad")))).first()
     edges = [sorted({*(cuts[s] or []), *(cuts[f"{s}_bad"] or [])}) for s in STATISTICS]
@@ -168,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.count_if(F.col("bad") & ~F.col("prune")), F.count_if(~F.col("bad") & ~F.col("prune")), F.count_if(F.col("bad") & F.col("prune")), F.count_if(~F.col("bad") & F.col("prune"))
     )
     cells = sorted((tuple(r[0]), *map(float, r[1:])) for r in counts.collect())
-    rows.unpersist()
+    known.unpersist()
     return [[Condition(STATISTICS[f], above, edges[f][b]) for f, above, b in rule] for rule in cover(cells, [len(e) for e in edges])]
 
 
