@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,3 +66,21 @@ def occurrences(text: Column, part: Column) -> Column:
         return F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
 
     return F.when(F.coalesce(F.length(part) > 0, F.lit(False)), F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda s: s["out"])).otherwise(none)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_count(flags: Column) -> Column:
+    """For each element of an array of booleans, how many are true up to it, itself included; null counts as false.
+
+    The flags are written as a string and cut at each true one, so it is one pass over them."""
+    runs = F.split(F.array_join(F.transform(flags, lambda f: F.when(f, "1").otherwise("0")), ""), "1", -1)
+    return F.flatten(F.transform(runs, lambda run, i: F.array_repeat(i, F.length(run) + F.when(i > 0, 1).otherwise(0))))
+
+
+def places(flags: Column) -> Column:
+    """0-based positions of what is true in an array of booleans."""
+    return F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())

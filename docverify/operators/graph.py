@@ -33,18 +33,52 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Layers that are peeled off a graph before its chains are shortened as well.
+PEEL = 8
+
+
+def _shortened(edges: DataFrame, keys: list[str], turn: int) -> tuple[DataFrame, DataFrame]:
+    """Takes nodes out of chains: of those with one edge in and one out, the ones whose hash is less than that of such neighbours, about a
+    third.  Returns the edges (keys, a, b, w), two by a taken node now one of their joint length, and the nodes taken (keys, node, a, b, wa, wb)."""
+    into = edges.groupBy(*keys, F.col("b").alias("node")).agg(F.count("*").alias("_n"), F.min("a").alias("a"), F.min("w").alias("wa")).where("_n = 1")
+    out = edges.groupBy(*keys, F.col("a").alias("node")).agg(F.count("*").alias("_n"), F.min("b").alias("b"), F.min("w").alias("wb")).where("_n = 1")
+    plain = into.drop("_n").join(out.drop("_n"), [*keys, "node"]).where("a <> node").withColumn("_h", F.xxhash64("node", F.lit(turn)))
+    links = plain
+    for side in ("a", "b"):
+        links = links.join(plain.select(*keys, F.col("node").alias(side), F.col("_h").alias(f"_{side}")), [*keys, side], "left")
+    least = [F.coalesce(F.col("_h") < F.col(side), F.lit(True)) for side in ("_a", "_b")]
+    gone = kept(links.where(least[0] & least[1]).select(*keys, "node", "a", "b", "wa", "wb"))
+    rest = edges
+    for side in ("a", "b"):
+        rest = rest.join(gone.select(*keys, F.col("node").alias(side)), [*keys, side], "left_anti")
+    rest = rest.select(*keys, "a", "b", "w").unionByName(gone.select(*keys, "a", "b", (F.col("wa") + F.col("wb")).alias("w")))
+    return kept(rest.groupBy(*keys, "a", "b").agg(F.max("w").alias("w"))), gone
+
+
 def on_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, node of the nodes that are left when nodes without an edge in or out are taken away again and again."""
-    rest = kept(edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
-    n = rest.count()
+    """keys, node of the nodes on a cycle or between cycles: what is left when nodes without an edge in or out are taken away again and again.
+
+    After ``PEEL`` layers chains are shortened too, so rounds grow with the logarithm of a chain's length."""
+    rest = kept(edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b"), F.lit(1).alias("w")).where("a is not null and b is not null").distinct())
+    n, turn, taken = rest.count(), 0, []
     while n:
         into = rest.select(*keys, F.col("b").alias("a")).distinct()
         out = rest.select(*keys, F.col("a").alias("b")).distinct()
         rest = kept(rest.join(into, [*keys, "a"], "left_semi").join(out, [*keys, "b"], "left_semi"))
         if (now := rest.count()) == n:
             break
-        n = now
-    return rest.select(*keys, F.col("a").alias("node")).distinct()
+        n, turn = now, turn + 1
+        if n and turn >= PEEL:
+            rest, gone = _shortened(rest, keys, turn)
+            taken.append(gone)
+            n = rest.count()
+    left = rest.select(*keys, F.col("a").alias("node")).distinct()
+    for gone in reversed(taken if n else []):  # a node taken out of a chain stays where both of its neighbours do
+        back = gone
+        for side in ("a", "b"):
+            back = back.join(left.select(*keys, F.col("node").alias(side)), [*keys, side], "left_semi")
+        left = kept(left.unionByName(back.select(*keys, "node")))
+    return left
 
 
 def followed(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -77,17 +111,24 @@ def classes(links: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame, keys: list[str], node: str, needs: str) -> DataFrame:
-    """keys, node, level: 0 without a need, else one more than the highest need; nodes on or behind a cycle have none."""
-    done = kept(nodes.select(*keys, F.col(node).alias("node")).distinct().join(edges.select(*keys, F.col(node).alias("node")).distinct(), [*keys, "node"], "left_anti").withColumn("level", F.lit(0)))
-    left, level = kept(edges.select(*keys, F.col(node).alias("node"), F.col(needs).alias("need")).distinct()), 0
+    """keys, node, level: 0 without a need, else one more than the highest need; nodes on or behind a cycle, or an unknown need, have none.
+
+    After ``PEEL`` levels chains are shortened too, so rounds grow with the logarithm of a chain's length."""
+    left = kept(edges.select(*keys, F.col(node).alias("a"), F.col(needs).alias("b"), F.lit(1).alias("w")).distinct())
+    done = kept(nodes.select(*keys, F.col(node).alias("node")).distinct().join(left.select(*keys, F.col("a").alias("node")).distinct(), [*keys, "node"], "left_anti").withColumn("level", F.lit(0)))
+    turn, taken = 0, []
     while not left.isEmpty():
-        level += 1
-        open_ones = left.join(done.select(*keys, F.col("node").alias("need")), [*keys, "need"], "left_anti").select(*keys, "node").distinct()
-        ready = left.select(*keys, "node").distinct().join(open_ones, [*keys, "node"], "left_anti")
+        met = left.join(done.withColumnRenamed("node", "b"), [*keys, "b"], "left").groupBy(*keys, F.col("a").alias("node"))
+        ready = kept(met.agg(F.max(F.col("level") + F.col("w")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("_k")).where("_k").drop("_k"))
         if ready.isEmpty():
             break
-        ready = kept(ready.withColumn("level", F.lit(level)))
-        done, left = done.unionByName(ready), kept(left.join(ready.select(*keys, "node"), [*keys, "node"], "left_anti"))
+        done, left, turn = done.unionByName(ready), kept(left.join(ready.select(*keys, F.col("node").alias("a")), [*keys, "a"], "left_anti")), turn + 1
+        if turn >= PEEL:
+            left, gone = _shortened(left, keys, turn)
+            taken.append(gone)
+    for gone in reversed(taken):
+        back = gone.join(done.withColumnRenamed("node", "b"), [*keys, "b"]).select(*keys, "node", (F.col("level") + F.col("wb")).alias("level"))
+        done = done.unionByName(kept(back))
     return done
 
 

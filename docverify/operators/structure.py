@@ -2,54 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import as_violation, repeated, union, violations
-from ..functions.text import SPACE, nfc, strip
+from ..functions.text import SPACE, let, nfc, places, running_count, strip
 
 #: Where a line ends, and code points that no identifier may hold.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 INVISIBLE = r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}\p{Cs}\p{Co}͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ]"
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """tx1: doc_id, line_no from 1, anchor, line, eol.  No line after the last line end; no line of an empty or null text."""
+def _lines() -> Column:
+    """The text's lines, each with its line end; none of an empty text."""
     ends = F.regexp_extract_all("text", F.lit(LINE_END), F.lit(0))
     both = F.arrays_zip(F.split("text", LINE_END, -1).alias("line"), F.concat(ends, F.array(F.lit(""))).alias("eol"))
-    rows = docs.select("doc_id", F.posexplode(F.filter(both, lambda x: (x["line"] != "") | (x["eol"] != ""))).alias("_p", "_l"))
-    # only the last element can be dropped, so positions stay
-    return rows.select("doc_id", (F.col("_p") + 1).alias("line_no"), F.format_string("L%02d", F.col("_p") + 1).alias("anchor"), "_l.line", "_l.eol")
+    return F.filter(both, lambda x: (x["line"] != "") | (x["eol"] != ""))  # only the last can be dropped, so positions stay
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds line_no and anchor to lines with their position."""
+    return rows.withColumn("line_no", F.col("_p") + 1).withColumn("anchor", F.format_string("L%02d", F.col("_p") + 1))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """tx1: doc_id, line_no from 1, anchor, line, eol.  No line after the last line end; no line of an empty or null text."""
+    rows = docs.select("doc_id", F.posexplode(_lines()).alias("_p", "_l"))
+    return _numbered(rows).select("doc_id", "line_no", "anchor", "_l.line", "_l.eol")
 
 
-def _by_line() -> Window:
-    return Window.partitionBy("doc_id").orderBy("line_no")
+def _fenced() -> Column:
+    """The text's lines with is_fence and in_fence, worked out inside the row: no line moves."""
 
+    def state(found: Column, fences: Column, count: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            fence = F.get(fences, i)
+            return F.struct(x["line"].alias("line"), x["eol"].alias("eol"), fence.alias("is_fence"), (fence | (F.get(count, i) % 2 == 1)).alias("in_fence"))
 
-def fence_state(rows: DataFrame) -> DataFrame:
-    """tx2: adds is_fence and in_fence; a fence line counts as inside."""
-    fence = F.col("line").rlike(rf"^{SPACE}*(```|~~~)")
-    return rows.withColumn("is_fence", fence).withColumn("in_fence", F.col("is_fence") | (F.sum(F.col("is_fence").cast("int")).over(_by_line()) % 2 == 1))
+        return F.transform(found, one)
 
+    fence = lambda x: x["line"].rlike(rf"^{SPACE}*(```|~~~)")
+    return let(_lines(), lambda found: let(F.transform(found, fence), lambda fences: let(running_count(fences), lambda count: state(found, fences, count))))
 
-def sections(rows: DataFrame) -> DataFrame:
+
+def fence_state(docs: DataFrame) -> DataFrame:
+    """tx2: the lines of tx1 with is_fence and in_fence; a fence line counts as inside."""
+    rows = docs.select("doc_id", F.posexplode(_fenced()).alias("_p", "_l"))
+    return _numbered(rows).select("doc_id", "line_no", "anchor", "_l.*")
+
+
+def sections(docs: DataFrame) -> DataFrame:
     """tx3: doc_id, section_idx, title, block, split at first-level headings outside fences.  What stands before the first has no title;
     the blocks of a document join to its text."""
-    heading = ~F.col("in_fence") & F.col("line").rlike(r"^ {0,3}#[\s]+\S")
-    text = strip(F.regexp_replace(strip(F.col("line")), "^#+", ""))
-    marked = fence_state(rows).withColumn("_h", heading)
-    placed = marked.select("doc_id", "line_no", F.concat("line", "eol").alias("_t"), F.when(F.col("_h"), F.regexp_replace(text, r"\s+#+\s*\z", "")).alias("_title"), F.sum(F.col("_h").cast("int")).over(_by_line()).cast("int").alias("section_idx"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_t"))), lambda x: x["_t"]), "")
-    return placed.groupBy("doc_id", "section_idx").agg(F.max("_title").alias("title"), joined.alias("block"))
+    heading = lambda x: ~x["in_fence"] & x["line"].rlike(r"^ {0,3}#[\s]+\S")
+    title = lambda x: F.regexp_replace(strip(F.regexp_replace(strip(x["line"]), "^#+", "")), r"\s+#+\s*\z", "")
+
+    def cut(found: Column, starts: Column) -> Column:
+        def one(start: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(starts, i), F.size(found))  # the next heading: before the first one stands section 0
+            block = F.array_join(F.transform(F.slice(found, start + 1, end - start), lambda x: F.concat(x["line"], x["eol"])), "")
+            return F.struct(i.alias("section_idx"), F.when(i > 0, title(F.get(found, start))).alias("title"), block.alias("block"))
 
+        return F.filter(F.transform(F.concat(F.array(F.lit(0)), starts), one), lambda s: s["block"] != "")
 
-def blockquotes(rows: DataFrame) -> DataFrame:
+    whole = let(_fenced(), lambda found: let(places(F.transform(found, heading)), lambda starts: cut(found, starts)))
+    return docs.select("doc_id", F.inline(whole))
+
+
+def blockquotes(docs: DataFrame) -> DataFrame:
     """tx4: doc_id, quote_idx from 1, quote: consecutive quoted lines outside fences as one; blank ones are dropped."""
-    marked = fence_state(rows).withColumn("_q", ~F.col("in_fence") & F.col("line").rlike(r"^ {0,3}>"))
-    starts = F.col("_q") & ~F.coalesce(F.lag("_q").over(_by_line()), F.lit(False))
-    grouped = marked.withColumn("_g", F.sum(starts.cast("int")).over(_by_line())).where("_q").groupBy("doc_id", "_g").agg(F.array_sort(F.collect_list(F.struct("line_no", F.regexp_replace("line", r"^\s{0,3}>\s?", "").alias("t")))).alias("_l"))
-    quotes = grouped.select("doc_id", "_g", strip(F.array_join(F.transform("_l", lambda x: x["t"]), " ")).alias("quote")).where("quote <> ''")
-    return quotes.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("_g")).alias("quote_idx"), "quote")
+    quoted = lambda x: ~x["in_fence"] & x["line"].rlike(r"^ {0,3}>")
+    edge = lambda marks, step: places(F.transform(marks, lambda q, i: q & ~F.coalesce(F.get(marks, i + step), F.lit(False))))
+
+    def joined(found: Column, starts: Column, ends: Column) -> Column:
+        bare = lambda x: F.regexp_replace(x["line"], r"^\s{0,3}>\s?", "")
+        one = lambda s, i: strip(F.array_join(F.transform(F.slice(found, s + 1, F.get(ends, i) - s + 1), bare), " "))
+        return F.filter(F.transform(starts, one), lambda q: q != "")
+
+    marked = lambda found: let(F.transform(found, quoted), lambda marks: let(edge(marks, -1), lambda starts: let(edge(marks, 1), lambda ends: joined(found, starts, ends))))
+    rows = docs.select("doc_id", F.posexplode(let(_fenced(), marked)).alias("_p", "quote"))
+    return rows.select("doc_id", (F.col("_p") + 1).alias("quote_idx"), "quote")
 
 
 def unstable_ids(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

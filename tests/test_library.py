@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from docverify.functions.text import normalize_ws, slot_key
 from docverify.operators import anchors, conventions, curation, decisions, integrity, ledger, manifest, review, structure, verify
-from docverify.operators.graph import classes, followed, on_cycles
+from docverify.operators import graph
+from docverify.operators.graph import classes, followed, levels, on_cycles
 from docverify.sources import corpus
 from docverify.streaming import streams
 
@@ -20,7 +21,7 @@ def got(df, *cols):
 def test_sections_ignore_fences_and_join_back(spark):
     text = "intro\n# One #\nbody\n```\n# no\n```\n   # C#\r\nx\n    # code\n~~~\n# no\n~~~\nend"
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "# a")], "doc_id int, text string")
-    found = structure.sections(structure.lines(docs)).orderBy("doc_id", "section_idx").collect()
+    found = structure.sections(docs).orderBy("doc_id", "section_idx").collect()
     assert [(r.doc_id, r.title) for r in found] == [(1, None), (1, "One"), (1, "C#"), (4, "a")]
     assert "".join(r.block for r in found if r.doc_id == 1) == text
 
@@ -38,7 +39,29 @@ def test_lines_are_those_of_splitlines(spark):
 
 def test_blockquotes_merge(spark):
     docs = spark.createDataFrame([(1, "> a\n> b\n\ntext\n```\n> no\n```\n   > c\n    > code\n>\n")], "doc_id int, text string")
-    assert got(structure.blockquotes(structure.lines(docs)), "quote_idx", "quote") == [(1, "a b"), (2, "c")]
+    assert got(structure.blockquotes(docs), "quote_idx", "quote") == [(1, "a b"), (2, "c")]
+
+
+def test_fences_and_quotes_equal_a_plain_walk(spark):
+    rng = random.Random(11)
+    made = ["\n".join(rng.choice(["```", " ~~~ x", "> q", ">", "   > r ", "# T", "text", "", "    > code"]) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    fences, quotes = [], []
+    for i, t in enumerate(made):
+        inside, group = False, []
+        found = []
+        for n, line in enumerate(t.splitlines(), 1):
+            fence = line.strip().startswith(("```", "~~~"))
+            inside ^= fence
+            fences.append((i, n, line, fence, fence or inside))
+            if not (fence or inside) and re.match(r" {0,3}>", line):
+                group.append(re.sub(r"^\s{0,3}>\s?", "", line))
+            else:
+                found, group = [*found, group], []
+        kept = [q for g in [*found, group] if (q := " ".join(g).strip())]
+        quotes += [(i, n, q) for n, q in enumerate(kept, 1)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id int, text string")
+    assert got(structure.fence_state(docs), "doc_id", "line_no", "line", "is_fence", "in_fence") == sorted(fences)
+    assert got(structure.blockquotes(docs), "doc_id", "quote_idx", "quote") == sorted(quotes)
 
 
 def test_white_space_and_slot_keys(spark):
@@ -98,14 +121,53 @@ def test_anchor_boundaries(spark):
 
 
 def test_graphs(spark):
-    chain = spark.createDataFrame([(1, i, i + 1) for i in range(1000)] + [(2, 1, 2), (2, 2, 3), (2, 3, 2)], "k int, a int, b int")
+    chain = spark.createDataFrame([(1, i, i + 1) for i in range(60)] + [(2, 1, 2), (2, 2, 3), (2, 3, 2)], "k int, a int, b int")
     assert got(on_cycles(chain, ["k"], "a", "b"), "k", "node") == [(2, 2), (2, 3)]
     ends = {(r.k, r.a): r.root for r in followed(chain.where("k = 1"), ["k"], "a", "b").collect()}
-    assert ends[(1, 0)] == 1000 and len(ends) == 1000
+    assert ends[(1, 0)] == 60 and len(ends) == 60
     pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 7, 9), (2, 1, 5)], "k int, a int, b int")
     assert got(classes(pairs, ["k"], "a", "b"), "k", "node", "label") == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 7, 7), (1, 9, 7), (2, 1, 1), (2, 5, 1)]
 
 
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    rounds, write = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: rounds.append(1) or write(df))
+    rows = [(1, i, i + 1) for i in range(2000)] + [(2, i, (i + 1) % 500) for i in range(500)] + [(2, 499, 1000), (2, 2000, 0), (3, 1, 1), (3, 1, 2)]
+    chain = spark.createDataFrame(rows, "k int, a int, b int")
+    assert got(on_cycles(chain, ["k"], "a", "b"), "k", "node") == [(2, i) for i in range(500)] + [(3, 1)]
+    nodes = chain.select("k", "a").union(chain.select("k", "b")).distinct()
+    found = {(r.k, r.node): r.level for r in levels(chain, nodes, ["k"], "a", "b").collect()}
+    assert found == {**{(1, i): 2000 - i for i in range(2001)}, (2, 1000): 0, (3, 2): 0}
+    assert len(rounds) < 300
+
+
+def test_levels_and_cycles_of_random_graphs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PEEL", 1)
+    rng, rows = random.Random(9), []
+    for k in range(12):
+        n = rng.randint(5, 25)
+        rows += [(k, a, b) for a, b in {(rng.randrange(n), rng.randrange(n)) for _ in range(n)} if k % 2 or a < b]
+    want, high = set(), {}
+    for k in range(12):
+        own = {(a, b) for q, a, b in rows if q == k}
+        left = set(own)
+        while True:
+            into, out = {b for _, b in left}, {a for a, _ in left}
+            rest = {(a, b) for a, b in left if a in into and b in out}
+            if rest == left:
+                break
+            left = rest
+        want |= {(k, a) for a, _ in left}
+        level = {n: 0 for e in own for n in e if all(a != n for a, _ in own)}
+        while new := {n: 1 + max(level[b] for a, b in own if a == n) for n, _ in own if n not in level and all(b in level for a, b in own if a == n)}:
+            level |= new
+        high |= {(k, n): v for n, v in level.items()}
+    edges = spark.createDataFrame(rows, "k int, a int, b int")
+    assert set(got(on_cycles(edges, ["k"], "a", "b"), "k", "node")) == want
+    nodes = edges.select("k", "a").union(edges.select("k", "b")).distinct()
+    assert {(r.k, r.node): r.level for r in levels(edges, nodes, ["k"], "a", "b").collect()} == high
+
+
 DECISION = "registry_id int, id string, decision string, status string, date string, evidence string, subject string, supersedes string, superseded_by string, source_ref string, source_hash string"
 
 
