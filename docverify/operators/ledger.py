@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import as_violation, repeated, union, violations
 from ..functions.text import blank
+from .decisions import DATE, SHA
 from .graph import or_false
 
 KEY = ["run_id"]
@@ -31,6 +32,9 @@ ENUMS = {
     ("finding", "status"): ("discovered", "accepted", "rejected", "planned", "applied", "verified"), ("finding", "verdict"): ("none", "partial", "full"),
     ("question", "status"): ("open", "resolved"), ("question", "verification_result"): ("pass", "kill", "unresolved"), ("counter_evidence", "resolution"): ("partial", "full"),
 }
+#: What an approval must say, and its states.
+APPROVAL = ("id", "docmodel_path", "docmodel_sha256", "status", "approved_by", "approved_at", "evidence")
+APPROVAL_STATUS = ("approved", "revoked")
 #: What findings have by the schema's version.
 VERSIONED = "verdict"
 #: What counts for a record's digest, by category; the fields' order is that of their names.
@@ -234,6 +238,31 @@ def record_digest(records: DataFrame) -> DataFrame:
     return records.withColumn("computed", F.concat(F.lit("sha256:"), F.sha2(out, 256))).select(*KEY, "record_id", "category", "computed", *([or_false(F.col("digest") == F.col("computed")).alias("matches")] if "digest" in records.columns else []))
 
 
+def approval_violations(registries: DataFrame, approvals: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """lg15: what keeps a registry of approvals (registry_id, target, updated_at) from being an authority: blank or ill-formed fields, no approval,
+    repeated ids, paths that leave the packet, models that are gone or have changed since.
+
+    approvals: registry_id, the fields of APPROVAL, and template; fingerprints: path, sha256.  A template may be null, not blank."""
+    key, safe = ["registry_id"], ~F.col("docmodel_path").rlike(r"^/|(^|/)\.\.(/|\z)")
+    head = violations(registries, key, [*((f"blank:{c}", blank(F.col(c)), None) for c in ("target", "updated_at")), ("format:updated_at", ~blank(F.col("updated_at")) & ~F.col("updated_at").rlike(DATE), F.col("updated_at"))], "target")
+    none = as_violation(registries.join(approvals.select(*key).distinct(), key, "left_anti"), key, "no_approval", "target")
+    both = approvals.join(fingerprints.select(F.col("path").alias("docmodel_path"), F.col("sha256").alias("_now")), "docmodel_path", "left")
+    bound = ~blank(F.col("docmodel_path")) & F.col("docmodel_sha256").rlike(SHA)
+    own = violations(both, key, [
+        *((f"blank:{c}", blank(F.col(c)), None) for c in APPROVAL), ("blank:template", F.col("template").isNotNull() & blank(F.col("template")), None),
+        ("enum:status", ~blank(F.col("status")) & ~F.col("status").isin(*APPROVAL_STATUS), F.col("status")), ("format:docmodel_sha256", ~blank(F.col("docmodel_sha256")) & ~F.col("docmodel_sha256").rlike(SHA), None),
+        ("format:approved_at", ~blank(F.col("approved_at")) & ~F.col("approved_at").rlike(DATE), F.col("approved_at")), ("unsafe_path", bound & ~safe, F.col("docmodel_path")),
+        ("missing_model", bound & safe & F.col("_now").isNull(), F.col("docmodel_path")), ("stale_model", bound & safe & (F.col("_now") != F.col("docmodel_sha256")), F.col("docmodel_path")),
+    ], "id")
+    return union(head, none, own, repeated(approvals.where(~blank(F.col("id"))), key, "id", "repeated_id"))
+
+
+def current_approvals(approvals: DataFrame, found: DataFrame) -> DataFrame:
+    """lg15: registry_id, id, state of the approvals in registries without a violation; a draft is none, whatever its status says."""
+    draft = F.lower(F.regexp_extract("docmodel_path", r"[^/]*\z", 0)).contains(".draft.")
+    return approvals.join(found.select("registry_id").distinct(), "registry_id", "left_anti").select("registry_id", "id", F.when(draft, "draft").otherwise(F.col("status")).alias("state"))
+
+
 def authority_eligibility(refs: DataFrame, fingerprints: DataFrame, eligible: DataFrame, approvals: DataFrame) -> DataFrame:
     """lg15: run_id, record_id, state of each suppression's authority (path, sha256, kind, entry_id): unbound, missing, stale, ineligible or ok.
 

@@ -267,6 +267,45 @@ def _(s, d):
     return lg.authority_eligibility(refs, files, own.where("n % 11 = 0").select(F.col("atom_id").alias("id")), own.where("n % 13 = 0").select(F.col("atom_id").alias("id"), F.lit("approved").alias("state")))
 
 
+#: Approvals of models by registry: a registry for each customer, an approval for each order.
+APPROVED = """(SELECT o_custkey AS registry_id, o_orderkey AS n, CASE WHEN o_orderkey % 211 = 0 THEN CAST(NULL AS STRING) ELSE CAST(o_orderkey - CASE WHEN o_orderkey % 199 = 0 THEN 1 ELSE 0 END AS STRING) END AS id,
+CASE WHEN o_orderkey % 31 = 0 THEN '../m.yaml' WHEN o_orderkey % 7 = 0 THEN concat('m/', o_orderkey, '.Draft.yaml') ELSE concat('m/', o_orderkey, '.yaml') END AS docmodel_path,
+CASE WHEN o_orderkey % 53 = 0 THEN 'maybe' WHEN o_orderkey % 5 = 0 THEN 'revoked' ELSE 'approved' END AS status, CASE WHEN o_orderkey % 61 = 0 THEN ' ' ELSE 'owner' END AS approved_by,
+CASE WHEN o_orderkey % 67 = 0 THEN 'May' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS approved_at, 'minutes' AS evidence, CASE WHEN o_orderkey % 71 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 't' END AS template FROM {orders} o)"""
+APPROVERS = "(SELECT c_custkey AS registry_id, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE concat('t', c_custkey) END AS target, CASE WHEN c_custkey % 17 = 0 THEN 'May' ELSE '2024-01-01' END AS updated_at FROM {customer} c)"
+_BAD_SHA, _BOUND = "n % 23 = 0", "n % 23 <> 0 AND n % 31 <> 0"
+APPROVAL_FAULTS = "(" + found_sql(
+    "registry_id", ("blank:target", "target", "NULL", f"{APPROVERS} a WHERE target = ''"), ("format:updated_at", "target", "updated_at", f"{APPROVERS} a WHERE updated_at = 'May'"),
+    ("no_approval", "target", "NULL", f"{APPROVERS} a WHERE registry_id NOT IN (SELECT o_custkey FROM {{orders}} o)"), ("blank:id", "id", "NULL", f"{APPROVED} a WHERE id IS NULL"),
+    ("blank:approved_by", "id", "NULL", f"{APPROVED} a WHERE approved_by = ' '"), ("blank:template", "id", "NULL", f"{APPROVED} a WHERE template = ''"), ("enum:status", "id", "status", f"{APPROVED} a WHERE status = 'maybe'"),
+    ("format:docmodel_sha256", "id", "NULL", f"{APPROVED} a WHERE {_BAD_SHA}"), ("format:approved_at", "id", "approved_at", f"{APPROVED} a WHERE approved_at = 'May'"),
+    ("unsafe_path", "id", "docmodel_path", f"{APPROVED} a WHERE n % 31 = 0 AND n % 23 <> 0"), ("missing_model", "id", "docmodel_path", f"{APPROVED} a WHERE {_BOUND} AND n % 29 = 0"),
+    ("stale_model", "id", "docmodel_path", f"{APPROVED} a WHERE {_BOUND} AND n % 29 <> 0 AND n % 37 = 0"),
+    ("repeated_id", "id", "c", f"(SELECT registry_id, id, count(*) AS c FROM {APPROVED} a WHERE id IS NOT NULL GROUP BY registry_id, id HAVING count(*) > 1) r"),
+) + ")"
+
+
+def approved(s, d) -> DataFrame:
+    n = F.col("n")
+    return rows(s, d, f"SELECT * FROM {APPROVED} a").withColumn("docmodel_sha256", F.when(n % 23 == 0, "bad").when(n % 37 == 0, F.sha2(F.lit("old"), 256)).otherwise(F.sha2("docmodel_path", 256)))
+
+
+def approval_faults(s, d) -> DataFrame:
+    own = approved(s, d)
+    files = own.where("n % 29 <> 0").select(F.col("docmodel_path").alias("path"), F.sha2("docmodel_path", 256).alias("sha256")).distinct()
+    return lg.approval_violations(rows(s, d, f"SELECT * FROM {APPROVERS} a"), own.drop("n"), files)
+
+
+@query("lg15_approval_violations", f"SELECT * FROM {APPROVAL_FAULTS} f")
+def _(s, d):
+    return approval_faults(s, d)
+
+
+@query("lg15_current_approvals", f"SELECT registry_id, id, CASE WHEN n % 7 = 0 THEN 'draft' ELSE status END AS state FROM {APPROVED} a WHERE registry_id NOT IN (SELECT registry_id FROM {APPROVAL_FAULTS} f)")
+def _(s, d):
+    return lg.current_approvals(approved(s, d), approval_faults(s, d))
+
+
 @query("lg16_ledger_summary", "SELECT r.run_id, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS n_{o}" for o in lg.OUTCOMES) + f", coalesce(any_value(v.n), 0) AS n_violations, coalesce(any_value(v.n), 0) = 0 AND NOT (r.run_id % 2 = 0 AND count(*) FILTER (outcome = 'question') > 0) AS passes FROM {ROWS} r LEFT JOIN (SELECT run_id, count(*) AS n FROM (SELECT a.run_id FROM {ATOMS} a LEFT JOIN {ROWS} l ON l.run_id = a.run_id AND l.atom_id = a.atom_id GROUP BY a.run_id, a.atom_id HAVING count(l.atom_id) <> 1) GROUP BY 1) v ON v.run_id = r.run_id GROUP BY 1")
 def _(s, d):
     r = ledger_rows(s, d)
