@@ -67,12 +67,12 @@ def _minwise(own: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.array_min(F.transform(own, lambda h: F.xxhash64(h, i))).alias("v")))
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, percent: int = 80, large: int = LARGE, bucket: int = BUCKET) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, percent: int = 80, large: int = LARGE, bucket: int = BUCKET, by_text: bool = False) -> DataFrame:
     """A row for each document and item of which it holds at least ``percent`` of the shingles: id, item id, n_item_shingles, n_shared, containment.
 
     Items of fewer words than ``width`` are one shingle of all their words; null and empty items and texts give no
-    rows.  Rows that repeat an id and item are reported once, with the largest share; a null id is an id; other columns are left
-    out; an empty table gives no rows."""
+    rows.  Rows that repeat an id and item are reported once, with the largest share, or with ``by_text`` once for each text, with its
+    xxhash64 as text_key; a null id is an id; other columns are left out; an empty table gives no rows."""
     spark, share = docs.sparkSession, percent / 100
     own = settled(item_shingles(items, item_col, item_text_col, width), "decontam-items")
     vocabulary = settled(own.select("w", F.explode("own").alias("h")).distinct(), "decontam-vocabulary")
@@ -106,9 +106,10 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     pairs = met.select("part_key", "w", "item", "item_key").distinct()
     held = pairs.join(sets.select("part_key", "w", F.col("own").alias("a")), ["part_key", "w"]).join(own.select("item", "w", "q", F.xxhash64("own").alias("item_key"), F.col("own").alias("b")).withColumnRenamed("item", "item_"), ["item_key", "w"])
     held = held.where(F.col("item").eqNullSafe(F.col("item_"))).withColumn("n", F.size(F.array_intersect("a", "b"))).where(F.col("n") * 100 >= F.col("q") * percent).select("part_key", "w", "item", "q", "n")
-    found = cut.select("doc", "set_key", "w").join(parts.select("set_key", "w", "part_key").join(held, ["part_key", "w"]), ["set_key", "w"])
-    best = found.groupBy("doc", "item").agg(F.max(F.struct((F.col("n") / F.col("q")).alias("c"), F.col("q"), F.col("n"))).alias("x"))
-    return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("x.q").cast("long").alias("n_item_shingles"), F.col("x.n").cast("long").alias("n_shared"), F.col("x.c").alias("containment"))
+    texts_too = ["text_key"] if by_text else []
+    found = cut.select("doc", *texts_too, "set_key", "w").join(parts.select("set_key", "w", "part_key").join(held, ["part_key", "w"]), ["set_key", "w"])
+    best = found.groupBy("doc", *texts_too, "item").agg(F.max(F.struct((F.col("n") / F.col("q")).alias("c"), F.col("q"), F.col("n"))).alias("x"))
+    return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("x.q").cast("long").alias("n_item_shingles"), F.col("x.n").cast("long").alias("n_shared"), F.col("x.c").alias("containment"), *texts_too)
 
 
 #: The same result by SQL: every shingle of every document against every shingle of every item.

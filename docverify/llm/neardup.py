@@ -92,7 +92,7 @@ def _matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, positions: int = POSITIONS, marks: int = MARKS) -> DataFrame:
-    """id, n (shingles), k1, k2 (a key of the set), sig (the first positions in full) and marks (a byte of every position) of rows (id, text)."""
+    """id, text_key (a hash of the text), n (shingles), k1, k2 (a key of the set), sig (the first positions in full) and marks (a byte of every position) of rows (id, text)."""
     factors = minhash_factors(marks)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +104,9 @@ def signatures(docs: DataFrame, width: int, positions: int = POSITIONS, marks: i
                 least = [minhash(s, factors) for s in sets]
                 cells = [[len(s) for s in sets], keys[:, 0], keys[:, 1], [x[:positions].astype("<u4").tobytes() for x in least], [x.astype(np.uint8).tobytes() for x in least]]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], ["id", "n", "k1", "k2", "sig", "marks"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], ["id", "text_key", "n", "k1", "k2", "sig", "marks"])
 
-    return docs.mapInArrow(sign, "id long, n long, k1 long, k2 long, sig binary, marks binary")
+    return docs.select("id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, "id long, text_key long, n long, k1 long, k2 long, sig binary, marks binary")
 
 
 def _branch(rows: DataFrame, levels: int, trees: range | None = None, fresh: bool = False) -> DataFrame:
@@ -317,7 +317,7 @@ def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, t
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id reachable over links), kept.
+    """Per row: id, n_shingles, component_id (least id reachable over links), kept, text_key (xxhash64 of the text, which tells rows of one id apart).
 
     Null and empty texts have an empty set and are linked with nothing; a null id takes no part in links, its component is
     null and it is kept; rows that repeat an id are each placed by their own text's class, and classes with the same least
@@ -331,5 +331,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = own.where("id is not null")
     labels = linked_classes(own, classes.select(F.col("rep").alias("id"), "sig", "marks"), width, percent, trees)
     named = settled(classes.drop("sig", "marks").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", "copies", F.coalesce("label", "rep").alias("label")), "dup-named")
-    placed = joined(full.drop("sig", "marks"), named, ["k1", "k2", "n"], "copies", "id").select("id", "n", "label").unionByName(rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("label")))
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("label"))).alias("kept"))
+    placed = joined(full.drop("sig", "marks"), named, ["k1", "k2", "n"], "copies", "id").select("id", "text_key", "n", "label").unionByName(rows.where("n = 0 or id is null").select("id", "text_key", "n", F.col("id").alias("label")))
+    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("label"))).alias("kept"), "text_key")
