@@ -16,29 +16,38 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.predict(docs, langid.learn(docs), whole=True).where(F.col("lang_pred") != "und").select("row.*")
 
 
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents but those rows (doc_id, text_key): rows that repeat an id are told apart by their texts, and a null id is an id."""
+    gone = rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_key"]), "left_anti")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near duplicates (five words, 0.8).
 
-    Texts without a word and null ids stay; rows that repeat an id stay or go together."""
-    doubles = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(doubles, "doc_id", "left_anti").select(docs.columns)
+    Texts without a word and null ids stay; of rows that repeat an id each is judged by its own text; an empty table stays empty."""
+    return _without(docs, neardup.near_duplicates(docs).where(~F.col("kept")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item (five words, 0.8 of its shingles).
 
-    Null and empty texts and null ids stay; rows that repeat an id go together."""
-    leaks = decontam.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    Null and empty texts stay; rows with null ids, and each of those that repeat an id, are judged by their own texts; an empty table stays empty."""
+    return _without(docs, decontam.contained(docs, table(spark, sf_dir, "benchmark"), by_text=True))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks live secrets in the texts; every document stays, and n_chars is that of its new text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Masks live secrets in the texts; every document stays, and n_chars is that of its new text.
+
+    Null texts stay null with a null n_chars; null and repeated ids and empty tables need no care, for a row is masked by its own text."""
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left: a row for each piece, as the packing operator gives it."""
+    """Packs what is left: a row for each piece, as the packing operator gives it.
+
+    A null or empty text is the end token alone; null and repeated ids give pieces a row each; an empty table gives no pieces."""
     return packing.pack(docs)
 
 
