@@ -639,6 +639,21 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(last)
 
 
+def test_filtering_stages_judge_rows_that_repeat_an_id_by_their_texts(spark, tmp_path):
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(4))
+    item = " ".join(f"b{i}" for i in range(20))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a, "k1"), (5, a, "k2"), (5, b, "k3"), (5, b, "k3"), (6, f"{c} {item}", "k4"), (6, d, "k5"), (None, item, "k6"), (None, None, "k7"), (8, None, "k8"), (9, "", "k9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    deduped = corpus_pipeline.one_of_each_group(spark, df, str(tmp_path))
+    assert sorted(r.text_key for r in deduped.collect()) == ["k1", "k3", "k3", "k4", "k5", "k6", "k7", "k8", "k9"]
+    clean = corpus_pipeline.without_benchmark(spark, df, str(tmp_path))
+    assert sorted(r.text_key for r in clean.collect()) == ["k1", "k2", "k3", "k3", "k5", "k7", "k8", "k9"]
+    for stage in (corpus_pipeline.one_of_each_group, corpus_pipeline.without_benchmark):
+        assert stage(spark, df.limit(0), str(tmp_path)).columns == df.columns and stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 def test_arrow_node_groups_cross_batches():
     t = pa.table({"node": [1, 1, 2, 3, 3, 3], "id": [1, 2, 3, 4, 5, 6], "own": [b"a", b"b", b"c", b"d", b"e", b"f"]})
     groups = [g[0].tolist() for g in neardup._nodes(iter(t.to_batches(max_chunksize=2)), ["id"], "own")]
