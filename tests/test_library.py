@@ -272,3 +272,20 @@ def test_findings_by_schema_version(spark):
     rows = spark.createDataFrame([(1, "a", "finding", 1, None), (1, "b", "finding", 1, "full"), (1, "c", "finding", 2, None), (1, "d", "finding", 2, "full"), (1, "e", "finding", 2, "odd"), (1, "f", "nonissue", 3, None)], base)
     found = {(r.subject, r.rule) for r in ledger.shape_violations(rows).collect() if "verdict" in r.rule or r.rule == "schema_version"}
     assert found == {("b", "unknown:verdict"), ("c", "missing:verdict"), ("e", "enum:finding.verdict"), ("f", "schema_version")}
+
+
+def test_approvals_that_are_no_authority(spark):
+    good, now = "a" * 64, "b" * 64
+    registries = spark.createDataFrame([(1, "t", "2024-01-01"), (2, None, "May"), (3, "t", "2024-01-01"), (4, "t", "2024-01-01")], "registry_id int, target string, updated_at string")
+    base = "registry_id int, id string, docmodel_path string, docmodel_sha256 string, status string, approved_by string, approved_at string, evidence string, template string"
+    entry = lambda k, i, path, sha=good, status="approved", template=None: (k, i, path, sha, status, "p", "2024-01-01", "e", template)
+    approvals = spark.createDataFrame([
+        entry(1, "a", "m.yaml"), entry(1, "b", "x/M.DRAFT.yaml"), entry(1, "c", "m.draft.d/n.yaml", status="revoked"), entry(3, "a", "../m.yaml"), entry(3, "a", "old.yaml"), entry(3, None, "gone.yaml", template=" "), entry(3, "d", None, "x", "odd"),
+    ], base)
+    files = spark.createDataFrame([("m.yaml", good), ("x/M.DRAFT.yaml", good), ("m.draft.d/n.yaml", good), ("old.yaml", now)], "path string, sha256 string")
+    found = ledger.approval_violations(registries, approvals, files)
+    assert {(r.registry_id, r.subject, r.rule) for r in found.collect()} == {
+        (2, None, "blank:target"), (2, None, "format:updated_at"), (2, None, "no_approval"), (4, "t", "no_approval"), (3, "a", "unsafe_path"), (3, "a", "stale_model"), (3, None, "missing_model"), (3, None, "blank:id"),
+        (3, None, "blank:template"), (3, "d", "blank:docmodel_path"), (3, "d", "format:docmodel_sha256"), (3, "d", "enum:status"), (3, "a", "repeated_id"),
+    }
+    assert got(ledger.current_approvals(approvals, found), "id", "state") == [("a", "approved"), ("b", "draft"), ("c", "revoked")]
