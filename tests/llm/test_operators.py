@@ -616,6 +616,66 @@ def test_classifier_held_out(spark):
     assert quality.score(docs(spark, ["a"]), quality.learn(docs(spark, texts), labels.limit(0))).first().score == 0.5
 
 
+# --- all of them
+
+
+#: Names that operators use inside, or give to their results.
+CLASHING = ["id", "row", "base", "own", "live", "n", "label", "sig", "marks", "t", "i", "b", "h", "w", "s", "x", "text_key", "doc", "owner", "repo", "words", "score", "held_out", "kept", "rule", "n_words", "start", "length", "spans", "row_key", "item", "node", "part", "before", "ids", "digest", "payload", "uri", "best", "rep", "component_id", "n_tokens", "lang_pred", "predicted", "_gone_id", "two words", "a.b"]
+
+
+def every_operator(spark):
+    """Name -> what it makes of documents, with models learned beforehand, and whether each row gives one."""
+    rng = random.Random(22)
+    langs = [rng.choice(["en", "de", "fr"]) for _ in range(40)]
+    plain = docs(spark, [f"{prose(rng, x, 20)} mail a.{i}@b.de" for i, x in enumerate(langs)], langs)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(0, "one two three four five six seven")], "item_id long, text string")
+    models, listed, field, weights = langid.learn(plain), rules.learn(plain, labels), pii.learn(plain), quality.learn(plain, labels)
+    return {
+        "warc": (lambda df: warc.pages_through_archives(df.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u"))), True),
+        "decontamination": (lambda df: decontam.contained(df, bench), False),
+        "secrets": (secrets.scan, True),
+        "language": (lambda df: langid.predict(df, models), True),
+        "tokens": (tokens.count_tokens, True),
+        "duplicates": (neardup.near_duplicates, True),
+        "rules": (lambda df: rules.apply(df, listed), True),
+        "personal": (lambda df: pii.scan(df, field), True),
+        "quality": (lambda df: quality.score(df, weights), True),
+        "packing": (lambda df: packing.pack(df, length=16).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct(), False),
+    }
+
+
+def test_clashing_columns_repeated_rows_and_empty_tables_change_nothing(spark):
+    texts = ["one two three four five six seven", "one two three four five six seven", "password: hunter2", None, "", "\n", "12 34", "x" * 3000, "mail a.b@c.de or 1.2.3.4"]
+    rows = [(i if i != 6 else None, t, "en", "s") for i, t in enumerate(texts)]
+    rows += [rows[2], rows[3], (8, "another text of the same id", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clashing = df.select("*", *(F.lit(k).alias(name) for k, name in enumerate(CLASHING)))
+    for name, (operator, row_for_row) in every_operator(spark).items():
+        plain, extra = operator(df), operator(clashing)
+        found = sorted(map(str, plain.collect()))
+        assert found == sorted(map(str, extra.select(plain.columns).collect())), name
+        assert not row_for_row or len(found) == len(rows), name
+        empty = operator(clashing.limit(0))
+        assert empty.columns == plain.columns and empty.count() == 0, name
+
+
+def test_one_very_long_text(spark):
+    """Four million characters of words, most lines alike: every operator ends, and counts come out exactly."""
+    line = "the quick brown fox jumps over the lazy dog near the river bank today\n"
+    long = line * 30_000 + " ".join(f"w{i}" for i in range(300_000))
+    began, found = time.time(), {}
+    df = docs(spark, [long, "short"])
+    for name, (operator, _) in every_operator(spark).items():
+        found[name] = {r[0]: r for r in operator(df).collect()}
+    n = len(WORD.findall(long))
+    assert found["rules"][0].n_words == n and found["rules"][0].n_dup_lines == 29_999
+    assert found["tokens"][0].n_bytes == len(long) and found["tokens"][0].n_tokens == found["packing"][0].doc_tokens - 1
+    assert found["duplicates"][0].n_shingles == len({tuple(w) for w in zip(*(low(long)[k:] for k in range(5)), strict=False)})
+    assert found["warc"][0].payload_bytes == len(long) and found["warc"][0].payload_digest == hashlib.sha1(long.encode()).hexdigest()
+    assert time.time() - began < 300
+
+
 # --- pipeline
 
 
