@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, packing, pii, quality, rules, secrets, tokens, warc
+from . import bpe, decontam, divergence, langid, merkle, neardup, packing, pii, quality, rules, secrets, tokens, warc
 from .common import table
 
 
@@ -54,9 +54,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_language_id, op5_token_counts, op6_near_duplicates, op7_quality_rules, op8_personal_data, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_language_id, op5_token_counts, op6_near_duplicates, op7_quality_rules, op8_personal_data, op9_quality_classifier, op10_packing, op11_byte_level_bpe, op12_source_divergence, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE_SQL}
+    return {"op2_decontamination": decontam.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
