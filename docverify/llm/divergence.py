@@ -119,7 +119,11 @@ def _pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
     ``rows``: lang, source, term, p of the terms that a source has; ``groups``: lang, source, p0 (of a term that it hasn't), v and sources (of the language)."""
     tiles = F.ceil(F.col("sources") / TILE)
     sized = groups.select("lang", "source", "p0", tiles.alias("tiles"), F.pmod(F.xxhash64("source"), tiles).alias("tile"), F.ceil(F.col("v") / SHARD).alias("shards"), "terms")
-    own = joined(rows, sized, ["lang", "source"], "terms", "term", "inner").withColumn("shard", F.pmod(F.xxhash64("term"), "shards"))
+    columns = ["lang", "source", "term", "p", "p0", "tile", "tiles", "shard"]
+    own = joined(rows, sized, ["lang", "source"], "terms", "term", "inner").withColumn("shard", F.pmod(F.xxhash64("term"), "shards")).select(columns)
+    # every source is in every shard, with none of its terms too
+    named = sized.where("shards > 0").withColumns({"term": F.lit(None).cast("string"), "p": F.lit(None).cast("long"), "shard": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))})
+    own = own.unionByName(named.select(columns))
     # a source's rows go to a task for each tile, of two tiles to the one named by the smaller number first
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("first", F.least("tile", "other")).withColumn("second", F.greatest("tile", "other"))
 
@@ -129,7 +133,8 @@ def _pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
         zero, tile = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         zero[at], tile[at] = rows["p0"], rows["tile"]
         p = np.repeat(zero[:, None], len(terms), axis=1)
-        p[at, term_at] = rows["p"]
+        has = term_at >= 0
+        p[at[has], term_at[has]] = rows["p"][has].astype(np.int64)
         out = []
         for a in range(len(names)):
             others = np.flatnonzero(tile != tile[a]) if key[2] != key[3] else np.flatnonzero(np.arange(len(names)) != a)
