@@ -55,9 +55,10 @@ def _excess(p, q):
 def collapsed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Each different text of a language once: lang, text, by (source and how many of its rows have the text, for each).  Nulls are empty strings."""
     own = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    # copies meet within each task before anything is shuffled, so a text of very many copies costs a row a task and source
-    counted = own.groupBy("lang", F.sha2("text", 256).alias("key"), "source").agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    return counted.groupBy("lang", "key").agg(F.first("text").alias("text"), F.collect_list(F.struct("source", "n")).alias("by")).drop("key")
+    own = own.withColumn("key", F.sha2("text", 256))
+    # copies meet within each task before anything is shuffled, so a text of very many copies costs a row a task; texts move once, multiplicities by their digest
+    by = own.groupBy("lang", "key", "source").agg(F.count("*").alias("n")).groupBy("lang", "key").agg(F.collect_list(F.struct("source", "n")).alias("by"))
+    return own.groupBy("lang", "key").agg(F.first("text").alias("text")).join(by, ["lang", "key"]).drop("key")
 
 
 def _terms(text: str) -> Counter:
@@ -152,9 +153,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
     Null texts, languages and sources are empty strings.  Repeated rows are documents each; ids and other columns are not read.  A language without a
     kept term has pairs of value 0 and no terms; one with a single source has no pairs; an empty table gives no rows."""
-    texts = settled(collapsed(docs, text_col, lang_col, source_col), "divergence-texts")
-    kept = settled(_kept(counts(texts), documents), "divergence-counts")
-    occurring = texts.select("lang", F.explode("by.source").alias("source")).distinct()
+    kept = settled(_kept(counts(collapsed(docs, text_col, lang_col, source_col)), documents), "divergence-counts")
+    occurring = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source")))).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     language = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     own = occurring.join(totals, ["lang", "source"], "left").join(language, "lang", "left").fillna(0, ["total", "terms", "v", "lang_total"])

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
+    return {"op2_decontamination": decontam.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}

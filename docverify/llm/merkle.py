@@ -207,3 +207,25 @@ def folded(digest: Column, proof: Column) -> Column:
     """The root that a hex leaf and a proof (as ``manifest`` gives it) lead to, for anyone who holds just these."""
     step = lambda d, s: F.sha2(F.concat(F.when(s["side"] == "L", s["digest"]).otherwise(""), d, F.when(s["side"] == "R", s["digest"]).otherwise("")), 256)
     return F.aggregate(proof, digest, step)
+
+
+#: Levels are recursive steps; the crc32 is worked out bit by bit.
+ORACLE_SQL = r"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, crc, leaf, CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN other ELSE leaf END AS changed FROM (SELECT doc_id, lang, n_chars,
+  list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS back, xor(back, 4294967295) AS crc,
+  concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-')) AS head, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+  sha256(concat(head, coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), tail)) AS leaf, sha256(concat(head, length(CAST(n_chars + 1 AS VARCHAR)), ':', n_chars + 1, tail)) AS other FROM documents)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree AS (SELECT lang, 0 AS level, pos, n, leaf AS h FROM numbered UNION ALL SELECT lang, any_value(level) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, pos // 2),
+subroots AS (SELECT lang, level, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, pos, n, subroot AS h FROM subroots UNION ALL SELECT any_value(level) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY pos // 2),
+steps AS (SELECT s.lang, t.level, t.pos, o.h AS sibling FROM subroots s JOIN tree t ON t.lang IS NOT DISTINCT FROM s.lang AND t.n > 1 LEFT JOIN tree o ON o.lang IS NOT DISTINCT FROM t.lang AND o.level = t.level AND o.pos = xor(t.pos, 1)),
+upper AS (SELECT t.level, t.pos, o.h AS sibling FROM top t LEFT JOIN top o ON o.level = t.level AND o.pos = xor(t.pos, 1) WHERE t.n > 1),
+way AS (SELECT m.doc_id, m.leaf, m.pos AS place, m.lang, s.level, s.pos % 2 AS side, s.sibling FROM numbered m JOIN steps s ON s.lang IS NOT DISTINCT FROM m.lang AND s.pos = m.pos >> s.level
+  UNION ALL SELECT m.doc_id, m.leaf, m.pos, m.lang, r.level + u.level, u.pos % 2, u.sibling FROM numbered m JOIN subroots r ON r.lang IS NOT DISTINCT FROM m.lang JOIN upper u ON u.pos = r.pos >> u.level),
+fold AS (SELECT lang, pos, 0 AS level, changed AS h FROM numbered UNION ALL SELECT f.lang, f.pos, f.level + 1, CASE WHEN w.sibling IS NULL THEN sha256(f.h) WHEN w.side = 1 THEN sha256(w.sibling || f.h) ELSE sha256(f.h || w.sibling) END FROM fold f JOIN way w ON w.lang IS NOT DISTINCT FROM f.lang AND w.place = f.pos AND w.level = f.level),
+proofs AS (SELECT lang, place AS pos, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM way GROUP BY lang, place),
+ends AS (SELECT lang, pos, arg_max(h, level) AS folded_root FROM fold GROUP BY lang, pos)
+SELECT m.doc_id, m.leaf, s.subroot, r.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.h AS verified
+FROM numbered m JOIN subroots s ON s.lang IS NOT DISTINCT FROM m.lang JOIN (SELECT h FROM top WHERE n = 1) r ON true JOIN ends e ON e.lang IS NOT DISTINCT FROM m.lang AND e.pos = m.pos LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM m.lang AND p.pos = m.pos
+"""

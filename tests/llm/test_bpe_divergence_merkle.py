@@ -230,6 +230,11 @@ def test_manifest_equals_brute_force(spark, n, bits):
     found = merkle.manifest(df.withColumns({c: F.lit("x") for c in ("id", "tree", "pos", "digest", "way", "n")}), bits=bits)
     assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, brute_manifest(rows)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    if rows:
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    assert sorted(map(str, con.execute(merkle.ORACLE_SQL).fetchall())) == sorted(map(str, brute_manifest(rows)))
 
 
 def test_proofs_lead_to_the_root_and_show_changes(spark):

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, round trips and held-out accuracy, on small rows."""
+"""The operators against brute force, round trips and held-out accuracy, on small rows."""
 
 import gzip
 import hashlib
@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docverify.llm import components, decontam, langid, neardup, packing, pii, quality, rules, secrets, shingles, tokens, warc
+from docverify.llm import bpe, components, decontam, divergence, langid, merkle, neardup, packing, pii, quality, rules, secrets, shingles, tokens, warc
 from docverify.llm.common import scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, t string, own int"
@@ -642,6 +642,9 @@ def every_operator(spark):
         "personal": (lambda df: pii.scan(df, field), True),
         "quality": (lambda df: quality.score(df, weights), True),
         "packing": (lambda df: packing.pack(df, length=16).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct(), False),
+        "bpe": (bpe.round_trip, True),
+        "divergence": (divergence.audit, False),
+        "merkle": (lambda df: merkle.manifest(df if "n_chars" in df.columns else df.withColumn("n_chars", F.lit(1))), True),
     }
 
 
@@ -672,6 +675,7 @@ def test_one_very_long_text(spark):
     assert found["rules"][0].n_words == n and found["rules"][0].n_dup_lines == 29_999
     assert found["tokens"][0].n_bytes == len(long) and found["tokens"][0].n_tokens == found["packing"][0].doc_tokens - 1
     assert found["duplicates"][0].n_shingles == len({tuple(w) for w in zip(*(low(long)[k:] for k in range(5)), strict=False)})
+    assert found["bpe"][0].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and found["merkle"][0].leaf == hashlib.sha256(f"1:02:s02:en1:0{len(long)}:{long}".encode()).hexdigest()
     assert found["warc"][0].payload_bytes == len(long) and found["warc"][0].payload_digest == hashlib.sha1(long.encode()).hexdigest()
     assert time.time() - began < 300
 
