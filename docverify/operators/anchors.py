@@ -29,7 +29,7 @@ def anchors(texts: DataFrame, keys: list[str], text_col: str = "text", extra: tu
 
 def scan_anchors(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Anchors that a term scan's hits ask for; line numbers of one digit are none."""
-    return texts.select(*keys, F.concat(F.lit("L"), F.explode(F.regexp_extract_all(text_col, F.lit(SCAN_HIT), F.lit(1)))).alias("anchor")).distinct()
+    return texts.select(*keys, F.explode(F.regexp_extract_all(text_col, F.lit(SCAN_HIT), F.lit(1))).alias("_n")).select(*keys, F.concat(F.lit("L"), "_n").alias("anchor")).distinct()
 
 
 def anchors_after(rows: DataFrame, heading: str = NEW_ISSUES, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -20,12 +20,12 @@ NEEDS = ("decision", "material", "both", "none")
 
 
 def envelope_violations(items: DataFrame, section_defs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """cu1: item ids in sequence within run and perspective, known sections, needs, evidence captured and named once, ids unique over all perspectives."""
+    """cu1: item ids in sequence within run and perspective, known sections, needs, no blank consideration or question, evidence captured and named once, ids unique over all perspectives."""
     n = F.row_number().over(Window.partitionBy(*KEY, "perspective").orderBy("item_no"))
-    due = F.concat_ws("/", F.col("run_id").cast("string"), "perspective", F.lpad(n.cast("string"), 2, "0"))
+    due = F.concat_ws("/", F.col("run_id").cast("string"), "perspective", F.format_string("%02d", n))
     own = violations(items.withColumn("_due", due), KEY, [
         ("id_out_of_sequence", ~F.col("item_id").eqNullSafe(F.col("_due")), F.col("_due")), ("need_unknown", ~or_false(F.col("human_need").isin(*NEEDS)), F.col("human_need")), ("evidence_repeated", or_false(F.size("evidence_refs") != F.size(F.array_distinct("evidence_refs"))), None),
-        ("consideration_blank", blank(F.col("consideration")), None),
+        ("consideration_blank", blank(F.col("consideration")), None), ("human_question_blank", blank(F.col("human_question")), None),
     ], "item_id")
     strange = items.join(section_defs.select(*KEY, F.col("section").alias("target_section")).distinct(), [*KEY, "target_section"], "left_anti")
     refs = items.select(*KEY, "item_id", F.explode("evidence_refs").alias("path")).join(inventory.select(*KEY, "path").distinct(), [*KEY, "path"], "left_anti")

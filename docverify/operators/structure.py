@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.rules import as_violation, repeated, union, violations
 from ..functions.text import SPACE, let, nfc, places, running_count, strip
 
-#: Where a line ends, and code points that no identifier may hold.
+#: Where a line ends, and the code points that draw nothing (default ignorable ones), which no identifier may hold.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-INVISIBLE = r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}\p{Cs}\p{Co}͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ]"
+IGNORABLE = (
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
+    (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+INVISIBLE = r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in IGNORABLE) + "]"
+#: A character that stands on its own: no control, format, surrogate, private or unassigned code point, separator or mark.
+BASE = r"[^\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Z}\p{M}]"
 
 
 def _lines() -> Column:
@@ -85,14 +91,14 @@ def blockquotes(docs: DataFrame) -> DataFrame:
 
 
 def unstable_ids(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """tx7: identifiers that are blank, hold white space, a slash or an invisible code point, or begin with a combining mark."""
+    """tx7: identifiers that are blank, hold white space, a slash or an invisible code point (detail: the first one), or no base character."""
     found = []
     for c in cols:
         bad = F.regexp_extract(c, INVISIBLE, 0)
-        code = F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(bad)), 4, "0"))
+        code = F.format_string("U+%04X", F.ascii(bad))
         found.append(violations(rows, keys, [
             ("blank_id", F.col(c).isNull() | (strip(F.col(c)) == ""), c), ("space_in_id", F.col(c).rlike(rf"\S{SPACE}|{SPACE}\S"), c), ("slash_in_id", F.col(c).contains("/"), c),
-            ("invisible_in_id", F.col(c).rlike(INVISIBLE), code), ("no_base_character", F.col(c).rlike(r"^\p{M}"), c),
+            ("invisible_in_id", F.col(c).rlike(INVISIBLE), code), ("no_base_character", (strip(F.col(c)) != "") & ~F.col(c).rlike(BASE), c),
         ], c))
     return union(*found)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matching import GRAM, grams, linear, matched
 from ..functions.rules import as_violation, repeated, union, violations
-from ..functions.text import blank, normalize_ws, occurrences, strip
+from ..functions.text import blank, normalize_ws, strip
 
-#: Rows up to which a dictionary or a word list is broadcast, and words up to which lines are sought for any of them by one expression.
-FEW, WORDS = 100_000, 2000
-GRAM = 4
+#: Rows up to which a dictionary or a word list is broadcast.
+FEW = 100_000
+#: Fixed value: the form of a dictionary's date.
+DATE = r"^\d{4}-\d{2}-\d{2}\z"
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -18,13 +20,6 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct runs of n characters."""
-    chars = F.split(text, "")
-    runs = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + j) for j in range(n)))))
-    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.get(runs, F.lit(0))))
-
-
 def verbatim_match(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """vf2: doc_id, quote_idx, quote, verdict, label of quotes (doc_id, quote_idx, quote) against the sources (doc_id, source_ord, label, text) of the same doc_id.
 
@@ -48,7 +43,7 @@ def verbatim_match(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     short = q.where((F.size("inner") == 0) & (F.col("nq") != "")).select("doc_id", "quote_idx", "cut", F.least(F.length("cut"), F.lit(GRAM)).alias("n"))
     for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # 1 to GRAM
         own = short.where(F.col("n") == n).select("doc_id", "quote_idx", F.substring("cut", 1, n).alias("gram"))
-        runs = s.select("doc_id", "source_ord", F.explode(_grams(F.col("ns"), n)).alias("gram")).join(_small(own.select("doc_id", "gram").distinct()), ["doc_id", "gram"], "left_semi")
+        runs = s.select("doc_id", "source_ord", F.explode(grams(F.col("ns"), n)).alias("gram")).join(_small(own.select("doc_id", "gram").distinct()), ["doc_id", "gram"], "left_semi")
         pairs = pairs.unionByName(own.join(runs, ["doc_id", "gram"]).select("doc_id", "quote_idx", "source_ord"))
 
     held_by = pairs.join(q.select("doc_id", "quote_idx", "nq", "cut"), ["doc_id", "quote_idx"]).join(s, ["doc_id", "source_ord"]).where(F.contains("ns", "cut"))
@@ -72,54 +67,59 @@ def verbatim_summary(matches: DataFrame, sources: DataFrame) -> DataFrame:
     return every.withColumns({"n_missing": F.col("n_declared") - F.col("n_readable"), "blind": blind, "fails": F.col("n_miss") > 0, "fails_under_coverage": (F.col("n_miss") > 0) | blind})
 
 
+def _roles(terms: DataFrame) -> DataFrame:
+    """word, canonical, avoided and excepted: what a word is to a term, an avoided variant or its preferred wording."""
+    none = F.array().cast("array<string>")
+    avoided = terms.select(F.explode("forbidden").alias("word"), "canonical", F.lit(True).alias("avoided"), F.coalesce("excepted", none).alias("excepted"))
+    preferred = terms.select(F.col("canonical").alias("word"), "canonical", F.lit(False).alias("avoided"), none.alias("excepted")).distinct()
+    return avoided.unionByName(preferred).where("word <> ''")
+
+
+def _uses(rows: DataFrame, terms: DataFrame, preferred: bool) -> DataFrame:
+    """doc_id, line_no, line, word, offset, canonical and avoided of every use of a term, in one pass over the lines for variants, exceptions and preferred wordings.  A variant inside an exception's span is none."""
+    roles = _roles(terms)
+    roles = roles if preferred else roles.where("avoided")
+    words = roles.select("word").unionByName(terms.select(F.explode("excepted").alias("word")))
+    found = matched(rows.select("doc_id", "line_no", "line"), words, "line").select("*", F.explode("hits").alias("h")).select("*", "h.word", "h.offset")
+    covers = lambda h: F.array_contains("excepted", h["word"]) & (h["offset"] <= F.col("offset")) & (F.col("offset") + F.length("word") <= h["offset"] + F.length(h["word"]))
+    return found.join(_small(roles), "word").where(~F.exists("hits", covers))
+
+
 def term_scan(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """vf4: doc_id, line_no, variant, canonical, offset, line of every occurrence of a forbidden variant that lies in no exception's span.
 
-    rows: doc_id, line_no, line; terms: canonical, forbidden, excepted (arrays).  Lines without any variant are passed over first, and a line
-    meets only variants that it contains: of a large dictionary those whose first characters it holds."""
-    variants = terms.select("canonical", F.coalesce("excepted", F.array().cast("array<string>")).alias("excepted"), F.explode("forbidden").alias("variant"))
-    variants = variants.where("variant <> ''")
-    own = rows.select("doc_id", "line_no", "line")
-    words = [r["variant"] for r in variants.select("variant").distinct().limit(WORDS + 1).collect()]
-    if len(words) <= WORDS:
-        any_of = "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in sorted(words))
-        met = own.where(F.col("line").rlike(any_of)).join(F.broadcast(variants), F.contains("line", "variant")) if words else own.join(F.broadcast(variants), F.lit(False))
-    else:
-        met = _by_gram(own, variants)
-    spans = F.flatten(F.transform("excepted", lambda e: F.transform(occurrences(F.col("line"), e), lambda a: F.struct(a.alias("a"), (a + F.length(e)).alias("b")))))
-    found = met.withColumn("_x", spans).select("*", F.explode(occurrences(F.col("line"), F.col("variant"))).alias("offset"))
-    free = found.where(~F.exists("_x", lambda x: (x["a"] <= F.col("offset")) & (F.col("offset") + F.length("variant") <= x["b"])))
-    return free.select("doc_id", "line_no", "variant", "canonical", "offset", strip(F.col("line")).alias("line"))
-
-
-def _by_gram(rows: DataFrame, variants: DataFrame) -> DataFrame:
-    """Lines with the variants that they contain, by an equal join on the first characters of a variant."""
-    grams = variants.withColumn("gram", F.substring("variant", 1, GRAM))
-    found = None
-    for n in range(1, GRAM + 1):  # variants of fewer characters are their own gram
-        own = grams.where(F.length("gram") == n)
-        runs = rows.select("doc_id", "line_no", F.explode(_grams(F.col("line"), n)).alias("gram")).join(own, "gram").drop("gram")
-        found = runs if found is None else found.unionByName(runs)
-    return rows.join(found, ["doc_id", "line_no"]).where(F.contains("line", "variant"))
-
-
-def term_usage(hits: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """vf5: per document and term how often the preferred wording and the avoided ones are used; terms without either use are left out."""
-    avoided = hits.groupBy("doc_id", "canonical").agg(F.count("*").alias("n_avoided"))
-    names = terms.select("canonical").distinct()
-    preferred = rows.join(_small(names), F.contains("line", "canonical")).groupBy("doc_id", "canonical").agg(F.sum(F.size(occurrences(F.col("line"), F.col("canonical")))).alias("n_preferred"))
-    return avoided.join(preferred, ["doc_id", "canonical"], "full").na.fill(0, ["n_avoided", "n_preferred"])
+    rows: doc_id, line_no, line; terms: canonical, forbidden, excepted (arrays)."""
+    return _uses(rows, terms, False).select("doc_id", "line_no", F.col("word").alias("variant"), "canonical", "offset", strip(F.col("line")).alias("line"))
+
+
+def term_usage(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """vf5: per document and term how often the preferred wording and the avoided ones are used; terms without either use are left out.  Lines are read once for both."""
+    return _uses(rows, terms, True).groupBy("doc_id", "canonical").agg(F.count_if("avoided").alias("n_avoided"), F.count_if(~F.col("avoided")).alias("n_preferred"))
+
+
+def dictionary_meta_violations(meta: DataFrame, keys: list[str]) -> DataFrame:
+    """vf6: dictionaries (keys, target, updated_at, n_terms) without a target, a date of the form YYYY-MM-DD or a term."""
+    return violations(meta, keys, [("target_missing", blank(F.col("target")), None), ("date_malformed", ~F.coalesce(F.col("updated_at").rlike(DATE), F.lit(False)), F.col("updated_at")), ("terms_empty", F.coalesce(F.col("n_terms"), F.lit(0)) <= 0, None)], "target")
 
 
 def term_dictionary_violations(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """vf6: faults of dictionaries (keys, canonical, forbidden, excepted)."""
-    t = terms.withColumns({"forbidden": F.coalesce("forbidden", F.array().cast("array<string>")), "excepted": F.coalesce("excepted", F.array().cast("array<string>"))})
-    newline = lambda a: F.exists(a, lambda v: v.rlike(r"[\r\n]"))
-    own = violations(t, keys, [("canonical_missing", blank(F.col("canonical")), None), ("forbidden_empty", F.size("forbidden") == 0, None), ("newline_in_value", F.col("canonical").rlike(r"[\r\n]") | newline("forbidden") | newline("excepted"), None)], "canonical")
-    each = t.select(*keys, "canonical", "excepted", F.explode("forbidden").alias("v"))
+    """vf6: faults of dictionaries (keys, canonical, forbidden, excepted; note if there is one).
+
+    A list with a blank entry is reported and judged no further, and exceptions are judged against a sound list alone."""
+    none = F.array().cast("array<string>")
+    t = terms.withColumns({"forbidden": F.coalesce("forbidden", none), "excepted": F.coalesce("excepted", none)})
+    newline = lambda a: F.exists(a, lambda v: F.coalesce(v.rlike(r"[\r\n]"), F.lit(False)))
+    blanks = lambda a: F.exists(a, blank)
+    rules = [("canonical_missing", blank(F.col("canonical")), None), ("forbidden_empty", F.size("forbidden") == 0, None), ("newline_in_value", F.coalesce(F.col("canonical").rlike(r"[\r\n]"), F.lit(False)) | newline("forbidden") | newline("excepted"), None), ("forbidden_blank", blanks("forbidden"), None), ("exception_blank", blanks("excepted"), None)]
+    if "note" in terms.columns:
+        rules.append(("note_blank", F.col("note").isNotNull() & blank(F.col("note")), None))
+    own = violations(t, keys, rules, "canonical")
+    sound = t.where(~blanks("forbidden"))
+    allowed = F.when(blanks("excepted"), none).otherwise(F.col("excepted"))
+    each = sound.select(*keys, "canonical", allowed.alias("excepted"), F.explode("forbidden").alias("v"))
     same = as_violation(each.where("v = canonical"), keys, "forbidden_is_canonical", "canonical", F.col("v"))
     twice = repeated(each, keys, "v", "forbidden_repeated")
-    exc = t.select(*keys, "canonical", "forbidden", F.explode("excepted").alias("e"))
+    exc = sound.select(*keys, "canonical", "forbidden", F.explode(allowed).alias("e"))
     useless = ~F.exists("forbidden", lambda v: F.contains(F.col("e"), v) & (v != F.col("e")))
     silenced = F.array_contains("forbidden", F.col("e"))
     x = violations(exc, keys, [("exception_is_forbidden", silenced, F.col("e")), ("exception_useless", ~silenced & useless, F.col("e"))], "canonical")
@@ -139,15 +139,12 @@ def stale_refs(refs: DataFrame, fingerprints: DataFrame, keys: list[str]) -> Dat
 def pattern_scan(rows: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """vf8: doc_id, line_no, pattern, hit, severity for each match of each pattern (name, expression), whatever its case; any hit blocks.
 
-    Lines without a match of any are passed over first."""
-    any_of = F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for _, p in patterns))
+    A pattern that begins with a repeated class is tried where a run of it begins, and only in lines that hold the character which must follow."""
 
     def found(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("line", F.lit(f"(?i){pattern}"), F.lit(0)), lambda h: F.struct(F.lit(name).alias("pattern"), h.alias("hit")))
-
-    hits = F.flatten(F.array(*(found(n, p) for n, p in patterns)))
-    return rows.where(any_of).select("doc_id", "line_no", F.explode(hits).alias("h")).select("doc_id", "line_no", "h.*", F.lit("blocker").alias("severity"))
-
+        rewritten, needs = linear(pattern)
+        hits = F.transform(F.regexp_extract_all("line", F.lit(f"(?i){rewritten}"), F.lit(0)), lambda h: F.struct(F.lit(name).alias("pattern"), h.alias("hit")))
+        return F.when(F.contains(F.lower("line"), F.lit(needs.lower())), hits) if needs else hits
 
-def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    hits = F.flatten(F.array_compact(F.array(*(found(n, p) for n, p in patterns))))
+    return rows.select("doc_id", "line_no", F.explode(hits).alias("h")).select("doc_id", "line_no", "h.*", F.lit("blocker").alias("severity"))

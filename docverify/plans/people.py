@@ -18,10 +18,16 @@ from .texts import HITS, LINES, VERBATIM, docs, sources
 C = "{contrib}"
 
 
+#: One perspective more: an item for each event, over a hundred a run.
+MANY = """SELECT run_id, perspective, item_no, item_id, section, consideration FROM {contrib} c
+    UNION ALL SELECT run_id, 'ops' AS perspective, item_no, concat(CAST(run_id AS STRING), '/ops/', CASE WHEN item_no < 10 THEN '0' ELSE '' END, CAST(item_no AS STRING)) AS item_id, 's1' AS section, 'event' AS consideration
+    FROM (SELECT CAST(floor(event_id / 250) AS BIGINT) AS run_id, 1 + event_id % 250 AS item_no FROM {events}) e"""
+
+
 def items(s: SparkSession, d: str) -> DataFrame:
     n, k = F.col("item_no"), F.col("run_id")
-    own = rows(s, d, "contrib").withColumn("item_no", n)
-    return own.select("run_id", "perspective", "item_no", F.when((n + k) % 17 == 0, F.concat("item_id", F.lit("x"))).otherwise(F.col("item_id")).alias("item_id"), F.when(k % 9 == 0, "s9").otherwise(F.col("section")).alias("target_section"), "consideration", F.lit("?").alias("human_question"), F.when(k % 7 == 0, "odd").otherwise("both").alias("human_need"), F.when(n % 4 == 3, F.array(F.lit("a"), F.lit("zz"))).otherwise(F.array(F.lit("a"))).alias("evidence_refs"))
+    own = rows(s, d, MANY).withColumn("item_no", n)
+    return own.select("run_id", "perspective", "item_no", F.when((n + k) % 17 == 0, F.concat("item_id", F.lit("x"))).otherwise(F.col("item_id")).alias("item_id"), F.when(k % 9 == 0, "s9").otherwise(F.col("section")).alias("target_section"), "consideration", F.when(n % 13 == 6, " ").otherwise("?").alias("human_question"), F.when(k % 7 == 0, "odd").otherwise("both").alias("human_need"), F.when(n % 4 == 3, F.array(F.lit("a"), F.lit("zz"))).otherwise(F.array(F.lit("a"))).alias("evidence_refs"))
 
 
 def section_defs(s, d):
@@ -32,10 +38,10 @@ def files(s, d):
     return rows(s, d, "SELECT DISTINCT conv_id AS run_id, 'a' AS path FROM {conversations}")
 
 
-IT = "(SELECT *, CAST(row_number() OVER (PARTITION BY run_id, perspective ORDER BY item_no) AS BIGINT) AS rn, CASE WHEN (item_no + run_id) % 17 = 0 THEN concat(item_id, 'x') ELSE item_id END AS iid FROM {contrib} c)"
+IT = f"(SELECT *, CAST(row_number() OVER (PARTITION BY run_id, perspective ORDER BY item_no) AS BIGINT) AS rn, CASE WHEN (item_no + run_id) % 17 = 0 THEN concat(item_id, 'x') ELSE item_id END AS iid FROM ({MANY}) c)"
 
 
-@query("cu1_envelope_violations", found_sql("run_id", ("id_out_of_sequence", "iid", "concat(CAST(run_id AS STRING), '/', perspective, '/', lpad(CAST(rn AS STRING), 2, '0'))", f"{IT} i WHERE iid <> concat(CAST(run_id AS STRING), '/', perspective, '/', lpad(CAST(rn AS STRING), 2, '0'))"), ("need_unknown", "iid", "'odd'", f"{IT} i WHERE run_id % 7 = 0"), ("section_unknown", "iid", "'s9'", f"{IT} i WHERE run_id % 9 = 0"), ("evidence_not_captured", "iid", "'zz'", f"{IT} i WHERE item_no % 4 = 3")))
+@query("cu1_envelope_violations", found_sql("run_id", ("id_out_of_sequence", "iid", "concat(CAST(run_id AS STRING), '/', perspective, '/', CASE WHEN rn < 10 THEN '0' ELSE '' END, CAST(rn AS STRING))", f"{IT} i WHERE iid <> concat(CAST(run_id AS STRING), '/', perspective, '/', CASE WHEN rn < 10 THEN '0' ELSE '' END, CAST(rn AS STRING))"), ("human_question_blank", "iid", "NULL", f"{IT} i WHERE item_no % 13 = 6"), ("need_unknown", "iid", "'odd'", f"{IT} i WHERE run_id % 7 = 0"), ("section_unknown", "iid", "'s9'", f"{IT} i WHERE run_id % 9 = 0"), ("evidence_not_captured", "iid", "'zz'", f"{IT} i WHERE item_no % 4 = 3")))
 def _(s, d):
     return cu.envelope_violations(items(s, d), section_defs(s, d), files(s, d))
 

@@ -101,11 +101,22 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", slot_key(F.col("text")).alias("slot"))
 
 
-@query("tx7_unstable_ids", """SELECT k, rule, subject, detail, 'error' AS severity FROM (
-  SELECT p_partkey AS k, 'space_in_id' AS rule, p_name AS subject, 'p_name' AS detail FROM part WHERE contains(p_name, ' ')
-  UNION ALL SELECT p_partkey, 'slash_in_id', p_name, 'p_name' FROM part WHERE contains(p_name, '/'))""")
+#: Identifiers that reach each rule, by code points: blank and spaced ones, each range of code points that draw nothing at both its ends, marks, private and unassigned code points alone and beside a letter, and sound ones.
+PLANTED = [(), (32,), (0x3000, 9), (97, 32, 98), (32, 97), (97, 0xA0), (97, 47, 98), (97, 7), (97, 0x600, 98), (97, 0x2028), (0x301,), (0x301, 97), (97, 0x301), (0x20DD, 0x903), (0xE000,), (97, 0xE000), (0x378,), (97, 0x378), (65,), (45, 49), (0x4E2D,), (0x1F600,), (0xE9, 0x5F)]
+PLANTED += [(107, x) for a, b in tx.IGNORABLE for x in {a, b}] + [(0xFFF0,), (0x2065, 0x2065), (0xE0100, 98), (0x3164,), (0xFFEF, 98), (0xFFF9, 98), (0x1D172, 98), (0x1D17B, 98)]
+CODES = "list_transform(string_split(v, ''), lambda c: unicode(c))"
+
+
+@query("tx7_unstable_ids", f"""WITH t AS (SELECT p_partkey AS k, [{", ".join("concat(''" + "".join(f", chr({c})" for c in own) + ")" for own in PLANTED)}][1 + p_partkey % {len(PLANTED)}] AS v FROM part),
+c AS (SELECT k, v, list_filter({CODES}, lambda c: c < 32 OR c BETWEEN 127 AND 159 OR c IN (1536, 8232, 65529) OR {" OR ".join(f"c BETWEEN {a} AND {b}" for a, b in tx.IGNORABLE)}) AS bad, len(list_filter({CODES}, lambda c: c NOT IN (9, 32, 160, 12288, 8232))) = 0 OR v = '' AS empty,
+  len(list_filter({CODES}, lambda c: c IN (9, 32, 160, 12288, 8232))) > 0 AS spaced, regexp_matches(v, '[\\p{{L}}\\p{{N}}\\p{{P}}\\p{{S}}]') AS base FROM t)
+SELECT k, rule, v AS subject, detail, 'error' AS severity FROM (
+  SELECT k, v, 'blank_id' AS rule, 'v' AS detail FROM c WHERE empty UNION ALL SELECT k, v, 'space_in_id', 'v' FROM c WHERE spaced AND (NOT empty OR len(v) > 1) UNION ALL SELECT k, v, 'slash_in_id', 'v' FROM c WHERE contains(v, '/')
+  UNION ALL SELECT k, v, 'invisible_in_id', printf('U+%04X', bad[1]) FROM c WHERE v <> '' AND len(bad) > 0 UNION ALL SELECT k, v, 'no_base_character', 'v' FROM c WHERE NOT empty AND NOT base)""")
 def _(s, d):
-    return tx.unstable_ids(table(s, d, "part").select(F.col("p_partkey").alias("k"), "p_name"), ["k"], ["p_name"])
+    planted = F.array(*(F.lit("".join(map(chr, own))) for own in PLANTED))
+    own = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.get(planted, (F.col("p_partkey") % len(PLANTED)).cast("int")).alias("v"))
+    return tx.unstable_ids(own, ["k"], ["v"])
 
 
 @query("tx8_identity_collisions", """SELECT lang, 'repeated_identity' AS rule, text AS subject, CAST(count(*) AS VARCHAR) AS detail, 'error' AS severity FROM documents GROUP BY lang, text HAVING count(*) > 1""")
@@ -165,22 +176,31 @@ def vf4(s, d):
 @query("vf5_term_usage", f"""WITH a AS (SELECT doc_id, canonical, count(*) AS n FROM {HITS} x GROUP BY 1, 2), p AS (SELECT doc_id, canonical, sum((length(line) - length(replace(line, canonical, ''))) / length(canonical))::BIGINT AS n FROM {LINES} l JOIN (SELECT canonical FROM {values_sql()}) t ON contains(line, canonical) GROUP BY 1, 2)
 SELECT coalesce(a.doc_id, p.doc_id) AS doc_id, coalesce(a.canonical, p.canonical) AS canonical, coalesce(a.n, 0) AS n_avoided, coalesce(p.n, 0) AS n_preferred FROM a FULL JOIN p ON a.doc_id = p.doc_id AND a.canonical = p.canonical""")
 def _(s, d):
-    return vf.term_usage(vf4(s, d), doc_lines(s, d), terms(s))
+    return vf.term_usage(doc_lines(s, d), terms(s))
 
 
 #: A dictionary for every four parts: a part's name is preferred to its first word and its brand; every third allows its own name, every fifth the brand, every seventh what no variant is in.
 @query("vf6_term_dictionary", r"""WITH t AS (SELECT p_partkey // 4 AS k, CASE WHEN p_partkey % 11 = 0 THEN concat(p_name, chr(10)) ELSE p_name END AS canonical, [CASE WHEN p_partkey % 13 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END, p_brand] AS forbidden,
-  list_filter([CASE WHEN p_partkey % 3 = 0 THEN p_name END, CASE WHEN p_partkey % 5 = 0 THEN p_brand END, CASE WHEN p_partkey % 7 = 0 THEN 'zzz' END], lambda x: x IS NOT NULL) AS excepted FROM part), v AS (SELECT k, canonical, excepted, unnest(forbidden) AS v FROM t)
+  list_filter([CASE WHEN p_partkey % 3 = 0 THEN p_name END, CASE WHEN p_partkey % 5 = 0 THEN p_brand END, CASE WHEN p_partkey % 7 = 0 THEN 'zzz' END, CASE WHEN p_partkey % 23 = 0 THEN ' ' END], lambda x: x IS NOT NULL) AS excepted FROM part),
+b AS (SELECT k, CASE WHEN k % 31 = 0 THEN ' ' ELSE canonical END AS canonical, CASE k % 29 WHEN 0 THEN [] WHEN 1 THEN list_append(forbidden, chr(9)) ELSE forbidden END AS forbidden, excepted, CASE WHEN k % 19 = 0 THEN '' WHEN k % 2 = 0 THEN 'n' END AS note FROM t),
+s AS (SELECT k, canonical, forbidden, CASE WHEN list_contains(excepted, ' ') THEN [] ELSE excepted END AS excepted FROM b WHERE NOT list_contains(forbidden, chr(9))), v AS (SELECT k, canonical, excepted, unnest(forbidden) AS v FROM s)
 SELECT k, rule, subject, detail, 'error' AS severity FROM (
-SELECT k, 'newline_in_value' AS rule, canonical AS subject, NULL AS detail FROM t WHERE contains(canonical, chr(10)) UNION ALL SELECT k, 'forbidden_is_canonical', canonical, v FROM v WHERE v = canonical
+SELECT k, 'newline_in_value' AS rule, canonical AS subject, NULL AS detail FROM b WHERE contains(canonical, chr(10)) OR len(list_filter(forbidden, lambda f: contains(f, chr(10)))) > 0 OR len(list_filter(excepted, lambda f: contains(f, chr(10)))) > 0
+UNION ALL SELECT k, 'canonical_missing', canonical, NULL FROM b WHERE canonical = ' ' UNION ALL SELECT k, 'forbidden_empty', canonical, NULL FROM b WHERE len(forbidden) = 0 UNION ALL SELECT k, 'forbidden_blank', canonical, NULL FROM b WHERE k % 29 = 1
+UNION ALL SELECT k, 'exception_blank', canonical, NULL FROM b WHERE list_contains(excepted, ' ') UNION ALL SELECT k, 'note_blank', canonical, NULL FROM b WHERE note = '' UNION ALL SELECT k, 'forbidden_is_canonical', canonical, v FROM v WHERE v = canonical
 UNION ALL SELECT k, 'forbidden_repeated', v, CAST(count(*) AS VARCHAR) FROM v GROUP BY k, v HAVING count(*) > 1
-UNION ALL SELECT k, CASE WHEN list_contains(forbidden, e) THEN 'exception_is_forbidden' ELSE 'exception_useless' END, canonical, e FROM (SELECT k, canonical, forbidden, unnest(excepted) AS e FROM t) WHERE list_contains(forbidden, e) OR len(list_filter(forbidden, lambda f: contains(e, f) AND f <> e)) = 0
-UNION ALL SELECT DISTINCT v.k, 'forbidden_inside_canonical', t.canonical, v.v FROM v JOIN t ON v.k = t.k AND contains(t.canonical, v.v) AND v.v <> t.canonical AND NOT list_contains(v.excepted, t.canonical))""")
+UNION ALL SELECT k, CASE WHEN list_contains(forbidden, e) THEN 'exception_is_forbidden' ELSE 'exception_useless' END, canonical, e FROM (SELECT k, canonical, forbidden, unnest(excepted) AS e FROM s) WHERE list_contains(forbidden, e) OR len(list_filter(forbidden, lambda f: contains(e, f) AND f <> e)) = 0
+UNION ALL SELECT DISTINCT v.k, 'forbidden_inside_canonical', t.canonical, v.v FROM v JOIN b t ON v.k = t.k AND t.canonical <> ' ' AND contains(t.canonical, v.v) AND v.v <> t.canonical AND NOT list_contains(v.excepted, t.canonical)
+UNION ALL SELECT k, CASE m WHEN 0 THEN 'target_missing' WHEN 1 THEN 'date_malformed' ELSE 'terms_empty' END, CASE m WHEN 0 THEN ' ' ELSE 'manual' END, CASE m WHEN 1 THEN '2024-1-01' END FROM (SELECT DISTINCT p_partkey // 4 AS k, (p_partkey // 4) % 5 AS m FROM part) WHERE m < 3)""")
 def _(s, d):
     k, name, every = F.col("p_partkey"), F.col("p_name"), lambda n, c: F.when(F.col("p_partkey") % n == 0, c)
-    excepted = F.array_compact(F.array(every(3, name), every(5, F.col("p_brand")), every(7, F.lit("zzz"))))
+    excepted = F.array_compact(F.array(every(3, name), every(5, F.col("p_brand")), every(7, F.lit("zzz")), every(23, F.lit(" "))))
     own = table(s, d, "part").select(F.floor(k / 4).cast("long").alias("k"), F.when(k % 11 == 0, F.concat(name, F.lit("\n"))).otherwise(name).alias("canonical"), F.array(F.coalesce(every(13, name), F.substring_index("p_name", " ", 1)), F.col("p_brand")).alias("forbidden"), excepted.alias("excepted"))
-    return vf.term_dictionary_violations(own, ["k"])
+    j = F.col("k")
+    own = own.select("k", F.when(j % 31 == 0, " ").otherwise(F.col("canonical")).alias("canonical"), F.when(j % 29 == 0, F.array().cast("array<string>")).when(j % 29 == 1, F.array_append("forbidden", F.lit("\t"))).otherwise(F.col("forbidden")).alias("forbidden"), "excepted", F.when(j % 19 == 0, "").when(j % 2 == 0, "n").alias("note"))
+    m = j % 5
+    meta = own.groupBy("k").agg(F.count("*").alias("n")).select("k", F.when(m == 0, " ").otherwise("manual").alias("target"), F.when(m == 1, "2024-1-01").otherwise("2024-01-01").alias("updated_at"), F.when(m == 2, 0).otherwise(F.col("n")).alias("n_terms"))
+    return vf.term_dictionary_violations(own, ["k"]).unionByName(vf.dictionary_meta_violations(meta, ["k"]))
 
 
 @query("vf7_stale_refs", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(CASE WHEN doc_id % 11 = 0 THEN -1 ELSE doc_id END AS VARCHAR) END AS source_ref, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'xyz' WHEN doc_id % 3 = 0 THEN sha256('old') ELSE sha256(text) END AS source_hash FROM documents)
@@ -213,13 +233,16 @@ def _(s, d):
     return an.anchors_after(tx.lines(table(s, d, "documents").select("doc_id", text.alias("text"))), heading=r"New\s*issues")
 
 
+#: Terms that a scan reported, as its report's lines say; a line number of one digit is no anchor.
+SCANNED = "SELECT run_id, concat('ok line 7, HIT line ', CAST(event_line AS STRING), ' und, HIT line 5') AS text FROM (SELECT run_id, 100 + atom_id % 900 AS event_line FROM {atoms} a WHERE atom_id % 6 = 0) x"
 REQUIRED = "SELECT run_id, concat('f', CAST(atom_id % 5 AS STRING)) AS file, CASE WHEN atom_id % 5 < 4 THEN 'lens' ELSE 'second' END AS kind, anchor FROM {atoms} a"
 TERMINAL = "SELECT run_id, anchor FROM {ledger} l WHERE outcome <> 'question'"
 
 
-@query("an3_missing_anchors", f"""SELECT run_id, anchor, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CAST(substr(anchor, 2) AS BIGINT)) AS INTEGER) AS pos FROM (SELECT DISTINCT run_id, anchor FROM ({REQUIRED}) r WHERE NOT EXISTS (SELECT 1 FROM ({TERMINAL}) t WHERE t.run_id = r.run_id AND t.anchor = r.anchor))""")
+@query("an3_missing_anchors", f"""SELECT run_id, anchor, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CAST(substr(anchor, 2) AS BIGINT)) AS INTEGER) AS pos FROM (SELECT DISTINCT run_id, anchor FROM (SELECT run_id, anchor FROM ({REQUIRED}) q UNION ALL SELECT run_id, concat('L', 100 + atom_id % 900) FROM {{atoms}} a WHERE atom_id % 6 = 0) r WHERE NOT EXISTS (SELECT 1 FROM ({TERMINAL}) t WHERE t.run_id = r.run_id AND t.anchor = r.anchor))""")
 def _(s, d):
-    return an.missing_anchors(rows(s, d, REQUIRED), rows(s, d, TERMINAL))
+    asked = rows(s, d, REQUIRED).select("run_id", "anchor").unionByName(an.scan_anchors(rows(s, d, SCANNED), ["run_id"]))
+    return an.missing_anchors(asked, rows(s, d, TERMINAL))
 
 
 @query("an3_anchor_coverage", f"""SELECT run_id, count(DISTINCT anchor) AS n_required, count(DISTINCT CASE WHEN kind = 'lens' THEN file END) AS lens_files, count(DISTINCT CASE WHEN kind = 'second' THEN file END) AS second_files, count(DISTINCT CASE WHEN NOT EXISTS (SELECT 1 FROM ({TERMINAL}) t WHERE t.run_id = r.run_id AND t.anchor = r.anchor) THEN anchor END) AS n_missing,

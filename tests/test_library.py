@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from docverify.functions import matching
 from docverify.functions.text import normalize_ws, slot_key
 from docverify.operators import anchors, conventions, curation, decisions, integrity, ledger, manifest, review, structure, verify
 from docverify.operators import graph
@@ -70,8 +72,42 @@ def test_white_space_and_slot_keys(spark):
 
 
 def test_unstable_ids(spark):
-    df = spark.createDataFrame([(1, "ok"), (2, " "), (3, "a b"), (4, "a/b"), (5, "a​b"), (6, "́x")], "k int, id string")
-    assert {(r.k, r.rule) for r in structure.unstable_ids(df, ["k"], ["id"]).collect()} == {(2, "blank_id"), (3, "space_in_id"), (4, "slash_in_id"), (5, "invisible_in_id"), (6, "no_base_character")}
+    cases = {
+        "blank_id": ["", " ", "\u3000", "\n\t"], "space_in_id": ["a b", " a", "a\u00a0", "a\u2028b", "ok\n"], "slash_in_id": ["a/b", "/"],
+        "invisible_in_id": ["a\u200bb", "a\U000e0100", "a\ufff0", "a\u2065b", "a\U000e0fff", "k\u3164", "k\u115f", "\ufeffk", "k\u00ad", "a\x07"], "no_base_character": ["\u0301", "\u20dd\u0903", "\ue000", "\u0378", "\U000f0000"],
+        None: ["ok", "-1", "\u0301a", "a\u0301", "a\ue000", "a\u0378", "中", "\U0001f600", "é_", "k\U0001d172"],
+    }
+    rows = [(rule, v) for rule, values in cases.items() for v in values]
+    found = structure.unstable_ids(spark.createDataFrame(rows, "k string, id string"), ["k"], ["id"]).collect()
+    rules = {}
+    for r in found:
+        rules.setdefault((r.k, r.subject), set()).add(r.rule)
+    assert all(rule in rules[rule, v] for rule, v in rows if rule) and not any(k is None for k, _ in rules)
+    assert {v: r - {"space_in_id"} for (k, v), r in rules.items() if k == "invisible_in_id"} == {v: {"invisible_in_id"} for v in cases["invisible_in_id"]}
+    details = {r.subject: r.detail for r in found if r.rule == "invisible_in_id"}
+    assert details["a\u200bb"] == "U+200B" and details["a\U000e0100"] == "U+E0100" and details["a\x07"] == "U+0007"
+
+
+def test_items_beyond_the_ninety_ninth_keep_their_order(spark):
+    rows = [(1, "pm", n, f"1/pm/{n:02d}", "s", "c", "q" if n != 5 else " ", "none", ["a"]) for n in range(1, 103)]
+    items = spark.createDataFrame(rows, "run_id long, perspective string, item_no long, item_id string, target_section string, consideration string, human_question string, human_need string, evidence_refs array<string>")
+    sections, files = spark.createDataFrame([(1, "s", 0)], "run_id long, section string, pos int"), spark.createDataFrame([(1, "a")], "run_id long, path string")
+    assert got(curation.envelope_violations(items, sections, files), "rule", "subject") == [("human_question_blank", "1/pm/05")]
+
+
+def test_dictionaries_with_blank_entries(spark):
+    rows = [(1, "good", ["bad", " "], None, None), (1, "fine", ["poor"], ["poorly", ""], "x"), (1, "kept", ["keep"], ["keeper"], " "), (2, "a", None, None, None), (2, None, ["z"], ["q"], None)]
+    terms = spark.createDataFrame(rows, "k int, canonical string, forbidden array<string>, excepted array<string>, note string")
+    found = got(verify.term_dictionary_violations(terms, ["k"]).na.fill("-"), "k", "rule", "subject")
+    assert found == [(1, "exception_blank", "fine"), (1, "forbidden_blank", "good"), (1, "note_blank", "kept"), (2, "canonical_missing", "-"), (2, "exception_useless", "-"), (2, "forbidden_empty", "a")]
+    meta = spark.createDataFrame([(1, "t", "2024-01-02", 3), (2, " ", "2024-1-02", 0), (3, None, None, None), (4, "t", "2024-01-02\n", 1)], "k int, target string, updated_at string, n_terms long")
+    every = ["date_malformed", "target_missing", "terms_empty"]
+    assert got(verify.dictionary_meta_violations(meta, ["k"]), "k", "rule") == [(k, r) for k in (2, 3) for r in every] + [(4, "date_malformed")]
+
+
+def test_scan_hits_ask_for_anchors(spark):
+    reports = spark.createDataFrame([(1, "HIT line 12 x\nHIT line 7\nHIT line 12\nHIT line 123456, xHIT line 33"), (2, None)], "run_id int, text string")
+    assert got(anchors.scan_anchors(reports, ["run_id"]), "run_id", "anchor") == [(1, "L12")]
 
 
 def test_verbatim_equals_the_nested_loop(spark):
@@ -254,11 +290,59 @@ def test_terms_of_a_large_dictionary_are_found_like_those_of_a_small_one(spark,
     rows = spark.createDataFrame([(1, 1, "the hand and the land"), (1, 2, "a\\Eb and a"), (2, 1, "é and日本語"), (2, 2, ""), (3, 1, None)], "doc_id long, line_no int, line string")
     terms = spark.createDataFrame([("und", ["and", "", "日本"], ["hand", "land"]), ("x", ["a\\Eb", "é", "日本語"], None), ("none", ["zzzz"], [])], "canonical string, forbidden array<string>, excepted array<string>")
     small = sorted(map(tuple, verify.term_scan(rows, terms).collect()))
-    monkeypatch.setattr(verify, "WORDS", 0)
+    monkeypatch.setattr(matching.matched, "__defaults__", (0,))
     assert small == sorted(map(tuple, verify.term_scan(rows, terms).collect()))
     assert [(r[0], r[1], r[2], r[4]) for r in small] == [(1, 1, "and", 9), (1, 2, "a\\Eb", 0), (1, 2, "and", 5), (2, 1, "and", 2), (2, 1, "é", 0), (2, 1, "日本", 5), (2, 1, "日本語", 5)]
 
 
+@pytest.mark.parametrize("chars", [10**6, 0])
+def test_term_usage_equals_a_plain_count(spark, monkeypatch, chars):
+    monkeypatch.setattr(matching.matched, "__defaults__", (chars,))
+    rng = random.Random(9)
+    terms = [("und", ["and", "aa"], ["hand", "andand"]), ("aba", ["ab", "aba"], None), ("ab", ["b"], ["bb"]), ("é日", ["日"], ["日本"]), ("", ["zz"], []), (None, ["q"], []), ("unused", [], [])]
+    lines = ["".join(rng.choice(["a", "b", "and", "h", "un", "d", "é", "日", "本", " ", "q", "z"]) for _ in range(rng.randint(0, 25))) for _ in range(60)] + [None, ""]
+
+    def spans(line, part):
+        return [i for i in range(len(line) - len(part) + 1) if part and line.startswith(part, i)]
+
+    want = {}
+    for n, line in enumerate(lines):
+        for c, forbidden, excepted in terms:
+            allowed = [(a, a + len(e)) for e in excepted or [] for a in spans(line or "", e)]
+            used = [a for v in forbidden for a in spans(line or "", v) if not any(x <= a and a + len(v) <= y for x, y in allowed)]
+            own = want.setdefault((n % 4, c), [0, 0])
+            own[0] += len(used)
+            own[1] += len(spans(line or "", c or ""))
+    rows = spark.createDataFrame([(n % 4, n, t) for n, t in enumerate(lines)], "doc_id int, line_no int, line string")
+    found = verify.term_usage(rows, spark.createDataFrame(terms, "canonical string, forbidden array<string>, excepted array<string>"))
+    assert {(r.doc_id, r.canonical): [r.n_avoided, r.n_preferred] for r in found.collect()} == {k: v for k, v in want.items() if any(v)}
+
+
+def test_a_dictionary_of_a_hundred_thousand_names_makes_no_nested_loop(spark):
+    names = spark.range(120_000).select(F.concat(F.lit("name "), F.sha2(F.col("id").cast("string"), 256).substr(1, 12)).alias("canonical")).withColumns({"forbidden": F.array(F.concat(F.lit("x"), "canonical")), "excepted": F.array().cast("array<string>")})
+    some = [r.canonical for r in names.limit(50).collect()]
+    lines = spark.createDataFrame([(i, 1, f"see {some[i % 50]} and x{some[(i + 1) % 50]}.") for i in range(200)], "doc_id int, line_no int, line string")
+    used = verify.term_usage(lines, names)
+    plan = used._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # an avoided variant holds its preferred wording, so a line has both names
+    assert used.agg(F.sum("n_avoided"), F.sum("n_preferred")).first()[:] == (200, 400)
+
+
+def test_patterns_take_time_linear_in_a_line(spark):
+    rng = random.Random(10)
+    patterns = [("email", r"[A-Za-z0-9_.]+@[A-Za-z0-9_.]+"), ("pair", r"\w+:\w{2}"), ("dash", r"[^-]+-x?"), ("either", r"[ab]+@|c"), ("group", r"(?:[a-z]+=|b)1"), ("plain", r"to(?:ken|ll)")]
+    assert [matching.linear(p)[1] for _, p in patterns] == ["@", ":", "-", None, None, None]
+    lines = ["".join(rng.choice(list("aAb@@:-=1 x_.") + ["token", "ab@cd@ef", "b:cde:fg"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    rows = spark.createDataFrame([(1, n, t) for n, t in enumerate(lines)], "doc_id int, line_no int, line string")
+    want = sorted((n, name, h.group()) for n, t in enumerate(lines) for name, p in patterns for h in re.finditer(p, t, re.IGNORECASE | re.ASCII))
+    assert got(verify.pattern_scan(rows, patterns), "line_no", "pattern", "hit") == want
+    began = time.time()
+    long = spark.createDataFrame([(1, 1, "a" * 1_000_000), (1, 2, "b@" + "a" * 1_000_000), (1, 3, "a" * 1_000_000 + "@b")], "doc_id int, line_no int, line string")
+    assert [len(r.hit) for r in verify.pattern_scan(long, patterns[:1]).orderBy("line_no").collect()] == [1_000_002, 1_000_002]
+    assert time.time() - began < 30
+
+
 def test_tree_digest_sees_every_change_and_no_order(spark):
     rows = [(1, f"p{i}", i, f"h{i}") for i in range(300)]
     of = lambda x: integrity.tree_digest(spark.createDataFrame(x, "run_id long, path string, bytes long, sha256 string"), ["run_id"]).first()
