@@ -18,6 +18,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from heapq import heappop, heappush
 from itertools import islice, pairwise
 
@@ -247,16 +248,27 @@ class Codec:
     def __init__(self, name: str, pattern: str):
         with open(vocabulary(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.merger, self.tokens = Merger(ranks), [b""] * (max(ranks.values(), default=-1) + 1)
+        self.ranks, self.regex, self.tokens = ranks, regex.compile(pattern), [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
         self.dtype = np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
-        self.pattern, self.kinds = regex.compile(pattern), _kinds(pattern)
-        beyond = "".join(f"\\U{c:08x}" for c in self.kinds if c < 0x10000)
-        self.differs = re.compile(f"[{beyond}\U00010000-\U0010ffff]")
         self.seen, self.table, self.used = Seen(), [], np.zeros(0, np.int32)
         self.calls = 0
 
+    @cached_property
+    def merger(self) -> Merger:
+        return Merger(self.ranks)
+
+    @cached_property
+    def kinds(self) -> dict[int, str]:
+        return _kinds(self.regex.pattern)
+
+    @cached_property
+    def differs(self) -> re.Pattern:
+        """Finds characters that may need a stand-in."""
+        beyond = "".join(f"\\U{c:08x}" for c in self.kinds if c < 0x10000)
+        return re.compile(f"[{beyond}\U00010000-\U0010ffff]")
+
     @classmethod
     def of(cls, name: str, pattern: str | None = None) -> Codec:
         """One for a worker process."""
@@ -271,12 +283,12 @@ class Codec:
     def matches(self, text: str) -> Iterator[list[str]]:
         """The pattern's matches, in lists of a bounded length."""
         if not text.isascii() and self.differs.search(text) and (cut := text.translate(self.kinds)) != text:
-            found = (text[m.start() : m.end()] for m in self.pattern.finditer(cut))
+            found = (text[m.start() : m.end()] for m in self.regex.finditer(cut))
         elif len(text) < MATCHES:
-            yield self.pattern.findall(text)
+            yield self.regex.findall(text)
             return
         else:
-            found = (m.group() for m in self.pattern.finditer(text))
+            found = (m.group() for m in self.regex.finditer(text))
         while some := list(islice(found, MATCHES)):
             yield some
 

@@ -13,7 +13,6 @@ All numbers are integers; a share per thousand million is divided out three digi
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import joined, settled
 
-#: Terms: runs of letters A to Z and of anything beyond ASCII.
+#: Terms: runs of letters A to Z and of anything beyond ASCII; what lies between them.
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+BETWEEN = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Documents that a term needs in its language, ranks of the term part, parts of a whole.
 DOCUMENTS, RANKS, SCALE = 3, 200, 1_000_000_000
-#: Sources of a tile and terms of a shard in a task; entries of a task's counts before they are given on, characters of a text taken at once.
-TILE, SHARD, ENTRIES, PIECE = 64, 2048, 250_000, 1 << 20
+#: Sources of a tile and terms of a shard in a task; entries of a task's counts and spellings that it knows before they are given on, characters of a text taken at once.
+TILE, SHARD, ENTRIES, PIECE = 64, 2048, 1_000_000, 1 << 20
 
 
 def share(count: Column, total: Column) -> Column:
@@ -61,46 +61,77 @@ def collapsed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return own.groupBy("lang", "key").agg(F.first("text").alias("text")).join(by, ["lang", "key"]).drop("key")
 
 
-def _terms(text: str) -> Counter:
-    found: Counter = Counter()
-    at = 0
-    while len(text) - at > PIECE:  # cut where a term ends, so no list holds all of a very long text
-        cut = next((m.start() for m in re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]").finditer(text, at + PIECE)), len(text))
-        found.update(TERM.findall(text[at:cut].translate(LOWER)))
-        at = cut
-    found.update(TERM.findall(text[at:].translate(LOWER)))
-    return found
+class _Codes(dict):
+    """A number for each term as a text has it; spellings that differ in A to Z alone share one."""
+
+    def __init__(self):
+        super().__init__()
+        self.terms: list[str] = []
+        self.own: dict[str, int] = {}
+
+    def __missing__(self, spelling: str) -> int:
+        term = spelling.translate(LOWER)
+        if (code := self.own.get(term)) is None:
+            code = self.own[term] = len(self.terms)
+            self.terms.append(term)
+        self[spelling] = code
+        return code
+
+
+def _coded(text: str, codes: _Codes) -> np.ndarray:
+    """Codes of a text's terms."""
+    parts, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):  # cut where a term ends, so no list holds all of a very long text
+            found = BETWEEN.search(text, end)
+            end = found.start() if found else len(text)
+        some = TERM.findall(text, at, end)
+        parts.append(np.fromiter(map(codes.__getitem__, some), np.int64, len(some)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _summed(keys: list[np.ndarray], n: list[np.ndarray], d: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with its sums."""
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(np.concatenate(n)[order], first), np.add.reduceat(np.concatenate(d)[order], first)
 
 
 def counts(texts: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and d (documents that have it), summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], dict[str, list[int]]] = defaultdict(dict)
-        entries = 0
+        codes, groups = _Codes(), {}
+        keys, ns, ds, size = [], [], [], 0
 
         def give() -> pa.RecordBatch:
-            rows = [(lang, source, term, n, d) for (lang, source), own in sums.items() for term, (n, d) in own.items()]
-            kinds = [pa.string()] * 3 + [pa.int64()] * 2
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["lang", "source", "term", "n", "d"])
+            key, n, d = _summed(keys, ns, ds) if size else (np.zeros(0, np.int64),) * 3
+            lang, source = (pa.array([g[x] for g in groups], pa.string()).take(pa.array(key >> 32)) for x in (0, 1))
+            return pa.RecordBatch.from_arrays([lang, source, pa.array(codes.terms, pa.string()).take(pa.array(key & 0xFFFFFFFF)), pa.array(n), pa.array(d)], ["lang", "source", "term", "n", "d"])
 
         for batch in batches:
             for lang, text, by in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "by")), strict=True):
-                found = _terms(text)
-                for x in by:
-                    times, own = x["n"], sums[lang, x["source"]]
-                    before = len(own)
-                    for term, n in found.items():
-                        if (had := own.get(term)) is None:
-                            own[term] = [n * times, times]
-                        else:
-                            had[0] += n * times
-                            had[1] += times
-                    entries += len(own) - before
-                    if entries >= ENTRIES:
-                        yield give()
-                        sums.clear()
-                        entries = 0
+                terms, n = np.unique(_coded(text, codes), return_counts=True)
+                for x in by if len(terms) else ():
+                    group = groups.setdefault((lang, x["source"]), len(groups))
+                    keys.append(group << 32 | terms)
+                    ns.append(n * x["n"])
+                    ds.append(np.full(len(terms), x["n"]))
+                    size += len(terms)
+                    if size >= 2 * ENTRIES:
+                        keys, ns, ds = ([x] for x in _summed(keys, ns, ds))
+                        size = len(keys[0])
+                        if size >= ENTRIES:
+                            yield give()
+                            keys, ns, ds, size = [], [], [], 0
+                if len(codes) >= ENTRIES:
+                    yield give()
+                    codes, groups = _Codes(), {}
+                    keys, ns, ds, size = [], [], [], 0
         yield give()
 
     rows = texts.select("lang", "text", "by").mapInArrow(count, "lang string, source string, term string, n long, d long")

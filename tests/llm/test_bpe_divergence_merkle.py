@@ -170,10 +170,13 @@ def test_shares_stay_exact_where_products_leave_64_bits(spark):
 
 
 def test_terms_of_a_very_long_text(monkeypatch):
-    text = " ".join(f"w{chr(97 + i % 26)} É{i}" for i in range(3000)) + "é" * 500
-    whole = divergence._terms(text)
+    text = " ".join(f"w{chr(97 + i % 26)} W{chr(65 + i % 26)}É{i}" for i in range(3000)) + "é" * 500
+    codes = divergence._Codes()
+    whole = [codes.terms[i] for i in divergence._coded(text, codes)]
+    assert whole == [t.translate(divergence.LOWER) for t in divergence.TERM.findall(text)] and len(codes.terms) == len(set(whole))
     monkeypatch.setattr(divergence, "PIECE", 100)
-    assert divergence._terms(text) == whole and sum(whole.values()) == 6001
+    again = divergence._Codes()
+    assert [again.terms[i] for i in divergence._coded(text, again)] == whole and divergence._coded("", again).tolist() == []
 
 
 # --- Merkle
