@@ -5,8 +5,13 @@ item stays what it is, and long documents become small sets.  Equal sets are sea
 that holds many items) is split: items are dealt into buckets of bounded size, and the set's part for a bucket is what the
 bucket's items have of it, so each item's containment in its own bucket's part is that in the whole set.  Sets are partitioned
 by size (powers of two), items likewise; for a pair of classes the containment asked for bounds the Jaccard similarity
-from below, and that sets how many minwise values find a pair with all but certainty; as sets are bounded, so is that number, and a
-document's work grows with the items that it holds, not with their square.  Pairs that meet in a value are verified by exact intersection.
+from below, and that sets how many minwise values find a pair with all but certainty; as sets are bounded, so is that number.
+
+Shingles that many items share (a common opening) would bring every set to all these items.  So shingles have levels, by how many items
+hold them, and an item is sought by its rarest part: the lowest level that gives it more shingles than a set may lack of the item.
+A set that holds enough of the item holds a share of that part, which is known; sets meet items of a level by their
+shingles up to that level alone.  Items of one opening and ends of their own meet no set by the opening, however many they are;
+only those whose ends are too short to tell them apart do.  Pairs that meet in a value are verified by exact intersection.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from .rules import let
 MISS, FEW = 1e-6, 1_000_000
 #: Shingles from which on a set is split, and item shingles of a bucket (expected; an item of more has its bucket to itself but for others dealt there).
 LARGE, BUCKET = 128, 64
+#: A level's shingles are held by up to BASE^level items; the part of an item that its search needs beyond what a set may lack.
+BASE, BEYOND = 8, 0.1
 
 
 def _words(text: Column) -> Column:
@@ -73,9 +80,12 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     Items of fewer words than ``width`` are one shingle of all their words; null and empty items and texts give no
     rows.  Rows that repeat an id and item are reported once, with the largest share, or with ``by_text`` once for each text, with its
     xxhash64 as text_key; a null id is an id; other columns are left out; an empty table gives no rows."""
-    spark, share = docs.sparkSession, percent / 100
-    own = settled(item_shingles(items, item_col, item_text_col, width), "decontam-items")
-    vocabulary = settled(own.select("w", F.explode("own").alias("h")).distinct(), "decontam-vocabulary")
+    spark = docs.sparkSession
+    listed = settled(item_shingles(items, item_col, item_text_col, width).withColumn("item_key", F.xxhash64("w", "own")), "decontam-items")
+    own = listed.select("item_key", "w", "q", "own").distinct()
+    level = F.greatest(F.lit(1), F.ceil(F.log(float(BASE), F.count("*").cast("double")) - 1e-9)).cast("int")
+    vocabulary = settled(own.select("w", F.explode("own").alias("h")).groupBy("w", "h").agg(level.alias("level")), "decontam-vocabulary")
+    own = settled(_sought(own, vocabulary, percent), "decontam-sought")
     widths = sorted(r["w"] for r in vocabulary.select("w").distinct().collect())
     few = vocabulary.count() <= FEW
     vocabulary = F.broadcast(vocabulary) if few else vocabulary
@@ -86,32 +96,48 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     cut = settled(cut.withColumns({"set_key": F.xxhash64("w", "own"), "s": F.size("own")}), "decontam-sets")
     sets = settled(cut.select("set_key", "w", "own", "s").distinct(), "decontam-classes")
     buckets = max(1, (own.agg(F.sum("q")).first()[0] or 0) // bucket)
-    dealt = own.select("w", F.pmod(F.xxhash64("own"), F.lit(buckets)).alias("bucket"), F.explode("own").alias("h")).distinct()
+    dealt = own.select("w", F.pmod("item_key", F.lit(buckets)).alias("bucket"), F.explode("own").alias("h")).distinct()
     parts = sets.where(F.col("s") >= large).select("set_key", "w", F.explode("own").alias("h")).join(dealt, ["w", "h"]).groupBy("set_key", "w", "bucket").agg(F.array_sort(F.collect_set("h")).alias("own"))
-    parts = parts.select("set_key", "w", F.xxhash64("w", "own").alias("part_key"), "own", F.size("own").alias("s"))
-    parts = settled(sets.where(F.col("s") < large).select("set_key", "w", F.col("set_key").alias("part_key"), "own", "s").unionByName(parts), "decontam-parts")
-    sets = settled(parts.select("part_key", "w", "own", "s").distinct(), "decontam-searched")
-
-    size_classes = sorted(r[0] for r in sets.select(_class(F.col("s"))).distinct().collect())
-    item_classes = sorted(r[0] for r in own.select(_class(F.col("q"))).distinct().collect())
-    need = {(p, j): n for p in size_classes for j in item_classes if (n := hashes_needed(p, j, share))}
-    most = {p: max((n for (a, _), n in need.items() if a == p), default=0) for p in size_classes}
-    plan = spark.createDataFrame([(p, j, n) for (p, j), n in need.items()], "p int, j int, k int")  # 64 x 64 rows at most
-    depth = F.lit(0)
-    for p, n in most.items():
-        depth = F.when(F.col("p") == p, F.lit(n)).otherwise(depth)
-    of_sets = sets.withColumn("p", _class(F.col("s"))).withColumn("k", depth).where("k > 0").select("part_key", "w", "p", F.explode(_minwise(F.col("own"), F.col("k"))).alias("x"))
-    of_items = own.withColumn("j", _class(F.col("q"))).join(F.broadcast(plan), "j").select("item", "w", "p", "q", "own", F.explode(_minwise(F.col("own"), F.col("k"))).alias("x"))
-    met = of_sets.select("part_key", "w", "p", "x.i", "x.v").join(of_items.select("item", F.xxhash64("own").alias("item_key"), "w", "p", "x.i", "x.v"), ["w", "p", "i", "v"])
-    pairs = met.select("part_key", "w", "item", "item_key").distinct()
-    held = pairs.join(sets.select("part_key", "w", F.col("own").alias("a")), ["part_key", "w"]).join(own.select("item", "w", "q", F.xxhash64("own").alias("item_key"), F.col("own").alias("b")).withColumnRenamed("item", "item_"), ["item_key", "w"])
-    held = held.where(F.col("item").eqNullSafe(F.col("item_"))).withColumn("n", F.size(F.array_intersect("a", "b"))).where(F.col("n") * 100 >= F.col("q") * percent).select("part_key", "w", "item", "q", "n")
+    parts = parts.select("set_key", "w", F.xxhash64("w", "own").alias("part_key"), "own")
+    parts = settled(sets.where(F.col("s") < large).select("set_key", "w", F.col("set_key").alias("part_key"), "own").unionByName(parts), "decontam-parts")
+    searched = parts.select("part_key", "w", "own").distinct()
+
+    levels = sorted(r[0] for r in own.select("level").distinct().collect())
+    upto = F.filter(F.array(*(F.lit(x) for x in levels)).cast("array<int>"), lambda x: x >= F.col("level"))
+    of_level = searched.select("part_key", "w", F.explode("own").alias("h")).join(vocabulary, ["w", "h"]).select("part_key", "w", "h", F.explode(upto).alias("level"))
+    sets = settled(of_level.groupBy("part_key", "w", "level").agg(F.collect_set("h").alias("rare")).withColumn("p", _class(F.size("rare"))), "decontam-searched")
+    size_classes = sorted(r[0] for r in sets.select("p").distinct().collect())
+    wanted = sorted(map(tuple, own.select("level", "j", "tenths").distinct().collect()))
+    need = [(x, p, j, t, n) for x, j, t in wanted for p in size_classes if (n := hashes_needed(p, j, t / 10))]
+    most: dict[tuple[int, int], int] = {}
+    for x, p, _, _, n in need:
+        most[x, p] = max(n, most.get((x, p), 0))
+    plan = spark.createDataFrame(need, "level int, p int, j int, tenths int, k int")  # levels, tenths and two classes of sizes: some thousand rows at most
+    depth = spark.createDataFrame([(x, p, n) for (x, p), n in most.items()], "level int, p int, k int")
+    of_sets = sets.join(F.broadcast(depth), ["level", "p"]).select("part_key", "w", "level", "p", F.explode(_minwise(F.col("rare"), F.col("k"))).alias("x"))
+    of_items = own.join(F.broadcast(plan), ["level", "j", "tenths"]).select("item_key", "w", "level", "p", F.explode(_minwise(F.col("rare"), F.col("k"))).alias("x"))
+    met = of_sets.select("part_key", "w", "level", "p", "x.i", "x.v").join(of_items.select("item_key", "w", "level", "p", "x.i", "x.v"), ["w", "level", "p", "i", "v"])
+    pairs = met.select("part_key", "w", "item_key").distinct()
+    held = pairs.join(searched.select("part_key", "w", F.col("own").alias("a")), ["part_key", "w"]).join(own.select("item_key", "w", "q", F.col("own").alias("b")), ["item_key", "w"])
+    held = held.withColumn("n", F.size(F.array_intersect("a", "b"))).where(F.col("n") * 100 >= F.col("q") * percent).select("part_key", "w", "item_key", "q", "n")
+    held = held.join(listed.select("item", "item_key", "w"), ["item_key", "w"]).drop("item_key")
     texts_too = ["text_key"] if by_text else []
     found = cut.select("doc", *texts_too, "set_key", "w").join(parts.select("set_key", "w", "part_key").join(held, ["part_key", "w"]), ["set_key", "w"])
     best = found.groupBy("doc", *texts_too, "item").agg(F.max(F.struct((F.col("n") / F.col("q")).alias("c"), F.col("q"), F.col("n"))).alias("x"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("x.q").cast("long").alias("n_item_shingles"), F.col("x.n").cast("long").alias("n_shared"), F.col("x.c").alias("containment"), *texts_too)
 
 
+def _sought(own: DataFrame, vocabulary: DataFrame, percent: int) -> DataFrame:
+    """Adds to items the level of their search, ``rare`` (their shingles up to it), j (the class of its size) and how many tenths of it a set must hold, rounded down."""
+    slack = F.col("q") - F.ceil(F.col("q") * percent / 100)
+    enough = F.least(F.col("q"), slack + F.ceil(F.col("q") * BEYOND))
+    ranked = own.select("item_key", "w", F.explode("own").alias("h")).join(vocabulary, ["w", "h"]).groupBy("item_key", "w").agg(F.array_sort(F.collect_list(F.struct("level", "h"))).alias("x"))
+    both = own.join(ranked, ["item_key", "w"]).withColumn("level", F.get("x", (enough - 1).cast("int"))["level"])
+    both = both.withColumn("rare", F.transform(F.filter("x", lambda y: y["level"] <= F.col("level")), lambda y: y["h"])).drop("x")
+    r = F.size("rare")
+    return both.withColumns({"j": _class(r), "tenths": F.greatest(F.lit(1), F.floor(10 * (r - slack) / r)).cast("int")})
+
+
 #: The same result by SQL: every shingle of every document against every shingle of every item.
 ORACLE_SQL = r"""
 WITH lowered AS (SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents

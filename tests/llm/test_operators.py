@@ -137,6 +137,32 @@ def test_a_document_of_two_thousand_items(spark):
     assert got == [*((0, i) for i in range(2000) if i != 1), (1, 7)]
 
 
+@pytest.mark.parametrize("tail", [3, 8, 30])
+def test_items_of_one_opening_do_not_all_meet(spark, tail):
+    """Documents that each hold one of many items with a common opening; the pairs to verify grow with the documents."""
+    rng = random.Random(23)
+    opening = " ".join(f"o{i}" for i in range(20))
+    made = []
+    for n in (200, 400):
+        items = [opening + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(tail)) for _ in range(n)]
+        texts = [f"before {x if i % 2 else ' '.join(x.split()[:-1])} after {i}" for i, x in enumerate(items)]
+        found = decontam.contained(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+        got = sorted((r.doc_id, r.item_id) for r in found.collect())
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, items)]
+        own = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+        assert got == [(i, j) for i, x in enumerate(own) for j, q in enumerate(sets) if 100 * len(x & q) >= 80 * len(q)]
+        made.append(len(got))
+    assert made == [200, 400] if tail > 3 else made[0] > 200
+
+
+def test_contained_of_an_empty_item_table_and_of_items_said_twice(spark):
+    df = docs(spark, ["one two three four five six seven", None])
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contained(df, empty).count() == 0 and decontam.contained(df, spark.createDataFrame([(1, None), (2, "")], empty.schema)).count() == 0
+    twice = spark.createDataFrame([(i, "one two three four five six") for i in range(300)], empty.schema)
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contained(df, twice).collect()) == [(0, i) for i in range(300)]
+
+
 def test_contained_of_repeats_and_nulls(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "p q r s t u"), (None, "a b c d e f g"), (4, None)], "item_id long, text string")
     df = spark.createDataFrame([(5, "z a b c d e f g"), (5, "z a b c d e f g"), (None, "p q r s t u"), (7, None)], "doc_id long, text string")
