@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .tokens import vocabulary
 
 #: Matches of up to SHORT characters are remembered, REMEMBERED of them at most; a text's matches come in lists of MATCHES; CHARS bytes of text are encoded at once; matches of over LONG bytes merge alone.
-SHORT, REMEMBERED, MATCHES, CHARS, LONG = 64, 1 << 19, 100_000, 4_000_000, 256
+SHORT, REMEMBERED, MATCHES, CHARS, LONG = 64, 1 << 18, 100_000, 2_000_000, 256
 #: Characters that stand for one that the two libraries class differently: a letter, a number, neither.
 STAND_INS = {"L": "一", "N": "٠", "": "￾"}
 
