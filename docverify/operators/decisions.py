@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import as_violation, repeated, union, violations
 from ..functions.text import blank, slot_key
-from .graph import on_cycles
+from .graph import on_cycles, with_cycles
 
 #: The statuses, and the one that suppresses findings.
 STATUS, CONFIRMED, SUPPRESSING = ("confirmed", "rejected", "do_not_reopen"), "confirmed", "do_not_reopen"
@@ -51,7 +51,7 @@ def reference_violations(decisions: DataFrame) -> DataFrame:
 
 
 def supersede_cycles(edges: DataFrame) -> DataFrame:
-    """dr3: registry_id, id of decisions on a cycle or between cycles; any makes its registry unusable."""
+    """dr3: registry_id, id of decisions on a cycle; any makes its registry unusable."""
     return on_cycles(edges, KEY, "old", "new").withColumnRenamed("node", "id")
 
 
@@ -107,7 +107,7 @@ def registry_verdict(decisions: DataFrame, found: DataFrame, hashes_checked: boo
 
 def all_findings(decisions: DataFrame, edges: DataFrame, honored: DataFrame) -> DataFrame:
     """All that counts for a registry's verdict, as violations."""
-    cycles = as_violation(supersede_cycles(edges).select(*KEY).distinct(), KEY, "supersede_cycle", "registry_id")
+    cycles = as_violation(with_cycles(edges, KEY, "old", "new"), KEY, "supersede_cycle", "registry_id")
     bare = unlabeled_decisions(decisions, honored)
     judged = judged_edges(edges, decisions)
     return union(

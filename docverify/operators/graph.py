@@ -55,8 +55,46 @@ def _shortened(edges: DataFrame, keys: list[str], turn: int) -> tuple[DataFrame,
     return kept(rest.groupBy(*keys, "a", "b").agg(F.max("w").alias("w"))), gone
 
 
-def on_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, node of the nodes on a cycle or between cycles: what is left when nodes without an edge in or out are taken away again and again.
+def _farthest(edges: DataFrame, keys: list[str], turn: int) -> DataFrame:
+    """keys, node, label (its hash in this turn, and the node): the node of greatest hash from which a node can be reached, itself included.  Labels pass along edges, and a label's own label is taken over, until none changes."""
+    ends = edges.select(*keys, F.col("a").alias("node")).unionByName(edges.select(*keys, F.col("b").alias("node"))).distinct()
+    now = kept(ends.withColumn("label", F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node"))))
+    while True:
+        came = edges.select(*keys, "a", "b").join(now.select(*keys, F.col("node").alias("a"), "label"), [*keys, "a"]).groupBy(*keys, F.col("b").alias("node")).agg(F.max("label").alias("_m"))
+        met = now.join(came, [*keys, "node"], "left").select(*keys, "node", "label", F.greatest("label", "_m").alias("_n"))
+        up = now.select(*keys, F.col("node").alias("_to"), F.col("label").alias("_u"))
+        after = kept(met.withColumn("_to", F.col("_n.node")).join(up, [*keys, "_to"]).select(*keys, "node", F.greatest("_n", "_u").alias("_n"), "label"))
+        changed = not after.where(F.col("_n") != F.col("label")).isEmpty()
+        now = after.select(*keys, "node", F.col("_n").alias("label"))
+        if not changed:
+            return now
+
+
+def _strong(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, component of strongly connected components, by colouring forwards and backwards.
+
+    A node's colour is the node of greatest hash that reaches it.  No node of a colour has a greater one than the colour's own; so those
+    from which, within the colour, that node can be reached are its component.  They go, and the rest is coloured anew by other
+    hashes, so turns grow with the logarithm of a chain of components."""
+    found, turn = None, 0
+    left = kept(edges.select(*keys, "a", "b").distinct())
+    while not left.isEmpty():
+        turn += 1
+        colour = _farthest(left, keys, turn)
+        side = lambda c: colour.select(*keys, F.col("node").alias(c), F.col("label").alias(f"_{c}"))  # noqa: E731, B023
+        within = kept(left.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]).where("_a = _b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        back = _farthest(within, keys, turn).withColumnRenamed("label", "_back")
+        roots = colour.where("node = label.node").select(*keys, "node", F.col("node").alias("component"))
+        own = kept(colour.join(back, [*keys, "node"]).where("_back = label").select(*keys, "node", F.col("label.node").alias("component")).unionByName(roots).distinct())
+        found = own if found is None else found.unionByName(own)
+        for c in ("a", "b"):
+            left = left.join(own.select(*keys, F.col("node").alias(c)), [*keys, c], "left_anti")
+        left = kept(left)
+    return found
+
+
+def _peeled(edges: DataFrame, keys: list[str], a: str, b: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (keys, a, b, w) that are left when nodes without an edge in or out are taken away again and again, and the nodes taken out of chains on the way.
 
     After ``PEEL`` layers chains are shortened too, so rounds grow with the logarithm of a chain's length."""
     rest = kept(edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b"), F.lit(1).alias("w")).where("a is not null and b is not null").distinct())
@@ -72,13 +110,33 @@ def on_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
             rest, gone = _shortened(rest, keys, turn)
             taken.append(gone)
             n = rest.count()
-    left = rest.select(*keys, F.col("a").alias("node")).distinct()
-    for gone in reversed(taken if n else []):  # a node taken out of a chain stays where both of its neighbours do
-        back = gone
-        for side in ("a", "b"):
-            back = back.join(left.select(*keys, F.col("node").alias(side)), [*keys, side], "left_semi")
-        left = kept(left.unionByName(back.select(*keys, "node")))
-    return left
+    return rest, taken
+
+
+def with_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys of the graphs that have a cycle."""
+    return _peeled(edges, keys, a, b)[0].select(*keys).distinct()
+
+
+def on_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, node of the nodes on a cycle, of one edge or more.  What peeling leaves lies on cycles or between them; strongly connected components part these."""
+    rest, taken = _peeled(edges, keys, a, b)
+    if rest.isEmpty():
+        return rest.select(*keys, F.col("a").alias("node"))
+    of = kept(_strong(rest, keys))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        """Rows whose edge from a to b lies in one component."""
+        side = lambda c: of.select(*keys, F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        return rows.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]).where("_a = _b")
+
+    own = inside(rest)
+    left = own.select(*keys, F.col("a").alias("node")).unionByName(own.select(*keys, F.col("b").alias("node"))).distinct()
+    for gone in reversed(taken):  # a node taken out of a chain lies on a cycle where the edge that stood for it does
+        back = inside(gone).select(*keys, "node", F.col("_a").alias("component"))
+        of = kept(of.unionByName(back))
+        left = left.unionByName(back.select(*keys, "node"))
+    return left.distinct()
 
 
 def followed(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

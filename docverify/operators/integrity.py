@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +13,36 @@ from pyspark.sql import functions as F
 def aggregate_digest(inventory: DataFrame, keys: list[str]) -> DataFrame:
     """in1: keys, digest, n_files: one sha256 per run over its files' path, bytes and hash, in the order of the paths' bytes.
 
-    A run's inventory meets in one task; ``tree_digest`` is for runs of any size."""
-    line = lambda x: F.concat(x["path"], F.lit("\0"), x["bytes"].cast("string"), F.lit("\0"), x["sha256"], F.lit("\n"))
-    rows = F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256")))
-    return inventory.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(rows, line), ""), 256).alias("digest"), F.count("*").alias("n_files"))
+    A run's rows are sorted in one task, on disk if need be, and go through one hash as they come, so memory stays bounded however many they are.
+    Files that are repeated count each; a file without a path, size or hash is counted and not hashed.  ``tree_digest`` deals a run over tasks."""
+    line = F.concat("path", F.lit("\0"), F.col("bytes").cast("string"), F.lit("\0"), "sha256", F.lit("\n")).cast("binary")
+    own = [F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]
+    names = [f"_k{n}" for n in range(len(keys))]
+    rows = inventory.select(*own, F.col("path").alias("_p"), F.col("bytes").alias("_b"), F.col("sha256").alias("_s"), line.alias("_line"))
+    rows = rows.repartition(*names).sortWithinPartitions(*names, "_p", "_b", "_s").select(*names, "_line")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held, n, kinds = None, sha256(), 0, None
+
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(run, kinds, strict=True)), pa.array([held.hexdigest()]), pa.array([n], pa.int64())], [*names, "digest", "n_files"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in names]
+            columns = [batch.column(k).to_pylist() for k in names]
+            for at, text in enumerate(batch.column("_line").to_pylist()):
+                now = tuple(c[at] for c in columns)
+                if now != run:
+                    if run is not None:
+                        yield give()
+                    run, held, n = now, sha256(), 0
+                held.update(text or b"")
+                n += 1
+        if run is not None:
+            yield give()
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_line")
+    return rows.mapInArrow(digests, f"{fields}, digest string, n_files long").withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def tree_digest(inventory: DataFrame, keys: list[str]) -> DataFrame:

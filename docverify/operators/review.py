@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import violations
 from ..functions.text import blank
-from .graph import followed, or_false
+from .graph import followed, kept, or_false
 
 #: Names of a round's artefacts, the triage's words, and the caps.
 ARTEFACTS = (r"^PROMPT_.*_r(\d+)", r"^.*REVIEW_r(\d+)", r"^TRIAGE_r(\d+)")
@@ -75,12 +78,45 @@ def panel_gate(rollup: DataFrame, keys: list[str]) -> DataFrame:
     return n.withColumn("within_cap", F.col("n_decisions") <= DECISION_ITEMS)
 
 
+def _overlapping(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """_g, _p: pairs of one item whose places overlap, one to one.  In each round those match that are each other's best, by overlap and then by order."""
+    place = lambda d, n: d.where("start is not null and end is not null").select(*keys, "item", F.col("_id").alias(n), F.col("start").alias(f"{n}s"), F.col("end").alias(f"{n}e"))
+    size = F.least("_ge", "_pe") - F.greatest("_gs", "_ps")
+    left = kept(place(gold, "_g").join(place(predicted, "_p"), [*keys, "item"]).withColumn("_o", size).where("_o > 0").select("_g", "_p", "_o", (F.col("_gs") - F.col("_ps")).alias("_d")))
+    found = left.select("_g", "_p").limit(0)
+    while not left.isEmpty():
+        first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("_o"), F.abs("_d"), "_g", "_p"))
+        both = kept(left.withColumn("_1", first("_g")).withColumn("_2", first("_p")).where("_1 = 1 and _2 = 1").select("_g", "_p"))
+        found = found.unionByName(both)
+        left = kept(left.join(both.select("_g"), "_g", "left_anti").join(both.select("_p"), "_p", "left_anti"))
+    return found
+
+
 def reviewer_eval(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """rv6: one row: n_gold, n_matched, recall over gold blocking items, macro precision over documents, rejection rate of known false positives.
 
-    gold: keys, item, known_false; predicted: keys, item, adjudicated (valid-new is neutral).  Items are matched one to one by their keys and item."""
-    num = lambda d: d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "item").orderBy(F.lit(0))))
-    both = num(gold).withColumn("_g", F.lit(True)).join(num(predicted).withColumn("_p", F.lit(True)), [*keys, "item", "_n"], "full")
+    gold: keys, item, known_false; predicted: keys, item, adjudicated (valid-new is neutral); both may have start and end, where the finding is.
+    Findings of one item match one to one: those whose places overlap first, the most overlap first; then, of those left, in order: by place, true
+    gold items before known false ones, predictions not adjudicated before others.  The order of rows plays no part: rows that are equal in all this are alike."""
+    placed = {"start", "end"} <= set(gold.columns) & set(predicted.columns)
+    place = ["start", "end"] if placed else []
+    whole = lambda d, own: d.select(*keys, "item", own, *place)
+    gold, predicted = whole(gold, "known_false"), whole(predicted, "adjudicated")
+    if placed:  # a number for each row, by what it says
+        number = lambda d, own: kept(d.withColumn("_id", F.row_number().over(Window.partitionBy(*keys, "item").orderBy("start", "end", own))).withColumn("_id", F.struct(*keys, "item", "_id")))
+        gold, predicted = number(gold, "known_false"), number(predicted, "adjudicated")
+        pairs = kept(_overlapping(gold, predicted, keys).withColumn("_m", F.struct("_g", "_p")))
+        gold = gold.join(pairs.select(F.col("_g").alias("_id"), "_m"), "_id", "left").drop("_id")
+        predicted = predicted.join(pairs.select(F.col("_p").alias("_id"), "_m"), "_id", "left").drop("_id")
+        one = F.col("_m").isNull()
+    else:
+        one = F.lit(True)
+    mark = F.when(~one, F.xxhash64("_m")) if placed else F.lit(None).cast("long")
+    num = lambda d, own: d.withColumn("_x", mark).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "item", "_x").orderBy(*place, F.col(own).asc_nulls_first()))).drop("_m", *place)
+    g, p = num(gold, "known_false").withColumn("_g", F.lit(True)), num(predicted, "adjudicated").withColumn("_p", F.lit(True))
+    p = p.withColumnsRenamed({c: f"_p_{c}" for c in (*keys, "item", "_x", "_n")})
+    same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in ("_x", "_n")] + [F.col(c) == F.col(f"_p_{c}") for c in (*keys, "item")]
+    both = g.join(p, reduce(and_, same), "full").select(*(F.coalesce(c, f"_p_{c}").alias(c) for c in keys), "known_false", "adjudicated", "_g", "_p")
     g, p = or_false(F.col("_g") & ~F.col("known_false")), or_false(F.col("_p"))
     neutral = p & ~g & or_false(F.col("adjudicated") == "valid-new")
     per = both.groupBy(*keys).agg(F.count_if(g & p).alias("tp"), F.count_if(p & ~neutral).alias("np"), F.count_if(g).alias("ng"), F.count_if(or_false(F.col("known_false"))).alias("nf"), F.count_if(or_false(F.col("known_false")) & ~p).alias("rf"))

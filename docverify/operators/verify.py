@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import GRAM, grams, linear, matched
 from ..functions.rules import as_violation, repeated, union, violations
-from ..functions.text import blank, normalize_ws, strip
+from ..functions.text import blank, let, normalize_ws, strip
 
 #: Rows up to which a dictionary or a word list is broadcast.
 FEW = 100_000
@@ -20,32 +20,65 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
 
 
-def verbatim_match(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """vf2: doc_id, quote_idx, quote, verdict, label of quotes (doc_id, quote_idx, quote) against the sources (doc_id, source_ord, label, text) of the same doc_id.
+#: Words of a winnowed run, and runs of a window: RUN + WINDOW - 1 words in a row share a fingerprint wherever they stand; words of a run at most where there are fewer.
+RUN, WINDOW, FEWER = 5, 4, 3
 
-    FULL: the quote, white space normalised, is in a source; PARTIAL: its first max(8, 60 %) characters are; MISS otherwise and for a
-    blank quote.  The label is that of the first source in declared order.  A source without text is skipped.
 
-    No pair is made without reason: each quote meets only sources that hold the rarest of the whole words inside its cut, and
-    a quote without such a word those that hold a run of its characters."""
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of n words in a row, in order; none where there are fewer."""
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(n)))))
+    return F.when(F.size(words) < n, F.array().cast("array<bigint>")).otherwise(hashes)
+
+
+def _keys(words: Column, run: int) -> Column:
+    """What sources are found by: all runs of one to FEWER words, or the winnowed fingerprints of longer ones (the least hash of each window)."""
+    if run < RUN:
+        return F.array_distinct(_runs(words, run))
+    least = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - WINDOW + 1), lambda i: F.array_min(F.slice(r, i, WINDOW)))
+    return let(_runs(words, RUN), lambda r: F.when(F.size(r) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.array_distinct(least(r))))
+
+
+def _quotes(quotes: DataFrame) -> DataFrame:
+    """Adds nq (the quote, normalised), cut (its leading part), inner (the cut's whole words) and run, the words of a key by how many these are."""
     q = quotes.select("doc_id", "quote_idx", "quote", normalize_ws(F.col("quote")).alias("nq"))
     q = q.withColumn("cut", F.substring("nq", F.lit(1), F.greatest(F.lit(8), F.floor(F.length("nq") * F.lit(0.6)).cast("int"))))
     words = F.split("cut", " ")
-    q = q.withColumn("inner", F.when(F.size(words) >= 3, F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).otherwise(F.array().cast("array<string>")))
-    s = sources.where(F.col("text").isNotNull()).select("doc_id", "source_ord", "label", normalize_ws(F.col("text")).alias("ns"))
-
-    asked = q.select("doc_id", F.explode("inner").alias("word")).distinct()
-    held = s.select("doc_id", "source_ord", F.explode(F.array_distinct(F.split("ns", " "))).alias("word")).join(_small(asked), ["doc_id", "word"], "left_semi")
-    often = held.groupBy("doc_id", "word").agg(F.count("*").alias("df"))
-    rarest = q.select("doc_id", "quote_idx", F.explode("inner").alias("word")).join(often, ["doc_id", "word"], "left").groupBy("doc_id", "quote_idx").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r"))
-    pairs = rarest.where("r.df > 0").select("doc_id", "quote_idx", F.col("r.word").alias("word")).join(held, ["doc_id", "word"]).select("doc_id", "quote_idx", "source_ord")
-
+    q = q.withColumn("inner", F.when(F.size(words) >= 3, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>")))
+    return q.withColumn("run", F.when(F.size("inner") >= RUN + WINDOW - 1, RUN).when(F.size("inner") > 0, F.least(F.size("inner"), F.lit(FEWER))))
+
+
+def _candidates(q: DataFrame, s: DataFrame) -> DataFrame:
+    """doc_id, quote_idx, source_ord: of each quote the sources that hold the rarest of its keys, or for a quote without a whole word a run of its characters."""
+    pairs = None
+    for run in sorted(r["run"] for r in q.where("run is not null").select("run").distinct().collect()):  # four at most
+        own = q.where(F.col("run") == run).select("doc_id", "quote_idx", F.explode(_keys(F.col("inner"), run)).alias("key"))
+        held = s.select("doc_id", "source_ord", F.explode(_keys(F.split("ns", " "), run)).alias("key")).join(_small(own.select("doc_id", "key").distinct()), ["doc_id", "key"], "left_semi")
+        often = held.groupBy("doc_id", "key").agg(F.count("*").alias("df"))
+        # a key that no source has settles the quote: it is in none
+        rarest = own.join(often, ["doc_id", "key"], "left").groupBy("doc_id", "quote_idx").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r"))
+        found = rarest.where("r.df > 0").select("doc_id", "quote_idx", F.col("r.key").alias("key")).join(held, ["doc_id", "key"]).select("doc_id", "quote_idx", "source_ord")
+        pairs = found if pairs is None else pairs.unionByName(found)
     short = q.where((F.size("inner") == 0) & (F.col("nq") != "")).select("doc_id", "quote_idx", "cut", F.least(F.length("cut"), F.lit(GRAM)).alias("n"))
     for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # 1 to GRAM
         own = short.where(F.col("n") == n).select("doc_id", "quote_idx", F.substring("cut", 1, n).alias("gram"))
         runs = s.select("doc_id", "source_ord", F.explode(grams(F.col("ns"), n)).alias("gram")).join(_small(own.select("doc_id", "gram").distinct()), ["doc_id", "gram"], "left_semi")
-        pairs = pairs.unionByName(own.join(runs, ["doc_id", "gram"]).select("doc_id", "quote_idx", "source_ord"))
+        found = own.join(runs, ["doc_id", "gram"]).select("doc_id", "quote_idx", "source_ord")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return q.select("doc_id", "quote_idx").join(s.select("doc_id", "source_ord"), "doc_id").where(F.lit(False)) if pairs is None else pairs
+
+
+def verbatim_match(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """vf2: doc_id, quote_idx, quote, verdict, label of quotes (doc_id, quote_idx, quote) against the sources (doc_id, source_ord, label, text) of the same doc_id.
 
+    FULL: the quote, white space normalised, is in a source; PARTIAL: its first max(8, 60 %) characters are; MISS otherwise and for a
+    blank quote.  The label is that of the first source in declared order.  A source without text is skipped.
+
+    No pair is made without reason.  A cut of eight whole words or more meets sources by winnowed fingerprints: the least hash of every four
+    runs of five words, which any text that holds these words has too.  Shorter ones go by runs of up to three words, those without a whole word by
+    a run of characters; of a quote's keys the rarest counts.  So a quote of common words meets only sources that have them in that order."""
+    q = _quotes(quotes)
+    s = sources.where(F.col("text").isNotNull()).select("doc_id", "source_ord", "label", normalize_ws(F.col("text")).alias("ns"))
+    pairs = _candidates(q, s)
     held_by = pairs.join(q.select("doc_id", "quote_idx", "nq", "cut"), ["doc_id", "quote_idx"]).join(s, ["doc_id", "source_ord"]).where(F.contains("ns", "cut"))
     first = lambda c: F.min(F.when(c, F.struct("source_ord", "label")))["label"]
     best = held_by.groupBy("doc_id", "quote_idx").agg(first(F.contains("ns", "nq")).alias("full"), F.max(F.contains("ns", "nq")).alias("is_full"), first(F.lit(True)).alias("part"))

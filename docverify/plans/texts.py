@@ -62,8 +62,10 @@ SELECT 'run' AS run_id, sha256(string_agg(concat(part, chr(0), n, chr(0), digest
 
 @query("io4_snapshot_digest", TREE)
 def _(s, d):
-    own = docs(s, d)
-    return io.write_snapshot(own, new_folder(s, "snapshot"), "run", io.file_inventory(own))
+    folder = new_folder(s, "snapshot")
+    written = io.write_snapshot(docs(s, d), folder, "run")
+    again = io.read_snapshot(s, folder, "run")
+    return written.join(again.select(F.lit("run").alias("run_id")).distinct(), "run_id")
 
 
 @query("tx1_lines", f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, concat('L', lpad(CAST(line_no AS VARCHAR), CAST(greatest(2, len(CAST(line_no AS VARCHAR))) AS INTEGER), '0')) AS anchor, line, eol FROM {LINES}")

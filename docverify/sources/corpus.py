@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.integrity import tree_digest
 
+#: The file that makes a run complete.
+RECORD = "COMPLETE.json"
+
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "binaryFile", id_col: str | None = None, text_col: str = "text") -> DataFrame:
     """io1: documents (doc_id, path, text, sha256, n_bytes, valid) from files, or from a table of any Spark format.
@@ -52,10 +60,65 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.write.mode("overwrite").partitionBy("file_name").parquet(path)
 
 
-def write_snapshot(rows: DataFrame, path: str, run_id: str, inventory: DataFrame) -> DataFrame:
-    """io4: publishes a run once; a second attempt under the same id fails.
-
-    Complete only with Spark's marker and the digest row beside it; the digest is written last."""
-    rows.write.mode("errorifexists").parquet(f"{path}/{run_id}/rows")
-    tree_digest(inventory.withColumn("run_id", F.lit(run_id)), ["run_id"]).write.mode("errorifexists").parquet(f"{path}/{run_id}/digest")
-    return rows.sparkSession.read.parquet(f"{path}/{run_id}/digest")
+class SnapshotError(ValueError):
+    """A run that is there already, isn't complete, or isn't what its record says."""
+
+
+def stored_inventory(rows: DataFrame) -> DataFrame:
+    """path, bytes and sha256 of documents by their texts as they are, whatever columns of that kind the rows bring."""
+    return rows.select("path", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path, so any store that Spark reads will do."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def _digest(rows: DataFrame, run_id: str, inventory: Callable[[DataFrame], DataFrame]) -> tuple[str | None, int]:
+    found = tree_digest(inventory(rows).withColumn("run_id", F.lit(run_id)), ["run_id"]).first()
+    return (found["digest"], found["n_files"]) if found else (None, 0)
+
+
+def write_snapshot(rows: DataFrame, path: str, run_id: str, inventory: Callable[[DataFrame], DataFrame] = stored_inventory) -> DataFrame:
+    """io4: publishes a run once and returns run_id, digest, n_files; an id that is taken is an error.
+
+    Rows go to a folder of this attempt; their digest is that of what was stored, read again.  The run's one record, with the digest and
+    the attempt's name, is written last, by a create that fails where the file exists: of several writers one wins, the others' rows are
+    taken away, and what was left half-written has no record."""
+    spark, record = rows.sparkSession, f"{path}/{run_id}/{RECORD}"
+    fs, at = _file(spark, record)
+    if fs.exists(at):
+        raise SnapshotError(f"{run_id} is published already")
+    attempt = f"attempt-{uuid.uuid4().hex}"
+    rows.write.mode("errorifexists").parquet(f"{path}/{run_id}/{attempt}")
+    digest, n = _digest(spark.read.schema(rows.schema).parquet(f"{path}/{run_id}/{attempt}"), run_id, inventory)
+    text = json.dumps({"run_id": run_id, "rows": attempt, "digest": digest, "n_files": n, "end": True})
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as taken:
+        fs.delete(_file(spark, f"{path}/{run_id}/{attempt}")[1], True)
+        raise SnapshotError(f"{run_id} was published meanwhile") from taken
+    out.write(bytearray(text.encode()))
+    out.close()
+    return spark.createDataFrame([(run_id, digest, n)], "run_id string, digest string, n_files long")
+
+
+def read_snapshot(spark: SparkSession, path: str, run_id: str, inventory: Callable[[DataFrame], DataFrame] = stored_inventory) -> DataFrame:
+    """io4: rows of a complete run; one without a whole record, or whose rows don't give the record's digest and number, is an error."""
+    fs, at = _file(spark, f"{path}/{run_id}/{RECORD}")
+    if not fs.exists(at):
+        raise SnapshotError(f"{run_id} has no record: it is not there or not complete")
+    try:
+        record = json.loads("".join(r[0] for r in spark.read.text(f"{path}/{run_id}/{RECORD}").collect()))
+        same = record["run_id"] == run_id and record["end"] is True
+    except (ValueError, KeyError, TypeError) as broken:
+        raise SnapshotError(f"the record of {run_id} is broken off") from broken
+    if not same:
+        raise SnapshotError(f"the record of {run_id} speaks of another run")
+    if not fs.exists(_file(spark, f"{path}/{run_id}/{record['rows']}/_SUCCESS")[1]):
+        raise SnapshotError(f"the rows of {run_id} are not complete")
+    rows = spark.read.parquet(f"{path}/{run_id}/{record['rows']}")
+    if _digest(rows, run_id, inventory) != (record["digest"], record["n_files"]):
+        raise SnapshotError(f"the rows of {run_id} are not those of its record")
+    return rows

@@ -1,5 +1,7 @@
 """The library's own cases as small rows, and property tests against plain Python."""
 
+import hashlib
+import json
 import random
 import re
 import time
@@ -133,6 +135,24 @@ def test_verbatim_equals_the_nested_loop(spark):
     assert (row.n_declared, row.n_missing, row.blind) == (12, 1, False)
 
 
+def test_a_quote_of_common_words_meets_few_sources(spark):
+    """Every word, pair of words and run of three is in many sources; the quotes' own order is in one or two."""
+    rng = random.Random(12)
+    words = ["the", "of", "and", "to", "in", "a"]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(300)]
+    quotes = [" ".join(texts[i].split()[k : k + 40]) for i, k in ((3, 0), (70, 100), (299, 360))] + [" ".join(rng.choices(words, k=40)), " ".join(texts[5].split()[50:60]), "of the"]
+    q = spark.createDataFrame([(0, i, t) for i, t in enumerate(quotes)], "doc_id int, quote_idx int, quote string")
+    s = spark.createDataFrame([(0, i, str(i), t) for i, t in enumerate(texts)], "doc_id int, source_ord int, label string, text string")
+    own = verify._quotes(q)
+    assert [r.run for r in own.orderBy("quote_idx").collect()] == [5] * 4 + [3, None]
+    met = verify._candidates(own.where("run = 5"), s.withColumnRenamed("text", "ns")).count()
+    assert met < 150  # of 1,200 pairs, all of which share each word
+    found = {r.quote_idx: (r.verdict, r.label) for r in verify.verbatim_match(q, s).collect()}
+    first = lambda t: next((str(i) for i, x in enumerate(texts) if t in x), None)
+    assert found == {i: ("FULL", first(t)) if first(t) else ("MISS", None) for i, t in enumerate(quotes)}
+    assert verify.verbatim_match(q.limit(0), s).count() == 0 and verify.verbatim_match(q.where("quote_idx < 0").union(spark.createDataFrame([(0, 9, " ")], q.schema)), s).first().verdict == "MISS"
+
+
 def test_term_scan_equals_a_plain_scan(spark):
     terms = [("und", ["and"], ["hand", "land"]), ("x", ["aa"], []), ("y", ["na"], ["banana"])]
     lines = ["hand and land and", "aaaa", "banana na ana", "", "sand handand"]
@@ -230,14 +250,6 @@ def test_digest_does_not_depend_on_order(spark):
     assert make(rows) == make(rows[::-1]) != make(rows[:-1])
 
 
-def test_snapshot_is_written_once(spark, tmp_path):
-    docs = corpus.from_table(spark.createDataFrame([(1, "x")], "k int, t string"), "k", "t")
-    inventory = corpus.file_inventory(docs)
-    assert corpus.write_snapshot(docs, str(tmp_path), "r1", inventory).count() == 1
-    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
-        corpus.write_snapshot(docs, str(tmp_path), "r1", inventory)
-
-
 def test_corpus_flags_bytes_that_are_not_utf8(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"ok \xc3\xa9")
     (tmp_path / "b.md").write_bytes(b"bad \xff")
@@ -343,6 +355,91 @@ def test_patterns_take_time_linear_in_a_line(spark):
     assert time.time() - began < 30
 
 
+def test_nodes_between_cycles_are_on_none(spark):
+    """Two cycles joined by a path, by one node, and by long chains; self loops; random graphs against plain reachability."""
+    path = [(1, 1, 2), (1, 2, 1), (1, 2, 3), (1, 3, 4), (1, 4, 5), (1, 5, 6), (1, 6, 5), (2, 1, 1), (2, 1, 2), (2, 2, 3), (2, 3, 3)]
+    long = [(3, i, i + 1) for i in range(40)] + [(3, 12, 0), (3, 40, 30)]
+    rng = random.Random(15)
+    noise = [(k, rng.randint(0, 7), rng.randint(0, 7)) for k in (10, 11) for _ in range(9)]
+    edges = [*path, *long, *noise, (4, None, 1), (4, 2, None)]
+
+    def reach(k, start):
+        seen, todo = set(), [b for x, a, b in edges if x == k and a == start]
+        while todo:
+            if (n := todo.pop()) not in seen:
+                seen.add(n)
+                todo += [b for x, a, b in edges if x == k and a == n]
+        return seen
+
+    want = sorted({(k, n) for k, a, b in edges for n in (a, b) if n is not None and n in reach(k, n)})
+    found = got(on_cycles(spark.createDataFrame(edges, "k int, a int, b int"), ["k"], "a", "b"), "k", "node")
+    assert found == want and {n for k, n in found if k == 3} == {*range(13), *range(30, 41)} and {n for k, n in found if k == 1} == {1, 2, 5, 6}
+
+
+def test_a_snapshot_is_published_once_and_read_whole(spark, tmp_path):
+    docs = corpus.from_table(spark.createDataFrame([(i, f"text {i}") for i in range(50)], "id long, text string"), "id", "text")
+    root = f"file://{tmp_path}"
+    written = corpus.write_snapshot(docs, root, "r1").first()
+    assert written.n_files == 50 and corpus.read_snapshot(spark, root, "r1").count() == 50
+    with pytest.raises(corpus.SnapshotError, match="already"):
+        corpus.write_snapshot(docs.limit(1), root, "r1")
+    with pytest.raises(corpus.SnapshotError, match="not complete"):
+        corpus.read_snapshot(spark, root, "r0")
+    # half-written: rows without a record, and a record that breaks off
+    docs.write.parquet(f"{root}/r2/attempt-x")
+    with pytest.raises(corpus.SnapshotError, match="no record"):
+        corpus.read_snapshot(spark, root, "r2")
+    (tmp_path / "r2" / corpus.RECORD).write_text('{"run_id": "r2", "rows": "att')
+    with pytest.raises(corpus.SnapshotError, match="broken off"):
+        corpus.read_snapshot(spark, root, "r2")
+    # a changed row, and one that is gone
+    for name, other in (("r3", docs.withColumn("text", F.when(F.col("doc_id") == 7, "other").otherwise(F.col("text")))), ("r4", docs.where("doc_id <> 7"))):
+        corpus.write_snapshot(docs, root, name)
+        record = json.loads((tmp_path / name / corpus.RECORD).read_text())
+        other.write.mode("overwrite").parquet(f"{root}/{name}/{record['rows']}")
+        with pytest.raises(corpus.SnapshotError, match="not those of its record"):
+            corpus.read_snapshot(spark, root, name)
+
+
+def test_of_two_writers_of_a_snapshot_one_wins(spark, tmp_path, monkeypatch):
+    docs = corpus.from_table(spark.createDataFrame([(i, f"text {i}") for i in range(9)], "id long, text string"), "id", "text")
+    root, real = f"file://{tmp_path}", corpus._digest
+
+    def meanwhile(rows, run_id, inventory):  # another writer comes while this one works out its digest
+        monkeypatch.setattr(corpus, "_digest", real)
+        corpus.write_snapshot(docs.limit(4), root, "r")
+        return real(rows, run_id, inventory)
+
+    monkeypatch.setattr(corpus, "_digest", meanwhile)
+    with pytest.raises(corpus.SnapshotError, match="meanwhile"):
+        corpus.write_snapshot(docs, root, "r")
+    assert corpus.read_snapshot(spark, root, "r").count() == 4
+    assert len([p for p in (tmp_path / "r").iterdir() if p.name.startswith("attempt-")]) == 1
+
+
+def test_digest_of_a_run_of_many_files_streams(spark):
+    rows = spark.range(200_000).select(F.lit(None).cast("string").alias("run"), F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), "id", F.lit("ab").alias("sha256")).withColumnRenamed("id", "bytes")
+    rows = rows.unionByName(spark.createDataFrame([("r", "é", 1, "x"), ("r", "z", 2, "y"), ("r", "z", 2, "y"), ("r", None, 2, "y")], "run string, path string, bytes long, sha256 string"))
+    found = {r.run: (r.digest, r.n_files) for r in integrity.aggregate_digest(rows.repartition(7), ["run"]).collect()}
+    line = lambda p, b, s: f"{p}\0{b}\0{s}\n"
+    many = "".join(line(p, p[2:], "ab") for p in sorted(f"p/{i}" for i in range(200_000)))
+    assert found == {None: (hashlib.sha256(many.encode()).hexdigest(), 200_000), "r": (hashlib.sha256((line("z", 2, "y") * 2 + line("é", 1, "x")).encode()).hexdigest(), 4)}
+
+
+def test_findings_match_one_to_one_whatever_the_order_of_rows(spark):
+    gold = [(1, "x", True, 50, 60), (1, "x", False, 10, 20), (1, "x", False, 15, 40), (1, "y", False, None, None), (1, "y", True, None, None), (2, "z", False, 1, 5), (2, "w", True, 3, 9)]
+    said = [(1, "x", None, 18, 42), (1, "x", "valid-new", 12, 16), (1, "x", None, 90, 95), (1, "y", None, None, None), (2, "z", None, 70, 80), (2, "z", None, 4, 6)]
+    schema = ("d int, item string, known_false boolean, start int, end int", "d int, item string, adjudicated string, start int, end int")
+    found = set()
+    for seed in range(3):
+        rng = random.Random(seed)
+        g, p = rng.sample(gold, len(gold)), rng.sample(said, len(said))
+        found.add(tuple(review.reviewer_eval(spark.createDataFrame(g, schema[0]).repartition(3), spark.createDataFrame(p, schema[1]).repartition(2), ["d"]).first()))
+        found.add(tuple(review.reviewer_eval(spark.createDataFrame(g, schema[0]).repartition(2).drop("start", "end"), spark.createDataFrame(p, schema[1]).drop("start", "end"), ["d"]).first()))
+    # by place 18-42 and 12-16 match x's true ones and 90-95 is left for the known false one; without places the known false one gets what is neutral
+    assert found == {(4, 4, 1.0, (3 / 4 + 1 / 2) / 2, 2 / 3), (4, 4, 1.0, (1 + 1 / 2) / 2, 2 / 3)}
+
+
 def test_tree_digest_sees_every_change_and_no_order(spark):
     rows = [(1, f"p{i}", i, f"h{i}") for i in range(300)]
     of = lambda x: integrity.tree_digest(spark.createDataFrame(x, "run_id long, path string, bytes long, sha256 string"), ["run_id"]).first()
