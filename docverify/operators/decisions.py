@@ -115,7 +115,3 @@ def all_findings(decisions: DataFrame, edges: DataFrame, honored: DataFrame) ->
         *(as_violation(bare.where(F.col("severity") == s), KEY, "unlabeled", "registry_id", F.col("n"), s) for s in ("error", "warning")),
         as_violation(judged.where("reason is not null"), KEY, "edge_not_honoured", "old", F.col("reason"), "warning"), as_violation(judged.where("date_inverted"), KEY, "date_inverted", "old", F.col("new"), "warning"),
     )
-
-
-def last_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -143,7 +143,3 @@ def receipt_verdict(receipts: DataFrame, found: DataFrame) -> DataFrame:
     n = found.groupBy(*KEY).agg(F.count("*").alias("n"))
     verdict = F.when(F.col("schema_version") == 1, "legacy").when(F.coalesce("n", F.lit(0)) > 0, "failed").when(~F.col("editing_state").eqNullSafe("frozen"), "deferred").otherwise("done")
     return receipts.join(n, KEY, "left").select(*KEY, verdict.alias("verdict"))
-
-
-def repeated_records(receipt_records: DataFrame) -> DataFrame:
-    return repeated(receipt_records, KEY, "record_id", "record_repeated")

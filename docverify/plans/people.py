@@ -46,6 +46,11 @@ def _(s, d):
     return cu.envelope_violations(items(s, d), section_defs(s, d), files(s, d))
 
 
+@query("cu1_item_index", f"SELECT run_id, iid AS item_id, perspective, CASE WHEN run_id % 9 = 0 THEN 's9' ELSE section END AS target_section, CAST(row_number() OVER (PARTITION BY run_id ORDER BY iid) AS INTEGER) AS pos FROM {IT} i")
+def _(s, d):
+    return cu.item_index(items(s, d))
+
+
 def clean_items(s, d):
     return rows(s, d, "contrib").select("run_id", "perspective", "item_no", "item_id", F.col("section").alias("target_section"), "consideration")
 

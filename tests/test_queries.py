@@ -10,7 +10,7 @@ from docverify.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
 #: A query of each family; the driver holds all against their SQL.
-SOME = ["tx3_sections", "tx4_blockquotes", "vf2_verbatim_match", "vf4_term_scan", "vf8_pattern_scan", "an3_missing_anchors", "dr4_honored_edges", "lg10_set_equality", "lg12_counter_evidence", "rc8_round_context", "gp1_manifest_violations", "sc1_section_scores", "pb2_publish_plan", "in5_port_drift", "cu4_curated_items", "cv3_answer_states", "rv4_convergence", "st1_trace_order"]
+SOME = ["tx3_sections", "tx7_unstable_ids", "vf5_term_usage", "vf6_term_dictionary", "cu1_envelope_violations", "io4_snapshot_digest", "rv6_reviewer_eval", "tx4_blockquotes", "vf2_verbatim_match", "vf4_term_scan", "vf8_pattern_scan", "an3_missing_anchors", "dr4_honored_edges", "lg10_set_equality", "lg12_counter_evidence", "rc8_round_context", "gp1_manifest_violations", "sc1_section_scores", "pb2_publish_plan", "in5_port_drift", "cu4_curated_items", "cv3_answer_states", "rv4_convergence", "st1_trace_order"]
 
 
 def test_every_query_has_its_sql():
