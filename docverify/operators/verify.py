@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.matching import GRAM, grams, linear, matched
 from ..functions.rules import as_violation, repeated, union, violations
 from ..functions.text import blank, let, normalize_ws, strip
+from .graph import kept
 
 #: Rows up to which a dictionary or a word list is broadcast.
 FEW = 100_000
@@ -47,12 +48,47 @@ def _quotes(quotes: DataFrame) -> DataFrame:
     return q.withColumn("run", F.when(F.size("inner") >= RUN + WINDOW - 1, RUN).when(F.size("inner") > 0, F.least(F.size("inner"), F.lit(FEWER))))
 
 
-def _candidates(q: DataFrame, s: DataFrame) -> DataFrame:
+#: Parts that an index's keys and texts are dealt into; a batch of quotes reads those that it needs.
+PARTS = 64
+
+
+def _part(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(PARTS)).cast("int")
+
+
+def write_index(sources: DataFrame, path: str) -> None:
+    """What ``verbatim_match`` works out of sources, written once for many batches of quotes: their normalised texts, and their keys of every kind."""
+    s = _readable(sources).withColumn("part", _part("doc_id", "source_ord"))
+    s.repartition("part").write.mode("errorifexists").partitionBy("part").parquet(f"{path}/texts")
+    texts = sources.sparkSession.read.schema(s.schema).parquet(f"{path}/texts")
+    runs = F.array(*(F.struct(F.lit(run).alias("run"), _keys(F.split("ns", " "), run).alias("keys")) for run in (*range(1, FEWER + 1), RUN)))
+    keys = texts.select("doc_id", "source_ord", F.explode(runs).alias("x")).select("doc_id", "source_ord", "x.run", F.explode("x.keys").alias("key")).withColumn("part", _part("key"))
+    keys.repartition("run", "part").sortWithinPartitions("run", "part", "key").write.mode("errorifexists").partitionBy("run", "part").parquet(f"{path}/keys")
+    # a part without rows, for the schema where there are no sources
+    s.drop("part").limit(0).write.parquet(f"{path}/texts/part=-1")
+    keys.drop("run", "part").limit(0).write.parquet(f"{path}/keys/run=0/part=-1")
+
+
+def _readable(sources: DataFrame) -> DataFrame:
+    return sources.where(F.col("text").isNotNull()).select("doc_id", "source_ord", "label", normalize_ws(F.col("text")).alias("ns"))
+
+
+def _held(s: DataFrame, asked: DataFrame, run: int, index: str | None) -> DataFrame:
+    """doc_id, source_ord, key of the keys asked for (doc_id, key), from the texts or from an index."""
+    if index is None:
+        return s.select("doc_id", "source_ord", F.explode(_keys(F.split("ns", " "), run)).alias("key")).join(_small(asked), ["doc_id", "key"], "left_semi")
+    asked = asked.withColumn("part", _part("key"))
+    keys = asked.sparkSession.read.parquet(f"{index}/keys").where(F.col("run") == run)
+    parts = [r["part"] for r in asked.select("part").distinct().collect()]  # PARTS at most
+    return keys.where(F.col("part").isin(parts)).join(_small(asked), ["part", "doc_id", "key"], "left_semi").select("doc_id", "source_ord", "key")
+
+
+def _candidates(q: DataFrame, s: DataFrame, index: str | None = None) -> DataFrame:
     """doc_id, quote_idx, source_ord: of each quote the sources that hold the rarest of its keys, or for a quote without a whole word a run of its characters."""
     pairs = None
     for run in sorted(r["run"] for r in q.where("run is not null").select("run").distinct().collect()):  # four at most
         own = q.where(F.col("run") == run).select("doc_id", "quote_idx", F.explode(_keys(F.col("inner"), run)).alias("key"))
-        held = s.select("doc_id", "source_ord", F.explode(_keys(F.split("ns", " "), run)).alias("key")).join(_small(own.select("doc_id", "key").distinct()), ["doc_id", "key"], "left_semi")
+        held = _held(s, own.select("doc_id", "key").distinct(), run, index)
         often = held.groupBy("doc_id", "key").agg(F.count("*").alias("df"))
         # a key that no source has settles the quote: it is in none
         rarest = own.join(often, ["doc_id", "key"], "left").groupBy("doc_id", "quote_idx").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r"))
@@ -67,7 +103,7 @@ def _candidates(q: DataFrame, s: DataFrame) -> DataFrame:
     return q.select("doc_id", "quote_idx").join(s.select("doc_id", "source_ord"), "doc_id").where(F.lit(False)) if pairs is None else pairs
 
 
-def verbatim_match(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+def verbatim_match(quotes: DataFrame, sources: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """vf2: doc_id, quote_idx, quote, verdict, label of quotes (doc_id, quote_idx, quote) against the sources (doc_id, source_ord, label, text) of the same doc_id.
 
     FULL: the quote, white space normalised, is in a source; PARTIAL: its first max(8, 60 %) characters are; MISS otherwise and for a
@@ -75,10 +111,17 @@ def verbatim_match(quotes: DataFrame, sources: DataFrame) -> DataFrame:
 
     No pair is made without reason.  A cut of eight whole words or more meets sources by winnowed fingerprints: the least hash of every four
     runs of five words, which any text that holds these words has too.  Shorter ones go by runs of up to three words, those without a whole word by
-    a run of characters; of a quote's keys the rarest counts.  So a quote of common words meets only sources that have them in that order."""
+    a run of characters; of a quote's keys the rarest counts.  So a quote of common words meets only sources that have them in that order.
+
+    ``index``: a folder that ``write_index`` made of the sources, in their place: keys are read from the parts that the quotes ask for, texts from those
+    of the candidates; only quotes without a whole word read all texts."""
     q = _quotes(quotes)
-    s = sources.where(F.col("text").isNotNull()).select("doc_id", "source_ord", "label", normalize_ws(F.col("text")).alias("ns"))
-    pairs = _candidates(q, s)
+    s = _readable(sources) if index is None else quotes.sparkSession.read.parquet(f"{index}/texts")
+    pairs = _candidates(q, s, index)
+    if index is not None:
+        pairs = kept(pairs.withColumn("part", _part("doc_id", "source_ord")))
+        s = s.where(F.col("part").isin([r["part"] for r in pairs.select("part").distinct().collect()])).drop("part")  # PARTS at most
+        pairs = pairs.drop("part")
     held_by = pairs.join(q.select("doc_id", "quote_idx", "nq", "cut"), ["doc_id", "quote_idx"]).join(s, ["doc_id", "source_ord"]).where(F.contains("ns", "cut"))
     first = lambda c: F.min(F.when(c, F.struct("source_ord", "label")))["label"]
     best = held_by.groupBy("doc_id", "quote_idx").agg(first(F.contains("ns", "nq")).alias("full"), F.max(F.contains("ns", "nq")).alias("is_full"), first(F.lit(True)).alias("part"))

@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions.text import fingerprint
 from ..operators.graph import new_folder
 from ..operators.structure import lines
-from ..operators.verify import pattern_scan, term_scan, verbatim_match
+from ..operators.verify import pattern_scan, term_scan, verbatim_match, write_index
 
 #: The events in the order that a run must take, and the lenses.
 INTAKE, GATE, CANDIDATES, LENSES = "intake", "input_gate", "candidates", ("L1", "L2", "L3")
@@ -107,11 +107,12 @@ def run_to_end(make: Callable[[DataFrame], DataFrame], rows: DataFrame) -> DataF
 
 
 def verbatim_stream_to_end(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """st4: vf2 of arriving quotes against static sources: each micro-batch is matched as a batch and appended under its number, so a batch that runs twice is written once."""
+    """st4: vf2 of arriving quotes against static sources, of which an index is written once: each micro-batch is matched against that and appended under its number, so a batch that runs twice is written once."""
     place = _place(quotes)
+    write_index(sources, f"{place}/index")
 
     def match(batch: DataFrame, number: int) -> None:
-        verbatim_match(batch, sources).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+        verbatim_match(batch, index=f"{place}/index").write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
     _arriving(quotes, place).writeStream.foreachBatch(match).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     return quotes.sparkSession.read.parquet(f"{place}/out").drop("batch")
