@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import fingerprint
@@ -19,6 +19,8 @@ from ..operators.verify import pattern_scan, term_scan, verbatim_match, write_in
 INTAKE, GATE, CANDIDATES, LENSES = "intake", "input_gate", "candidates", ("L1", "L2", "L3")
 RUN = ["run_id"]
 IDLE_MS = 3_600_000
+#: The setting for the state store and the store that keeps entries one by one.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 FOUND = StructType([StructField("run_id", LongType()), StructField("violation", StringType()), StructField("seq", LongType())])
 
 
@@ -49,34 +51,62 @@ def _judge(event: str, seen: set[str]) -> str | None:
     return next((name for test, name in tests if test), None)
 
 
-def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
-    """One run: its state is the number awaited, what was seen before it, whether the run was reported, and events that came too soon."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    awaited, seen, reported, early = state.get if state.exists else (1, [], False, [])
-    seen, waiting = set(seen), {int(n): e for n, e in (x.split(":", 1) for x in early)}
-    for frame in frames:
-        if not reported:  # what was taken already may come again
-            waiting.update((int(n), e) for n, e in zip(frame["seq"], frame["event"], strict=True) if n >= awaited)
-    found = None
-    while not reported and awaited in waiting:
-        event = waiting.pop(awaited)
-        if found := _judge(event, seen):
-            reported = True
-            yield pd.DataFrame({"run_id": [key[0]], "violation": [found], "seq": [awaited]})
-        seen.add(event)
-        awaited += 1
-    state.update((awaited, sorted(seen), reported, [] if reported else [f"{n}:{e}" for n, e in sorted(waiting.items())]))
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
+class Order(StatefulProcessor):
+    """One run: a value with the number awaited, what was seen before it, and whether the run was reported; and a map of the events that came too soon, an entry each."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "awaited long, seen array<string>, reported boolean")
+        self.early = handle.getMapState("early", "seq long", "event string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        awaited, seen, reported = self.run.get() if self.run.exists() else (1, [], False)
+        seen, found = set(seen), []
+        for frame in rows:
+            if reported:
+                continue
+            # what was taken already may come again
+            came = {int(n): e for n, e in zip(frame["seq"], frame["event"], strict=True) if n >= awaited}
+            while not reported and (awaited in came or self.early.containsKey((awaited,))):
+                if (event := came.pop(awaited, None)) is None:
+                    event = self.early.getValue((awaited,))[0]
+                self.early.removeKey((awaited,))
+                if broken := _judge(event, seen):
+                    reported = True
+                    found.append((key[0], broken, awaited))
+                seen.add(event)
+                awaited += 1
+            if not reported:
+                for n, event in came.items():
+                    self.early.updateValue((n,), (event,))
+        if reported:
+            self.early.clear()
+        self.run.update((awaited, sorted(seen), reported))
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame(found, columns=FOUND.names)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.run.clear()
+        self.early.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def trace_order_stream(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """st2: the rows of st1 as they come up.  Events count in the order of seq, from 1 without gaps, whatever order they arrive in; repeated ones are passed over; a run that
-    has been idle for ``idle_ms`` is forgotten.  None for a stream that ends (availableNow): a timer would keep it going."""
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy(*RUN).applyInPandasWithState(lambda k, f, s: follow(k, f, s, idle_ms), FOUND, "awaited long, seen array<string>, reported boolean, early array<string>", "append", timeout)
+    has been idle for ``idle_ms`` is forgotten.  None for a stream that ends (availableNow): a timer would keep it going.
+
+    An early event is one entry of state, written when it comes and removed when its turn comes; a batch rewrites none of the others.  The
+    stream needs the state store named in STORE, which the session must name when the stream starts (``run_to_end`` does)."""
+    return events.groupBy(*RUN).transformWithStateInPandas(Order(idle_ms), FOUND, "append", "processingTime" if idle_ms else "none")
 
 
 def scan_stream(docs: DataFrame, terms: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
@@ -102,7 +132,14 @@ def run_to_end(make: Callable[[DataFrame], DataFrame], rows: DataFrame) -> DataF
     """Lets rows arrive as a file stream, takes all that are there, and returns what the stream wrote."""
     place = _place(rows)
     out = make(_arriving(rows, place))
-    out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    conf = rows.sparkSession.conf
+    before = conf.get(STORE[0])
+    conf.set(*STORE)
+    try:
+        stream = out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    finally:
+        conf.set(STORE[0], before)
+    stream.awaitTermination()
     return rows.sparkSession.read.schema(out.schema).parquet(f"{place}/out")
 
 
