@@ -12,8 +12,8 @@ several levels are walked in one pass.  Then nodes are counted:
   own block of the node: this only saves work), and after that documents that still have a likely partner in another class are
   compared exhaustively, with their full sets, inside the node;
 * large ones branch further, and their documents start as many further trees, on positions that no tree has used, as that depth asks for;
-* what is compared exhaustively is first cut into blocks where it is over 2,048 documents, and every two blocks are a node of their own,
-  so no task's work grows with a node; after the last pass that is all that is left, whatever its size.
+* what is compared exhaustively is first cut into blocks where it is over 2,048 documents, or over HEAVY shingles, and every two blocks are
+  a node of their own, so neither a task's work nor its memory grows with a node; after the last pass that is all that is left, whatever its size.
 
 Pairs are held against their signatures first, then against the full shingle sets, and only the latter makes a link.
 No step emits the pairs of a node: rows and links grow with the documents, however large a group is.
@@ -31,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import joined, settled
@@ -40,6 +40,8 @@ from .shingles import U, minhash, minhash_factors, mixed, shingle_sets
 
 #: Signature positions that trees branch by, and those that similarity is estimated by (of these a byte each is kept), trees, levels walked in one pass, documents up to which a node is compared exhaustively, and up to which a task takes it whole.
 POSITIONS, MARKS, TREES, LEVELS, SMALL, WHOLE = 64, 256, 16, 3, 4096, 2048
+#: Shingles up to which a node's full sets are held by one task (32 MB, and about six times that while they are counted), and two documents.
+HEAVY = 4_000_000
 #: A node takes a second position this often; four standard errors of the signature below the least similarity.
 SECOND, SLACK = 0.25, 0.1
 #: Chance at most that a pair of the least similarity shares no node at a depth that nodes branch to.
@@ -141,6 +143,17 @@ def _blocks(rows: DataFrame, small: int) -> DataFrame:
     return rows.where(~large).select("node", "id", "label").unionByName(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "label"))
 
 
+def _light(rows: DataFrame, heavy: int) -> DataFrame:
+    """node, id and label of rows (node, id, label, n), of nodes of bounded size: nodes with over ``heavy`` shingles are cut into blocks of half
+    that many and one document at most, filled in the order of ids; every two blocks are a node."""
+    node = Window.partitionBy("node")
+    before = F.coalesce(F.sum("n").over(node.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = rows.withColumn("half", F.when(F.sum("n").over(node) > heavy, F.floor(before * 2 / heavy)).otherwise(0))
+    cut = cut.withColumn("own", F.dense_rank().over(node.orderBy("half")).cast("long") - 1).withColumn("count", F.max("own").over(node) + 1)
+    paired = cut.where("count > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).where("own <> other")
+    return cut.where("count = 1").select("node", "id", "label").unionByName(paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "label"))
+
+
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough."""
 
@@ -182,7 +195,7 @@ def _across(rows: DataFrame, least: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id and own (the full set, sorted) of the wanted ids; settled."""
+    """id, n (shingles) and own (the full set, sorted) of the wanted ids; settled."""
     wanted = settled(wanted.distinct(), "dup-wanted")
     few = wanted.count() <= FEW
 
@@ -190,9 +203,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist(), width)], pa.binary())], ["id", "own"])
+                sets = shingle_sets(part.column("text").to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "own"])
 
-    return settled(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(whole, "id long, own binary"), "dup-sets")
+    return settled(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(whole, "id long, n long, own binary"), "dup-sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -262,7 +276,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], numbers: list[str], data: str) ->
                 rest.append(part)
 
 
-def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, passes: int = PASSES, whole: int = WHOLE) -> DataFrame:
+def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, trees: int = TREES, levels: int = LEVELS, small: int = SMALL, passes: int = PASSES, whole: int = WHOLE, heavy: int = HEAVY) -> DataFrame:
     """id and label of those of the rows (id, sig, marks) that a link joins to another; docs: (id, text)."""
     least = percent / 100 - SLACK
     labels = docs.sparkSession.createDataFrame([], "id long, label long")
@@ -303,7 +317,9 @@ def linked_classes(docs: DataFrame, sigs: DataFrame, width: int, percent: int, t
         rest = mixed_of(rest.select("node", "id", "size"))
         pieces = settled(_blocks(rest.where(done), whole), "dup-pieces")
         alike = settled(_across(pieces.join(marks, "id"), least).select("node", "id").join(pieces.select("node", "id", "label"), ["node", "id"]), "dup-near")
-        taken(_exact(alike.join(full_sets(docs, alike.select("id"), width), "id"), percent))
+        sets = full_sets(docs, alike.select("id"), width)
+        light = _light(alike.join(sets.select("id", "n"), "id"), heavy)
+        taken(_exact(light.join(sets.select("id", "own"), "id"), percent))
         frontier = rest.where(F.col("size") > small).select("node", "id")
         if turn == passes or frontier.isEmpty():
             return labels

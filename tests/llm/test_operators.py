@@ -431,14 +431,30 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert {i: (r.component_id, r.n_shingles, r.kept) for i, r in found.items()} == {i: (root(i), len(sets[i]), root(i) == i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("passes", [2, 0])
-def test_links_of_large_mixed_nodes_equal_brute_force(spark, passes):
+def test_heavy_nodes_are_cut_by_shingles_and_keep_every_pair(spark):
+    rng = random.Random(4)
+    rows = [(1, i, i % 3, rng.randint(1, 60)) for i in range(40)] + [(1, 99, 0, 900), (2, 1, 1, 5), (2, 2, 2, 7), (3, 1, 1, 700)]
+    size = {(node, i): n for node, i, _, n in rows}
+    parts = {}
+    for r in neardup._light(spark.createDataFrame(rows, "node long, id long, label long, n long"), 200).collect():
+        parts.setdefault(r.node, set()).add((r.id, r.label))
+    assert parts.pop(2) == {(1, 1), (2, 2)}
+    weight = sorted(sum(size.get((1, i), 700) for i, _ in p) - max(size.get((1, i), 700) for i, _ in p) for p in parts.values())
+    assert weight[-1] <= 200 + 60
+    met = {(a, b) for p in parts.values() for a, _ in p for b, _ in p if a < b}
+    ids = [*range(40), 99]
+    assert met == {(a, b) for a in ids for b in ids if a < b}
+    assert all(label == (i % 3 if i < 40 else 0) for p in parts.values() for i, label in p if len(p) > 1)
+
+
+@pytest.mark.parametrize(("passes", "heavy"), [(2, neardup.HEAVY), (0, 250)])
+def test_links_of_large_mixed_nodes_equal_brute_force(spark, passes, heavy):
     """Thirty pairs of similarity 0.8 in texts that are all alike: no node is small at first."""
     common = [f"c{i}" for i in range(88)]
     texts = [" ".join([*common, *(f"f{i // 2}x{k}" for k in range(2)), *(f"d{i}x{k}" for k in range(11))]) for i in range(60)]
     own = docs(spark, texts).select(F.col("doc_id").alias("id"), "text")
     sigs = neardup.settled(neardup.signatures(own, 1), "test")
-    found = {r.id: r.label for r in neardup.linked_classes(own, sigs.select("id", "sig", "marks"), 1, 80, trees=4 if passes else 16, small=8, passes=passes, whole=6).collect()}
+    found = {r.id: r.label for r in neardup.linked_classes(own, sigs.select("id", "sig", "marks"), 1, 80, trees=4 if passes else 16, small=8, passes=passes, whole=6, heavy=heavy).collect()}
     assert found == {i: i // 2 * 2 for i in range(60)}
 
 
