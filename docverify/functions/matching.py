@@ -59,6 +59,30 @@ def matched(rows: DataFrame, words: DataFrame, col: str, chars: int = CHARS) ->
     return rows.mapInArrow(find, f"{fields}, hits {HITS}")
 
 
+def holders(rows: DataFrame, words: list[str], col: str) -> DataFrame:
+    """Rows without ``col`` and with ``word``: each word, once, that the text in ``col`` holds when its white space is normalised.
+
+    A text is normalised and read once for all words where it lies; it moves no further.  The words go to every worker, so the caller looks at
+    their size (CHARS).  A null text holds none."""
+    ids = [c for c in rows.columns if c != col]
+    sent, key = rows.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(key, sent.value) if sent.value else None
+        for batch in batches:
+            places, hits = [], []
+            for i, text in enumerate(batch.column(col) if automaton else ()):
+                # str.split parts at the same characters as normalize_ws
+                if own := {w for _, w in automaton.iter(" ".join((text.as_py() or "").split()))}:
+                    places += [i] * len(own)
+                    hits += own
+            kept = batch.select(ids).take(pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hits, pa.string())], [*ids, "word"])
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ids)
+    return rows.mapInArrow(find, f"{fields}, word string")
+
+
 def grams(text: Column, n: int) -> Column:
     """Distinct runs of n characters."""
     chars = F.split(text, "")

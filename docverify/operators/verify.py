@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Collection, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.matching import GRAM, grams, linear, matched
+from ..functions.matching import CHARS, GRAM, grams, holders, linear, matched
 from ..functions.rules import as_violation, repeated, union, violations
-from ..functions.text import blank, let, normalize_ws, strip
+from ..functions.text import blank, normalize_ws, strip
 from .graph import kept
 
 #: Rows up to which a dictionary or a word list is broadcast.
@@ -25,18 +30,50 @@ def _small(rows: DataFrame) -> DataFrame:
 RUN, WINDOW, FEWER = 5, 4, 3
 
 
-def _runs(words: Column, n: int) -> Column:
-    """Hashes of n words in a row, in order; none where there are fewer."""
-    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(n)))))
-    return F.when(F.size(words) < n, F.array().cast("array<bigint>")).otherwise(hashes)
+#: Keys in a batch that leaves a task.
+BATCH = 200_000
+
+
+def _keys(words: list[str], run: int) -> np.ndarray:
+    """What sources are found by: all runs of one to FEWER words, or the winnowed fingerprints of longer ones (the least hash of each window); distinct hashes of 64 bits."""
+    hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    n = len(words) - run + 1
+    if n < (WINDOW if run >= RUN else 1):
+        return np.empty(0, np.int64)
+    runs = hashes[:n]
+    for j in range(1, run):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+        runs ^= runs >> np.uint64(29)
+    if run >= RUN:
+        runs = np.minimum.reduce([runs[j : n - WINDOW + 1 + j] for j in range(WINDOW)])
+    return np.unique(runs).view(np.int64)
+
+
+def _keyed(rows: DataFrame, col: str, run: int) -> DataFrame:
+    """Rows without ``col`` and with ``key``: each key of the words in ``col``, which single blanks part."""
+    ids = [c for c in rows.columns if c != col]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, found, n = [], [], 0
+            own = batch.select(ids)
+
+            def out() -> pa.RecordBatch:
+                at = own.take(pa.array(np.repeat(places, [len(f) for f in found]), pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*at.columns, pa.array(np.concatenate(found), pa.int64())], [*ids, "key"])  # noqa: B023
 
+            for i, text in enumerate(batch.column(col)):
+                places.append(i)
+                found.append(_keys(text.as_py().split(" "), run))
+                n += len(found[-1])
+                if n >= BATCH:
+                    yield out()
+                    places, found, n = [], [], 0
+            if found:
+                yield out()
 
-def _keys(words: Column, run: int) -> Column:
-    """What sources are found by: all runs of one to FEWER words, or the winnowed fingerprints of longer ones (the least hash of each window)."""
-    if run < RUN:
-        return F.array_distinct(_runs(words, run))
-    least = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - WINDOW + 1), lambda i: F.array_min(F.slice(r, i, WINDOW)))
-    return let(_runs(words, RUN), lambda r: F.when(F.size(r) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.array_distinct(least(r))))
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ids)
+    return rows.mapInArrow(find, f"{fields}, key long")
 
 
 def _quotes(quotes: DataFrame) -> DataFrame:
@@ -56,17 +93,30 @@ def _part(*cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(PARTS)).cast("int")
 
 
-def write_index(sources: DataFrame, path: str) -> None:
-    """What ``verbatim_match`` works out of sources, written once for many batches of quotes: their normalised texts, and their keys of every kind."""
+#: The kinds of keys: words of a run.
+KINDS = (*range(1, FEWER + 1), RUN)
+
+
+def write_index(sources: DataFrame, path: str, kinds: tuple[int, ...] = KINDS) -> None:
+    """What ``verbatim_match`` works out of sources, written once for many batches of quotes: their normalised texts, and their keys of these kinds.  Others may follow by ``write_keys``."""
     s = _readable(sources).withColumn("part", _part("doc_id", "source_ord"))
     s.repartition("part").write.mode("errorifexists").partitionBy("part").parquet(f"{path}/texts")
-    texts = sources.sparkSession.read.schema(s.schema).parquet(f"{path}/texts")
-    runs = F.array(*(F.struct(F.lit(run).alias("run"), _keys(F.split("ns", " "), run).alias("keys")) for run in (*range(1, FEWER + 1), RUN)))
-    keys = texts.select("doc_id", "source_ord", F.explode(runs).alias("x")).select("doc_id", "source_ord", "x.run", F.explode("x.keys").alias("key")).withColumn("part", _part("key"))
-    keys.repartition("run", "part").sortWithinPartitions("run", "part", "key").write.mode("errorifexists").partitionBy("run", "part").parquet(f"{path}/keys")
     # a part without rows, for the schema where there are no sources
     s.drop("part").limit(0).write.parquet(f"{path}/texts/part=-1")
-    keys.drop("run", "part").limit(0).write.parquet(f"{path}/keys/run=0/part=-1")
+    for run in kinds:
+        write_keys(sources.sparkSession, path, run)
+
+
+def write_keys(spark: SparkSession, path: str, run: int) -> None:
+    """Adds the keys of one kind to an index; what an attempt that failed left of them is replaced."""
+    keys = _keyed(spark.read.parquet(f"{path}/texts").select("doc_id", "source_ord", "ns"), "ns", run).withColumn("part", _part("key"))
+    keys.repartition("part").sortWithinPartitions("part", "key").write.mode("overwrite").partitionBy("part").parquet(f"{path}/keys/run={run}")
+    keys.drop("part").limit(0).write.mode("overwrite").parquet(f"{path}/keys/run={run}/part=-1")
+
+
+def kinds_of(quotes: DataFrame) -> list[int]:
+    """The kinds of keys that these quotes are sought by, four at most."""
+    return sorted(r["run"] for r in _quotes(quotes).where("run is not null").select("run").distinct().collect())
 
 
 def _readable(sources: DataFrame) -> DataFrame:
@@ -76,19 +126,19 @@ def _readable(sources: DataFrame) -> DataFrame:
 def _held(s: DataFrame, asked: DataFrame, run: int, index: str | None) -> DataFrame:
     """doc_id, source_ord, key of the keys asked for (doc_id, key), from the texts or from an index."""
     if index is None:
-        return s.select("doc_id", "source_ord", F.explode(_keys(F.split("ns", " "), run)).alias("key")).join(_small(asked), ["doc_id", "key"], "left_semi")
+        return _keyed(s.select("doc_id", "source_ord", "ns"), "ns", run).join(_small(asked), ["doc_id", "key"], "left_semi")
     asked = asked.withColumn("part", _part("key"))
-    keys = asked.sparkSession.read.parquet(f"{index}/keys").where(F.col("run") == run)
+    keys = asked.sparkSession.read.parquet(f"{index}/keys/run={run}")
     parts = [r["part"] for r in asked.select("part").distinct().collect()]  # PARTS at most
     return keys.where(F.col("part").isin(parts)).join(_small(asked), ["part", "doc_id", "key"], "left_semi").select("doc_id", "source_ord", "key")
 
 
-def _candidates(q: DataFrame, s: DataFrame, index: str | None = None) -> DataFrame:
+def _candidates(q: DataFrame, s: DataFrame, index: str | None = None, kinds: Collection[int] = KINDS) -> DataFrame:
     """doc_id, quote_idx, source_ord: of each quote the sources that hold the rarest of its keys, or for a quote without a whole word a run of its characters."""
     pairs = None
     for run in sorted(r["run"] for r in q.where("run is not null").select("run").distinct().collect()):  # four at most
-        own = q.where(F.col("run") == run).select("doc_id", "quote_idx", F.explode(_keys(F.col("inner"), run)).alias("key"))
-        held = _held(s, own.select("doc_id", "key").distinct(), run, index)
+        own = _keyed(q.where(F.col("run") == run).select("doc_id", "quote_idx", F.array_join("inner", " ").alias("words")), "words", run)
+        held = kept(_held(s, own.select("doc_id", "key").distinct(), run, index if run in kinds else None))
         often = held.groupBy("doc_id", "key").agg(F.count("*").alias("df"))
         # a key that no source has settles the quote: it is in none
         rarest = own.join(often, ["doc_id", "key"], "left").groupBy("doc_id", "quote_idx").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r"))
@@ -103,28 +153,54 @@ def _candidates(q: DataFrame, s: DataFrame, index: str | None = None) -> DataFra
     return q.select("doc_id", "quote_idx").join(s.select("doc_id", "source_ord"), "doc_id").where(F.lit(False)) if pairs is None else pairs
 
 
-def verbatim_match(quotes: DataFrame, sources: DataFrame | None = None, index: str | None = None) -> DataFrame:
+def _by_keys(q: DataFrame, s: DataFrame, index: str | None, kinds: Collection[int]) -> DataFrame:
+    """doc_id, quote_idx, source_ord, label, whole of the sources that hold a quote or its cut, each quote held against the sources that its keys name."""
+    pairs = _candidates(q, s, index, kinds)
+    if index is not None:
+        pairs = kept(pairs.withColumn("part", _part("doc_id", "source_ord")))
+        s = s.where(F.col("part").isin([r["part"] for r in pairs.select("part").distinct().collect()])).drop("part")  # PARTS at most
+        pairs = pairs.drop("part")
+    met = pairs.join(q.select("doc_id", "quote_idx", "nq", "cut"), ["doc_id", "quote_idx"]).join(s, ["doc_id", "source_ord"]).where(F.contains("ns", "cut"))
+    return met.select("doc_id", "quote_idx", "source_ord", "label", F.contains("ns", "nq").alias("whole"))
+
+
+def _chars(q: DataFrame) -> int:
+    return q.agg(F.sum(F.length("nq") + F.length("cut"))).first()[0] or 0
+
+
+def _read_once(q: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same rows: every source (doc_id, source_ord, label, text) is read once, where it lies, for all quotes together."""
+    both = F.array(F.struct(F.col("nq").alias("word"), F.lit(True).alias("whole")), F.struct(F.col("cut").alias("word"), F.lit(False).alias("whole")))
+    spans = q.where("nq <> ''").select("doc_id", "quote_idx", F.explode(both).alias("x")).select("doc_id", "quote_idx", "x.*")
+    words = [r["word"] for r in spans.select("word").distinct().collect()]  # CHARS characters at most
+    return holders(texts.where("source_ord is not null"), words, "text").join(_small(spans), ["doc_id", "word"]).select("doc_id", "quote_idx", "source_ord", "label", "whole")
+
+
+def verbatim_match(quotes: DataFrame, sources: DataFrame | None = None, index: str | None = None, kinds: Collection[int] = KINDS, chars: int = CHARS) -> DataFrame:
     """vf2: doc_id, quote_idx, quote, verdict, label of quotes (doc_id, quote_idx, quote) against the sources (doc_id, source_ord, label, text) of the same doc_id.
 
     FULL: the quote, white space normalised, is in a source; PARTIAL: its first max(8, 60 %) characters are; MISS otherwise and for a
     blank quote.  The label is that of the first source in declared order.  A source without text is skipped.
 
-    No pair is made without reason.  A cut of eight whole words or more meets sources by winnowed fingerprints: the least hash of every four
+    Quotes of up to CHARS characters together go to every worker as one automaton, and each source is read once.  For more of them, and with an
+    index, no pair is made without reason.  A cut of eight whole words or more meets sources by winnowed fingerprints: the least hash of every four
     runs of five words, which any text that holds these words has too.  Shorter ones go by runs of up to three words, those without a whole word by
     a run of characters; of a quote's keys the rarest counts.  So a quote of common words meets only sources that have them in that order.
 
     ``index``: a folder that ``write_index`` made of the sources, in their place: keys are read from the parts that the quotes ask for, texts from those
-    of the candidates; only quotes without a whole word read all texts."""
+    of the candidates.  Quotes without a whole word, or of a kind whose keys it lacks (``kinds``: those it has), read all texts once, together."""
     q = _quotes(quotes)
-    s = _readable(sources) if index is None else quotes.sparkSession.read.parquet(f"{index}/texts")
-    pairs = _candidates(q, s, index)
-    if index is not None:
-        pairs = kept(pairs.withColumn("part", _part("doc_id", "source_ord")))
-        s = s.where(F.col("part").isin([r["part"] for r in pairs.select("part").distinct().collect()])).drop("part")  # PARTS at most
-        pairs = pairs.drop("part")
-    held_by = pairs.join(q.select("doc_id", "quote_idx", "nq", "cut"), ["doc_id", "quote_idx"]).join(s, ["doc_id", "source_ord"]).where(F.contains("ns", "cut"))
+    if index is None:
+        met = _read_once(q, sources.select("doc_id", "source_ord", "label", "text")) if _chars(q) <= chars else _by_keys(q, _readable(sources), None, ())
+    else:
+        s = quotes.sparkSession.read.parquet(f"{index}/texts")
+        without = ~F.coalesce(F.col("run").isin(*kinds), F.lit(False))
+        if 0 < _chars(q.where(without)) <= chars:
+            met = _by_keys(q.where(~without), s, index, kinds).unionByName(_read_once(q.where(without), s.select("doc_id", "source_ord", "label", F.col("ns").alias("text"))))
+        else:
+            met = _by_keys(q, s, index, kinds)
     first = lambda c: F.min(F.when(c, F.struct("source_ord", "label")))["label"]
-    best = held_by.groupBy("doc_id", "quote_idx").agg(first(F.contains("ns", "nq")).alias("full"), F.max(F.contains("ns", "nq")).alias("is_full"), first(F.lit(True)).alias("part"))
+    best = met.groupBy("doc_id", "quote_idx").agg(first(F.col("whole")).alias("full"), F.max("whole").alias("is_full"), first(F.lit(True)).alias("part"))
     verdict = F.when(F.col("is_full"), "FULL").when(F.col("is_full").isNotNull(), "PARTIAL").otherwise("MISS")
     return q.select("doc_id", "quote_idx", "quote").join(best, ["doc_id", "quote_idx"], "left").select("doc_id", "quote_idx", "quote", verdict.alias("verdict"), F.when(F.col("is_full"), F.col("full")).otherwise(F.col("part")).alias("label"))
 

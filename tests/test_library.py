@@ -135,6 +135,35 @@ def test_verbatim_equals_the_nested_loop(spark):
     assert (row.n_declared, row.n_missing, row.blind) == (12, 1, False)
 
 
+def test_quotes_are_read_for_once_or_by_keys_with_the_same_rows(spark, tmp_path, monkeypatch):
+    """One pass over the sources, keys of the sources, and an index with all kinds of keys, some or none agree with plain Python; white space is what normalize_ws takes."""
+    every = "".join(f"a{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert spark.createDataFrame([(every,)], "t string").select(normalize_ws(F.col("t"))).first()[0] == " ".join(every.split())
+    rng = random.Random(5)
+    texts = [f"{chr(0x2003)}".join(rng.choices("ab cd ef gh \u00e4\u00f6 \U0001f600x".split(), k=60)) for _ in range(40)] + ["", None]
+    whole = [t and " ".join(t.split()) for t in texts]
+    quotes = [" ".join(whole[i].split()[k : k + n]) for i, k, n in ((0, 0, 30), (7, 20, 30), (9, 5, 9), (3, 3, 4), (12, 1, 2), (30, 9, 1))] + [whole[4][:70] + " zz zz", "none of it", " ", "ef"]
+    q = spark.createDataFrame([(d, i, t) for d in (0, 1) for i, t in enumerate(quotes)], "doc_id int, quote_idx int, quote string")
+    s = spark.createDataFrame([(0, i, str(i), t) for i, t in enumerate(texts)] + [(0, None, "x", texts[0])], "doc_id int, source_ord int, label string, text string")
+    cut = lambda n: n[: max(8, int(len(n) * 0.6))]
+    first = lambda part: next((str(i) for i, t in enumerate(whole) if part and t and part in t), None)
+
+    def expect(n):
+        return ("FULL", first(n)) if first(n) else ("PARTIAL", first(cut(n))) if first(cut(n)) else ("MISS", None)
+
+    want = sorted([(0, i, *expect(" ".join(t.split()))) for i, t in enumerate(quotes)] + [(1, i, "MISS", None) for i in range(len(quotes))], key=str)
+    rows = lambda df: sorted((tuple(r) for r in df.select("doc_id", "quote_idx", "verdict", "label").collect()), key=str)
+    place = f"file://{tmp_path}/index"
+    verify.write_index(s, place, (verify.RUN,))
+    assert rows(verify.verbatim_match(q, index=place, kinds={verify.RUN})) == rows(verify.verbatim_match(q, index=place, kinds={verify.RUN}, chars=0)) == want
+    verify.write_keys(spark, place, 3)
+    assert rows(verify.verbatim_match(q, index=place, kinds={verify.RUN, 3})) == want
+    monkeypatch.setattr(verify, "_keyed", None)  # few quotes need no keys of the sources
+    assert rows(verify.verbatim_match(q, s)) == want
+    monkeypatch.undo()
+    assert rows(verify.verbatim_match(q, s, chars=0)) == want
+
+
 def test_a_quote_of_common_words_meets_few_sources(spark, tmp_path):
     """Every word, pair of words and run of three is in many sources; the quotes' own order is in one or two."""
     rng = random.Random(12)
