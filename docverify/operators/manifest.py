@@ -8,14 +8,18 @@ members, order, order_rationale, status, asis, tobe.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import WARNING, as_violation, repeated, union, violations
 from ..functions.text import blank
-from .graph import classes, levels, or_false
+from .graph import classes, kept, levels, or_false
 
 #: Fixed values of the manifest's contract.
 STATUS = ("pending", "draft", "review", "approved")
@@ -137,14 +141,76 @@ def handoff_gate(chunks: DataFrame, observations: DataFrame, projects: DataFrame
     return every.select(*KEY, F.array_sort(F.concat(*reasons)).alias("reasons")).withColumn("passes", F.size("reasons") == 0)
 
 
-def cluster_observations(observations: DataFrame) -> DataFrame:
-    """gr6: project_id, id, cluster (least id): observations that share a source, directly or through others, are one candidate chunk."""
-    held = observations.select(*KEY, "id", F.explode("sources").alias("source")).where(~blank(F.col("source")))
+#: Observations and their sources of a project up to which one task holds them; larger projects go by rounds.
+HELD = 100_000
+#: Rows in a batch that leaves a task.
+BATCH = 10_000
+
+
+def _by_project(observations: DataFrame) -> DataFrame:
+    """project_id, id, cluster of whole projects, each in one task: rows come sorted by project, and sets that share a source are merged as they come."""
+    kind = {c: observations.schema[c].dataType.simpleString() for c in (*KEY, "id")}
+
+    def clusters(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for project, own in groupby(rows, itemgetter(0)):
+            up = {}  # an id, or a source in a tuple, to another of its set; the least id leads each set
+
+            def top(x: object) -> object:
+                while up[x] != x:  # noqa: B023
+                    up[x] = x = up[up[x]]  # noqa: B023
+                return x
+
+            ids, leads = {}, {}
+            for _, i, sources in own:
+                ids[i] = None
+                if project is None or i is None:
+                    continue
+                up.setdefault(i, i)
+                for source in sources or ():
+                    a, b = top(i), top(leads.setdefault(source, i))
+                    up[max(a, b)] = min(a, b)
+            yield from ((project, i, top(i) if i in up else i) for i in ids)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, out = None, []
+
+        def rows() -> Iterator[tuple]:
+            nonlocal schema
+            for batch in batches:
+                schema = pa.schema([(*KEY, batch.schema.field(0).type), ("id", batch.schema.field(1).type), ("cluster", batch.schema.field(1).type)])
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        for row in clusters(rows()):
+            out.append(row)
+            if len(out) >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return observations.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(find, f"{KEY[0]} {kind[KEY[0]]}, id {kind['id']}, cluster {kind['id']}")
+
+
+def _by_rounds(observations: DataFrame) -> DataFrame:
+    """The same by rounds over all projects together."""
+    held = observations.select(*KEY, "id", F.explode("sources").alias("source"))
     first = held.groupBy(*KEY, "source").agg(F.min("id").alias("_f"))
     found = classes(held.join(first, [*KEY, "source"]), KEY, "id", "_f")
     return observations.select(*KEY, "id").distinct().join(found.withColumnRenamed("node", "id"), [*KEY, "id"], "left").select(*KEY, "id", F.coalesce("label", "id").alias("cluster"))
 
 
+def cluster_observations(observations: DataFrame, most: int = HELD) -> DataFrame:
+    """gr6: project_id, id, cluster (least id): observations that share a source, directly or through others, are one candidate chunk.
+
+    Clusters lie within a project.  Projects are counted first: those of up to ``most`` observations and sources are clustered in one pass, larger ones by rounds."""
+    own = observations.select(*KEY, "id", F.filter("sources", lambda x: ~blank(x)).alias("sources"))
+    large = kept(own.groupBy(*KEY).agg(F.sum(1 + F.coalesce(F.size("sources"), F.lit(0))).alias("_n")).where(F.col("_n") > most).select(F.col(KEY[0]).alias("_large")))
+    if large.isEmpty():
+        return _by_project(own)
+    of = F.col(KEY[0]).eqNullSafe(F.col("_large"))
+    return _by_project(own.join(large, of, "left_anti")).unionByName(_by_rounds(own.join(large, of, "left_semi")))
+
+
 def sequence_chunks(chunks: DataFrame, deps: DataFrame, weights: dict[str, float]) -> DataFrame:
     """gr7: project_id, id, level, pos: first by level of dependencies (project_id, id, needs), then by the weighted columns, largest first."""
     level = levels(deps, chunks, KEY, "id", "needs").withColumnRenamed("node", "id")

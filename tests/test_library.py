@@ -291,6 +291,25 @@ def test_corpus_flags_bytes_that_are_not_utf8(spark, tmp_path):
     assert found == {"a.md": (True, 5), "b.md": (False, 5)}
 
 
+def test_clusters_of_a_project_need_no_rounds(spark, monkeypatch):
+    """A chain, a set, null and blank sources, null ids and projects, and repeated rows; one pass, rounds and both give what plain Python gives."""
+    rows = [(1, str(i), [f"s{i}", f"s{i + 1}"]) for i in range(30)] + [(1, "zz", ["t"]), (1, "z", ["t", " "]), (1, "y", [" ", None]), (1, "x", None), (1, None, ["t"]), (1, "x", None)]
+    rows += [(2, str(i), [f"s{i % 3}"]) for i in range(7)] + [(None, "a", ["s0"]), (None, "b", ["s0"]), (3, "only", [])]
+    obs = spark.createDataFrame(rows, "project_id int, id string, sources array<string>")
+    want = set()
+    for p, i, _ in rows:
+        near, before = {i}, None
+        while p is not None and i is not None and near != before:
+            before = set(near)
+            held = {s for q, j, own in rows if q == p and j in near for s in own or () if s and s.strip()}
+            near |= {j for q, j, own in rows if q == p and j is not None and held & set(own or ())}
+        want.add((p, i, min(near) if i is not None else None))
+    found = lambda most: sorted((tuple(r) for r in manifest.cluster_observations(obs, most).collect()), key=str)
+    assert found(0) == found(40) == sorted(want, key=str)
+    monkeypatch.setattr(manifest, "classes", None)
+    assert found(1_000) == sorted(want, key=str)
+
+
 def test_scale_keys_and_weights(spark):
     df = spark.createDataFrame([(1, {"pass_threshold": 4}, {"max": 6}, None, None, {"a": 2}), (2, None, None, None, {}, {"a": 2})], "project_id int, legacy_scale map<string,int>, scale map<string,int>, rubric_scale map<string,int>, weights map<string,int>, legacy_weights map<string,int>")
     assert [(r.pass_threshold, r.max, dict(r.weights)) for r in manifest.scale_of(df).orderBy("project_id").collect()] == [(4, 6, {"a": 2}), (3, 5, {})]
