@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space as the checks take it: Unicode's, and the four separators below the blank.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: Any other character.
+INK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def normalize_ws(col: Column) -> Column:
@@ -24,11 +26,11 @@ def strip(col: Column) -> Column:
 
 def blank(col: Column) -> Column:
     """Null, or nothing but white space."""
-    return col.isNull() | (normalize_ws(col) == "")
+    return col.isNull() | ~col.rlike(INK)
 
 
 def _composed(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+    return values if values.isna().all() else values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
 
 
 def nfc(col: Column) -> Column:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,10 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges of a graph up to which one task holds them; larger graphs go by rounds.
+HELD = 100_000
+#: Rows in a batch that leaves a task.
+BATCH = 10_000
 #: Layers that are peeled off a graph before its chains are shortened as well.
 PEEL = 8
 
@@ -113,9 +121,53 @@ def _peeled(edges: DataFrame, keys: list[str], a: str, b: str) -> tuple[DataFram
     return rest, taken
 
 
-def with_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys of the graphs that have a cycle."""
-    return _peeled(edges, keys, a, b)[0].select(*keys).distinct()
+def _turns(edges: Iterable[tuple[object, object]]) -> bool:
+    """Whether one graph has a cycle: nodes without an edge in are taken away until none is left."""
+    out, into = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        into[b] = into.get(b, 0) + 1
+    free = [a for a in out if a not in into]
+    while free:
+        for b in out.pop(free.pop(), ()):
+            into[b] -= 1
+            if not into[b]:
+                free.append(b)
+    return bool(out)
+
+
+def _turning(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of the graphs with a cycle, of whole graphs of edges (keys, a, b), each in one task: rows come sorted by graph."""
+    schema = edges.select(*keys).schema
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = [f.type for f in batch.schema][: len(keys)]
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def found() -> Iterator[tuple]:
+            for key, own in groupby(rows(), itemgetter(slice(len(keys)))):
+                if _turns((a, b) for *_, a, b in own):
+                    yield key
+
+        whole = found()
+        while part := list(islice(whole, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=list(keys))
+
+    return edges.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(find, schema)
+
+
+def with_cycles(edges: DataFrame, keys: list[str], a: str, b: str, most: int = HELD) -> DataFrame:
+    """keys of the graphs that have a cycle.  Graphs are counted first: those of up to ``most`` edges are searched whole, each in one task, larger ones by rounds."""
+    whole = edges.select(*keys, F.col(a).alias("a"), F.col(b).alias("b")).dropna()
+    large = kept(whole.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+    if large.isEmpty():
+        return _turning(whole, keys)
+    rest = _peeled(whole.join(large, keys, "left_semi"), keys, "a", "b")[0].select(*keys).distinct()
+    return _turning(whole.join(large, keys, "left_anti"), keys).unionByName(rest)
 
 
 def on_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
