@@ -31,3 +31,11 @@ def test_query_equals_sql(spark, name):
     want = [dict(zip(names, row, strict=True)) for row in answer.fetchall()]
     text = lambda r: "|".join(str(r[c]) for c in cols)
     assert sorted(text(r) for r in found.toArrow().to_pylist()) == sorted(text(r) for r in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["dr7_eligible_decisions", "dr8_registry_verdict"])
+def test_verdicts_read_the_registry_once(spark, name):
+    test_query_equals_sql(spark, name)
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" not in plan and "examined-" in plan
