@@ -106,6 +106,12 @@ def eligible_decisions(decisions: DataFrame, honored: DataFrame, verdicts: DataF
     return good.join(honored.select(*KEY, F.col("old").alias("id")).distinct(), [*KEY, "id"], "left_anti").select(*KEY, "id", "status")
 
 
+def eligible_examined(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """dr7 of examined decisions, as ``eligible_decisions`` gives it: a decision's own row says whether an honoured edge retires it."""
+    good = rows.where(F.col("field").isNull() & F.col("status").isin(CONFIRMED, SUPPRESSING) & blank(F.col("superseded_by")) & ~F.col("retired"))
+    return good.join(verdicts.where("verdict = 'pass'").select(*KEY), KEY, "left_semi").select(*KEY, "id", "status")
+
+
 def registry_verdict(decisions: DataFrame, found: DataFrame, hashes_checked: bool = True) -> DataFrame:
     """dr8: per registry n_errors, n_warnings, verdict: fail, structure_only where hashes weren't checked, or pass."""
     counts = found.groupBy(*KEY).agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
@@ -135,13 +141,16 @@ def _examined(own: DataFrame) -> DataFrame:
     """The rows of ``examined`` from cards.  Both ends of a reference meet by windows over a registry's ids: rows that come partitioned by registry move no more, others by id."""
     same = Window.partitionBy(*KEY, "id").orderBy("id")
     all_same = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    one = F.min(F.struct("status", F.col("_subject").alias("subject"), "date", "slot")).over(all_same)
-    own = own.select(*KEY, "id", "status", "supersedes", "superseded_by", "slot", "_own", one.alias("_d"), F.count("*").over(all_same).alias("_rows"), F.row_number().over(same).alias("_n"))
+    own = own.select(*KEY, "id", "supersedes", "superseded_by", "_own", F.struct("status", F.col("_subject").alias("subject"), "date", "slot").alias("_card"))
+    own = own.select(*KEY, "id", "_card.status", "supersedes", "superseded_by", "_card.slot", "_own", F.min("_card").over(all_same).alias("_d"), F.count("*").over(all_same).alias("_rows"), F.row_number().over(same).alias("_n"))
     said = lambda c: F.when(F.col("id").isNotNull() & F.col(c).isNotNull(), F.struct(F.lit(c).alias("field"), F.col(c).alias("ref")))
     itself = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("ref"))
-    every = own.withColumn("_r", F.explode(F.array_compact(F.array(itself, said("supersedes"), said("superseded_by"))))).select(*KEY, "id", "status", "slot", "superseded_by", "_own", "_n", "_rows", "_d", "_r.field", "_r.ref")
+    # the array is a column of its own, for explode works out the type of an expression anew in every row; it is never empty
+    every = own.withColumn("_all", F.array_compact(F.array(itself, said("supersedes"), said("superseded_by")))).withColumn("_r", F.explode_outer("_all"))
+    every = every.select(*KEY, "id", "status", "slot", "superseded_by", "_own", "_n", "_rows", "_d", "_r.field", "_r.ref").withColumn("_at", F.coalesce("ref", "id"))
     card = F.col("field").isNull()
-    every = every.withColumn("_at", F.coalesce("ref", "id")).withColumn("_to", F.min(F.when(card, F.col("_d"))).over(Window.partitionBy(*KEY, "_at")))
+    met = Window.partitionBy(*KEY, "_at").orderBy(F.col("field").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = every.withColumn("_to", F.when(F.first(card).over(met), F.first("_d").over(met)))
     itself, known = F.col("id") == F.col("ref"), F.col("_to").isNotNull() & F.col(KEY[0]).isNotNull()
     forward, edge = F.col("field") == "supersedes", ~card & ~itself & known
     side = lambda a, b: F.when(edge, F.when(forward, a).otherwise(b))

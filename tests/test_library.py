@@ -308,6 +308,27 @@ def test_a_registry_is_examined_in_one_pass(spark, monkeypatch):
     assert decisions.examined(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_eligible_decisions_are_told_by_their_own_rows(spark):
+    row = lambda r, i, status="confirmed", slot="s", old=None, by=None: (r, i, "d", status, "2024-01-01", "e", slot, old, by, None, None)
+    rows = [
+        row(1, "a"), row(1, "b", old="a"), row(1, "c", "do_not_reopen", "t"), row(1, "d", slot="u", by="c"), row(1, "e", "rejected"), row(2, "a"), row(2, "b"), row(2, None), row(3, "a"), row(3, "b", "rejected", old="a"),
+        row(4, "a", by="a"), row(4, "b", slot="t"), row(5, "a", slot=None), row(5, "b", old="a", slot=None), row(6, "a"), row(6, "a", slot="t"), row(6, "b", old="a"), row(None, "a"), row(None, "b", old="a"), row(7, "a", old="b"), row(7, "b"), row(7, "b", slot="t"),
+    ]
+    df = spark.createDataFrame(rows, DECISION)
+    edges = decisions.supersede_edges(df)
+    honored = decisions.honored_edges(edges, df)
+    verdicts = spark.createDataFrame([(r, "fail" if r == 2 else "pass") for r in range(1, 8)], "registry_id int, verdict string")
+    for most in (100_000, 0):
+        examined = decisions.examined(df, most)
+        found = decisions.eligible_examined(examined, verdicts)
+        assert sorted(map(str, found.collect())) == sorted(map(str, decisions.eligible_decisions(df, honored, verdicts).collect()))
+        for line in examined._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            assert "Generate" not in line or "filter(" not in line
+    stored = decisions.eligible_examined(decisions.stored(examined), verdicts)._jdf.queryExecution().optimizedPlan().toString()
+    assert stored.count("Join") == 1
+    assert {("1", "b"), ("1", "c"), ("3", "a")} <= {(str(r.registry_id), r.id) for r in found.collect()}
+
+
 def test_small_graphs_are_searched_for_cycles_without_rounds(spark, monkeypatch):
     rounds, write = [], graph.kept
     monkeypatch.setattr(graph, "kept", lambda df: rounds.append(1) or write(df))
