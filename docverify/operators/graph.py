@@ -182,10 +182,10 @@ def on_cycles(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
         side = lambda c: of.select(*keys, F.col("node").alias(c), F.col("component").alias(f"_{c}"))
         return rows.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]).where("_a = _b")
 
-    own = inside(rest)
+    own = kept(inside(rest))
     left = own.select(*keys, F.col("a").alias("node")).unionByName(own.select(*keys, F.col("b").alias("node"))).distinct()
     for gone in reversed(taken):  # a node taken out of a chain lies on a cycle where the edge that stood for it does
-        back = inside(gone).select(*keys, "node", F.col("_a").alias("component"))
+        back = kept(inside(gone).select(*keys, "node", F.col("_a").alias("component")))
         of = kept(of.unionByName(back))
         left = left.unionByName(back.select(*keys, "node"))
     return left.distinct()

@@ -231,6 +231,14 @@ def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
     assert len(rounds) < 300
 
 
+def test_nodes_of_shortened_chains_on_a_cycle_need_no_join_when_read(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PEEL", 1)
+    edges = spark.createDataFrame([(1, i, (i + 1) % 20) for i in range(20)] + [(1, 20 + i, 21 + i) for i in range(8)] + [(1, 0, 50), (1, 50, 1)], "k int, a int, b int")
+    found = on_cycles(edges, ["k"], "a", "b")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert got(found, "k", "node") == [(1, i) for i in [*range(20), 50]]
+
+
 def test_levels_and_cycles_of_random_graphs(spark, monkeypatch):
     monkeypatch.setattr(graph, "PEEL", 1)
     rng, rows = random.Random(9), []
